@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from seine.llm import secrets
+from seine.llm import bpe, secrets
 
 QUERIES = {
+    "op2_byte_bpe": bpe.query,
     "op9_secret_scan": secrets.query,
 }
 ORACLES = {
