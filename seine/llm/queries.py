@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from seine.llm import bpe, secrets
+from seine.llm import bpe, kdtree, secrets, simhash
 
 QUERIES = {
     "op2_byte_bpe": bpe.query,
+    "op5_simhash": simhash.query,
     "op9_secret_scan": secrets.query,
+    "op10_kdtree_topk": kdtree.query,
 }
 ORACLES = {
     "op9_secret_scan": secrets.ORACLE_SQL,
+    "op10_kdtree_topk": kdtree.ORACLE_SQL,
 }
