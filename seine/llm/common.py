@@ -46,3 +46,13 @@ def discard(df: DataFrame) -> None:
 
 def sha256_of(column: Column) -> Column:
     return F.sha2(F.coalesce(column, F.lit("")), 256)
+
+
+def once(column: Column, use) -> Column:
+    """use(x) with x bound to the value of `column`, so that lambdas inside `use` don't evaluate it again each time."""
+    return F.get(F.transform(F.array(column), use), F.lit(0))
+
+
+def fenced(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """df with a column that later filters and projections can only refer to, not repeat: a generator's output."""
+    return df.select("*", F.explode_outer(F.array(column)).alias(name))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from seine.llm import bpe, decontaminate, kdtree, secrets, sharding, simhash
+from seine.llm import bpe, decontaminate, kdtree, licenses, secrets, sharding, simhash
 
 QUERIES = {
     "op2_byte_bpe": bpe.query,
     "op3_sharding": sharding.query,
     "op5_simhash": simhash.query,
+    "op7_license_scan": licenses.query,
     "op8_decontaminate": decontaminate.query,
     "op9_secret_scan": secrets.query,
     "op10_kdtree_topk": kdtree.query,
 }
 ORACLES = {
     "op3_sharding": sharding.ORACLE_SQL,
+    "op7_license_scan": licenses.ORACLE_SQL,
     "op8_decontaminate": decontaminate.ORACLE_SQL,
     "op9_secret_scan": secrets.ORACLE_SQL,
     "op10_kdtree_topk": kdtree.ORACLE_SQL,
