@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from seine.llm import bpe, decontaminate, kdtree, licenses, secrets, sharding, simhash
+from seine.llm import bpe, decontaminate, kdtree, licenses, secrets, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op2_byte_bpe": bpe.query,
     "op3_sharding": sharding.query,
     "op5_simhash": simhash.query,
