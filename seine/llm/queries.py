@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from seine.llm import bpe, decontaminate, kdtree, licenses, pseudonyms, secrets, sharding, simhash, toxicity
+from seine.llm import bpe, decontaminate, kdtree, licenses, pseudonyms, runindex, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_byte_bpe": bpe.query,
     "op3_sharding": sharding.query,
+    "op4_run_index": runindex.query,
     "op5_simhash": simhash.query,
     "op6_pseudonyms": pseudonyms.query,
     "op7_license_scan": licenses.query,
