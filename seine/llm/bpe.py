@@ -290,6 +290,26 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, carry: list[str], text: str = "text") -> DataFrame:
+    """The carried columns, ids, n_tokens, and whether the pieces of the ids are the text's bytes again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(path, pattern)
+        pieces = [b""] * (max(encoder.ranks.values(), default=-1) + 1)
+        for piece, rank in encoder.ranks.items():
+            pieces[rank] = piece
+        for batch in batches:
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            ids = list(encoder.encode(texts))
+            same = [b"".join(map(pieces.__getitem__, x)) == t.encode() for x, t in zip(ids, texts, strict=True)]
+            flat = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)], dtype=np.int32), pa.array(np.fromiter(chain.from_iterable(ids), np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], flat, pa.array(list(map(len, ids)), pa.int64()), pa.array(same, pa.bool_())], [*batch.schema.names[1:], "ids", "n_tokens", "intact"])
+
+    kept = docs.select(F.col(text).alias("seine_text"), *carry)
+    schema = kept.drop("seine_text").withColumns({"ids": F.array().cast("array<int>"), "n_tokens": F.lit(0).cast("long"), "intact": F.lit(True)}).schema
+    return kept.mapInArrow(run, schema)
+
+
 def fold_words(words: DataFrame, ranks: DataFrame, column: str = "word") -> DataFrame:
     """words with array<int> ids, merged by higher-order functions over byte pieces.
 

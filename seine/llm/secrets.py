@@ -81,7 +81,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None, copied_from: int = 2) -> DataFrame:
-    """One row for each of docs: key, spans (array with kind index, places and digest), live and copied counts.
+    """One row for each of docs: key, base and live spans (start, kind index, end), values (start, end, live) and n_copied.
 
     A value with fewer than `copied_from` owners is owner-specific; from that many owners on it is a copied
     example. `repository` defaults to the key: each document is then a repository of its own.
@@ -115,7 +115,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str =
         lambda s: F.struct(s["vstart"].alias("start"), F.lit(3).alias("k"), s["end"].alias("end")),
     )
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))
-    return out.select(F.col("key").alias(key), base.alias("base"), F.array_distinct(live_spans).alias("live"), F.size("copied").cast("long").alias("n_copied"))
+    values = F.transform("spans", lambda s: F.struct(s["vstart"].alias("start"), s["end"].alias("end"), F.array_contains(F.col("live"), s["digest"]).alias("live")))
+    return out.select(F.col("key").alias(key), base.alias("base"), values.alias("values"), F.array_distinct(live_spans).alias("live"), F.size("copied").cast("long").alias("n_copied"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,15 +133,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The columns of docs with every span of a secret's value overwritten by <secret>; no row goes.
+    """docs with the value of every base span masked in `text`: <secret> where it is live, <credential> elsewhere.
 
-    Live-looking values and copied ones are masked alike: neither belongs in training data. Since whatever
-    pattern found a value also finds it in place, one replacement for each kind does it without places.
+    Rows are told apart by id and text, so repeated ids do no harm.
     """
-    text = F.col("text")
-    for pattern, kept in ((r"((?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9+/_.=-]{6,})", "$1<secret>"), (r"AKIA[A-Z0-9]{16,}", "<secret>"), (HEX, "<secret>")):
-        text = F.regexp_replace(text, pattern, kept)
-    return docs.withColumn("text", text)
+    row = F.xxhash64("doc_id", "text")
+    found = scan(docs.withColumn("seine_row", row), key="seine_row", repository="doc_id")
+    found = found.filter(F.size("values") > 0).groupBy("seine_row").agg(F.first("values").alias("seine_values"))
+    joined = docs.withColumn("seine_row", row).join(found, "seine_row", "left")
+
+    def step(acc: Column, v: Column) -> Column:
+        mask = F.when(v["live"], "<secret>").otherwise("<credential>")
+        out = F.when(v["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, v["start"] - acc["at"]), mask))
+        return F.struct(F.greatest(acc["at"], v["end"]).alias("at"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    masked = F.aggregate(F.array_sort("seine_values"), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return joined.withColumn("text", F.when(F.col("seine_values").isNull(), F.col("text")).otherwise(masked)).select(*docs.columns)
 
 
 def _kind_sql(pattern: str, kind: int, group: int, least: int) -> str:

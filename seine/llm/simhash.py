@@ -71,8 +71,8 @@ def fingerprints(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = (
             fps = [_signed(fingerprint(t, width)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps, pa.int64())], [*batch.schema.names[1:], "fp"])
 
-    kept = docs.select(F.col(text), *carry)
-    return kept.mapInArrow(run, kept.drop(kept.columns[0]).withColumn("fp", F.lit(0).cast("long")).schema)
+    kept = docs.select(F.col(text).alias("seine_text"), *carry)
+    return kept.mapInArrow(run, kept.drop("seine_text").withColumn("fp", F.lit(0).cast("long")).schema)
 
 
 # --- partitions and thresholds ---------------------------------------------------------------------------------
@@ -275,14 +275,30 @@ def links(distinct: DataFrame, tau: int, block: int = BLOCK) -> DataFrame:
 
 
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, tau: int = 4, block: int = BLOCK) -> DataFrame:
-    """(key, fp, component): component is the least key among all that links reach."""
+    """(key, fp, root, component): component is the least key among all that links reach, root their least fingerprint."""
     prints = common.store(fingerprints(docs, text, (key,), width), "simhash")
     distinct = common.store(prints.groupBy("fp").agg(F.min(key).alias("least")), "simhash-distinct")
     joined = components(common.store(links(distinct.select("fp"), tau, block), "simhash-links"))
     named = distinct.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    of = named.join(least, "root").select("fp", "component")
-    return prints.join(of, "fp").select(key, "fp", "component")
+    of = named.join(least, "root").select("fp", "root", "component")
+    return prints.join(of, "fp").select(key, "fp", "root", "component")
+
+
+def keep_one(docs: DataFrame, width: int = 4, tau: int = 4) -> DataFrame:
+    """The rows of docs that stand for their component: the one with the least doc_id.
+
+    Ids that several such rows share (repeated rows, null ids) are settled by fingerprints: each component keeps one.
+    """
+    found = common.store(cluster(docs, width=width, tau=tau), "components")
+    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    once = heads.filter("n = 1").select(F.col("doc_id").alias("head_id"))
+    kept = docs.join(once, F.col("doc_id").eqNullSafe(F.col("head_id")), "left_semi")
+    again = docs.join(heads.filter("n > 1").select(F.col("doc_id").alias("head_id")), F.col("doc_id").eqNullSafe(F.col("head_id")), "left_semi")
+    root_of = found.select(F.col("fp").alias("root_fp"), "root", "component").distinct()
+    settled = fingerprints(again, "text", tuple(docs.columns), width).join(root_of, F.col("fp") == F.col("root_fp"))
+    settled = settled.filter(F.col("doc_id").eqNullSafe(F.col("component"))).dropDuplicates(["root"]).select(*docs.columns)
+    return kept.unionByName(settled)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
