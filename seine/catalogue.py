@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from seine.registered import records, texts
 
-def queries() -> dict:
-    return {}
+_PARTS = (texts, records)
+flagship = records.flagship
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def queries() -> dict:
+    return {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 
 
-def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
