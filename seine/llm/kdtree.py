@@ -7,7 +7,7 @@ of the bound that their boxes allow, and stops at the first whose bound is below
 k-th score starts from a first round, in which each query opens the best leaf of every shard and the shards'
 answers are merged, so a shard without a chance is left at its root.
 
-Defined results: a null vector, or one with a null or non-finite component, takes no part, as query or candidate;
+Defined results: a null or empty vector, or one with a null or non-finite component, takes no part, as query or candidate;
 vectors are compared with those of their own length only; a query's own vec_id is no candidate of its; repeated
 rows are candidates each; ties go to the smaller vec_id; fewer candidates than k give fewer rows; an empty table
 gives no rows. Other columns are ignored.
@@ -33,7 +33,7 @@ BLOCK_QUERIES = 512
 def clean(vectors: DataFrame, key: str, vector: str, scale: int | None) -> DataFrame:
     """(id, v, dim) of the vectors that take part; with `scale`, v holds floor(scale * x) of each component."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    ok = F.col(vector).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    ok = F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     if scale is not None:
         v = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x).cast("double"))
     return vectors.filter(F.coalesce(ok, F.lit(False)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("v"), F.size(vector).alias("dim"))

@@ -63,16 +63,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), width: int = 4) -> DataFrame:
-    """The carried columns and fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), width: int = 4, name: str = "fp") -> DataFrame:
+    """The carried columns and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [_signed(fingerprint(t, width)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps, pa.int64())], [*batch.schema.names[1:], "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps, pa.int64())], [*batch.schema.names[1:], name])
 
     kept = docs.select(F.col(text).alias("seine_text"), *carry)
-    return kept.mapInArrow(run, kept.drop("seine_text").withColumn("fp", F.lit(0).cast("long")).schema)
+    return kept.mapInArrow(run, kept.drop("seine_text").withColumn(name, F.lit(0).cast("long")).schema)
 
 
 # --- partitions and thresholds ---------------------------------------------------------------------------------
@@ -295,9 +295,9 @@ def keep_one(docs: DataFrame, width: int = 4, tau: int = 4) -> DataFrame:
     once = heads.filter("n = 1").select(F.col("doc_id").alias("head_id"))
     kept = docs.join(once, F.col("doc_id").eqNullSafe(F.col("head_id")), "left_semi")
     again = docs.join(heads.filter("n > 1").select(F.col("doc_id").alias("head_id")), F.col("doc_id").eqNullSafe(F.col("head_id")), "left_semi")
-    root_of = found.select(F.col("fp").alias("root_fp"), "root", "component").distinct()
-    settled = fingerprints(again, "text", tuple(docs.columns), width).join(root_of, F.col("fp") == F.col("root_fp"))
-    settled = settled.filter(F.col("doc_id").eqNullSafe(F.col("component"))).dropDuplicates(["root"]).select(*docs.columns)
+    root_of = found.select(F.col("fp").alias("seine_of"), F.col("root").alias("seine_root"), F.col("component").alias("seine_component")).distinct()
+    settled = fingerprints(again, "text", tuple(docs.columns), width, "seine_fp").join(root_of, F.col("seine_fp") == F.col("seine_of"))
+    settled = settled.filter(F.col("doc_id").eqNullSafe(F.col("seine_component"))).dropDuplicates(["seine_root"]).select(*docs.columns)
     return kept.unionByName(settled)
 
 

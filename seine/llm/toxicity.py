@@ -325,21 +325,21 @@ def train(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text:
     return Model(model.values, model.bias, fit_logistic(np.array([r.bag for r in seen]), label, weight))
 
 
-def score(docs: DataFrame, model: Model | None, carry: list[str], text: str = "text") -> DataFrame:
-    """The carried columns, score (0 to 1) and word, the one with the greatest margin."""
+def score(docs: DataFrame, model: Model | None, carry: list[str], text: str = "text", names: tuple[str, str] = ("score", "word")) -> DataFrame:
+    """The carried columns, score (0 to 1) and word, the one with the greatest margin, the latter two under `names`."""
     if model is None:
-        return docs.select(*carry, F.lit(0.0).alias("score"), F.lit("").alias("word"))
+        return docs.select(*carry, F.lit(0.0).alias(names[0]), F.lit("").alias(names[1]))
     kept = docs.select(F.col(text).alias("seine_text"), *carry)
     schema = "seine_bag array<double>, seine_top string, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
     judged = kept.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(model)), schema)
     layer = model.layer.tolist()
     power = F.aggregate(F.zip_with("seine_bag", F.array(*[F.lit(x) for x in layer[:-1]]), lambda a, b: a * b), F.lit(layer[-1]), lambda a, b: a + b)
-    return judged.select(*carry, (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), power))))).alias("score"), F.col("seine_top").alias("word"))
+    return judged.select(*carry, (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), power))))).alias(names[0]), F.col("seine_top").alias(names[1]))
 
 
 def reject(docs: DataFrame, model: Model | None, most: float = 0.5) -> DataFrame:
     """The rows of docs whose score stays below `most`."""
-    return score(docs, model, docs.columns).filter(F.col("score") < most).select(*docs.columns)
+    return score(docs, model, docs.columns, names=("seine_score", "seine_word")).filter(F.col("seine_score") < most).select(*docs.columns)
 
 
 def held_out(key):
