@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seine.registered import records, texts
+from seine.registered import plans, records, texts
 
-_PARTS = (texts, records)
+_PARTS = (texts, records, plans)
 flagship = records.flagship
 
 
