@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seine.functions.text import text_of
+from seine.functions.text import bound, first_of_each, text_of
 
 # How dates are spelled, in the order in which they are looked for, and the formats tried on each.
 PATTERNS = (
@@ -25,13 +25,11 @@ def parse(c: Column) -> Column:
 def deadlines(c: Column) -> Column:
     """array<struct<raw, normalized>>: spelled dates by pattern, then place; each spelling once, unparsed ones empty."""
     raw = F.concat(*[F.regexp_extract_all(text_of(c), F.lit(p), F.lit(1)) for p in PATTERNS])
-    lower = F.transform(raw, F.lower)
-    once = F.filter(raw, lambda r, i: F.array_position(lower, F.lower(r)) == i + 1)
-    return F.transform(once, lambda r: F.struct(r.alias("raw"), F.coalesce(F.date_format(parse(r), "yyyy-MM-dd"), F.lit("")).alias("normalized")))
+    return F.transform(first_of_each(raw), lambda r: F.struct(r.alias("raw"), F.coalesce(F.date_format(parse(r), "yyyy-MM-dd"), F.lit("")).alias("normalized")))
 
 
 def next_deadline(c: Column, today: Column) -> Column:
     """The earliest of a text's dates that isn't past, as its struct; the first of equals."""
     open_ = F.filter(deadlines(c), lambda d: d["normalized"] >= F.date_format(today, "yyyy-MM-dd"))
-    least = F.array_min(F.transform(open_, lambda d: d["normalized"]))
-    return F.get(F.filter(open_, lambda d: d["normalized"] == least), F.lit(0))
+    earliest = lambda o: bound(F.array_min(F.transform(o, lambda d: d["normalized"])), lambda least: F.get(F.filter(o, lambda d: d["normalized"] == least), F.lit(0)))
+    return bound(open_, earliest)

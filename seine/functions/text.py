@@ -22,6 +22,16 @@ def text_of(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def bound(column: Column, use) -> Column:
+    """use(x) with x bound to the column's value: lambdas inside `use` would else evaluate the column for each element."""
+    return F.get(F.transform(F.array(column), lambda x: use(x)), F.lit(0))
+
+
+def first_of_each(array: Column) -> Column:
+    """Strings of an array whose lower-cased form didn't come before, in order."""
+    return bound(array, lambda a: bound(F.transform(a, lambda x: F.lower(x)), lambda low: F.filter(a, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)))
+
+
 def clean(c: Column) -> Column:
     """Stripped, with runs of white space as one blank; null is empty."""
     return F.regexp_replace(F.regexp_replace(text_of(c), r"(?U)\s+", " "), "^ | $", "")
@@ -127,8 +137,7 @@ def patents(c: Column) -> Column:
 def authors(c: Column) -> Column:
     """Names between commas, semicolons and "and", two characters or more, first spelling kept of each."""
     names = F.filter(F.transform(F.split(text_of(c), r"(?i)\s*[,;]\s*|\s+and\s+"), clean), lambda a: F.length(a) >= 2)
-    lower = F.transform(names, F.lower)
-    return F.filter(names, lambda a, i: F.array_position(lower, F.lower(a)) == i + 1)
+    return first_of_each(names)
 
 
 def tender_deadline(c: Column) -> Column:

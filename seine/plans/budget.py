@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seine.functions.text import first_of_each
+
 # Queries for each provider (ddg, exa, tavily, serpapi), least candidates and candidates per result, by mode.
 CAPS = {"fast": ((4, 2, 0, 0), 30, 3), "balanced": ((7, 5, 4, 0), 100, 3), "deep": ((12, 8, 6, 4), 200, 4)}
 PEOPLE = {"fast": (4, 10, 0, 4), "balanced": (4, 15, 0, 5), "deep": (6, 20, 0, 8)}
@@ -54,6 +56,5 @@ def provider_order(tasks: DataFrame) -> DataFrame:
 def queries(tasks: DataFrame, terms: Column, entity: Column, places: Column, most: int) -> DataFrame:
     """(task columns, n, query): terms x entity x places, the first `most` different ones of each task."""
     texts = F.flatten(F.transform(terms, lambda t: F.transform(F.when(F.size(places) == 0, F.array(F.lit(""))).otherwise(places), lambda p: F.trim(F.concat_ws(" ", t, entity, p)))))
-    lower = F.transform(texts, F.lower)
-    once = F.filter(texts, lambda q, i: (q != "") & (F.array_position(lower, F.lower(q)) == i + 1))
+    once = first_of_each(F.filter(texts, lambda q: q != ""))
     return tasks.select("*", F.posexplode(F.slice(once, 1, most)).alias("n", "query"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seine.functions import geo
-from seine.functions.text import clean
+from seine.functions.text import bound, clean
 
 # Words that decide, in the order in which they are tried.
 TASK_TYPES = (
@@ -31,8 +31,7 @@ def _first(t: Column, rules, otherwise: str) -> Column:
 
 def once_said(c: Column) -> Column:
     """A prompt without sentences that only repeat the one before."""
-    s = F.split(clean(c), r"(?<=[.!?])\s+")
-    return F.array_join(F.filter(s, lambda x, i: (i == 0) | (F.lower(x) != F.lower(F.get(s, i - 1)))), " ")
+    return bound(F.split(clean(c), r"(?<=[.!?])\s+"), lambda s: F.array_join(F.filter(s, lambda x, i: (i == 0) | (F.lower(x) != F.lower(F.get(s, i - 1)))), " "))
 
 
 def clauses(c: Column) -> Column:
