@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seine.registered import plans, records, texts
+from seine.registered import extracts, plans, records, texts
 
-_PARTS = (texts, records, plans)
+_PARTS = (texts, records, plans, extracts)
 flagship = records.flagship
 
 
