@@ -76,3 +76,24 @@ def validated(kind: str) -> Column:
     }
     ok, reason, delta = lists[kind]
     return F.struct(ok.alias("accepted"), delta.cast("double").alias("score_delta"), F.when(ok, F.array().cast("array<string>")).otherwise(F.array(F.lit(reason))).alias("reasons"))
+
+
+def outside_geography(include: list[str], exclude: list[str], exclude_presence: list[str], strict: bool, body: Column, countries_in) -> Column:
+    """Whether a record breaks a request's rules of place: seat or country excluded, a presence excluded in its text, or
+    none of the wanted countries in seat, country or text where the request is strict."""
+    seats = F.array(F.col("hq_country"), F.col("country"))
+    spoken = countries_in(body)
+    listed = lambda names: F.array(*[F.lit(n) for n in names])
+    out = F.lit(False)
+    if exclude:
+        out = out | F.arrays_overlap(seats, listed(exclude))
+    if exclude_presence:
+        out = out | F.arrays_overlap(F.concat(seats, spoken), listed(exclude_presence))
+    if include and strict:
+        out = out | ~F.arrays_overlap(F.concat(seats, spoken), listed(include))
+    return out
+
+
+def american_path(url: Column) -> Column:
+    """A path for the American market on a .com host without one for the world."""
+    return url.rlike(r"[.]com/") & url.rlike(r"/(?:us|usa|en-us|united-states)(?:/|$)") & ~url.rlike(r"/(?:global|international|worldwide)(?:/|$)")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from seine.functions import html, text, urls
+from seine.functions import geo, html, text, urls
 from seine.operators import filters, reports, resolve, score
 from seine.registered.texts import _CLEAN_NAME, _HOST, _VISIBLE
 from seine.session import table
-from seine.sources import fixtures
+from seine.sources import fixtures, seeds
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +137,12 @@ _add("cache_purge", lambda spark, d: table(spark, d, "events").agg(F.count_if(F.
 _add("provider_weights", lambda spark, d: reports.weights(table(spark, d, "nation").select("n_name", (F.col("n_nationkey") + 1).alias("p")), "n_name", "p"), "SELECT n_name, round((n_nationkey + 1) / sum(n_nationkey + 1) OVER (), 4) AS weight FROM nation")
 _add("similar_topk", lambda spark, d: reports.top_similar(table(spark, d, "embeddings"), table(spark, d, "embeddings").filter("vec_id < 5"), 5), """SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id)::INTEGER AS rank
   FROM embeddings q JOIN embeddings v ON q.vec_id < 5 AND q.vec_id <> v.vec_id) WHERE rank <= 5""")
+
+
+# --- seeds and places ---------------------------------------------------------------------------------------------------
+
+_DOMAINS = f"SELECT DISTINCT CASE WHEN domain <> '' THEN 'example.com' END AS k FROM {R} WHERE domain <> ''"
+_add("seed_index", _records(lambda r: seeds.summary(seeds.keys(r.select("company_name", "domain", "website")))), f"""SELECT 'domain' AS kind, count(*) AS n FROM ({_DOMAINS}) UNION ALL SELECT 'company', count(DISTINCT c) FROM (SELECT {_CLEAN_NAME} AS c FROM {R}) WHERE c <> ''""")
+_add("seed_unknown", _records(lambda r: seeds.unknown(r, seeds.keys(r.filter("seq % 9 = 4").select("company_name")), "company", "company_name").select("seq")), f"SELECT seq FROM (SELECT seq, {_CLEAN_NAME} AS c FROM {R}) WHERE c = '' OR c NOT IN (SELECT c FROM (SELECT seq, {_CLEAN_NAME} AS c FROM {R}) WHERE seq % 9 = 4 AND c <> '')")
+_add("geo_violations", _records(lambda r: r.select("seq", filters.outside_geography(["norway", "egypt"], ["usa"], [], True, F.col("description"), lambda c: geo.countries_in(c)).alias("outside"))), f"""SELECT seq, hq_country = 'usa' OR country = 'usa' OR NOT (hq_country IN ('norway', 'egypt') OR country IN ('norway', 'egypt') OR contains(lower(description), 'norway') OR contains(lower(description), 'egypt')) AS outside FROM {R}""")
+_add("url_geo_signal", lambda spark, d: table(spark, d, "pages").select("page_id", filters.american_path(F.lower("url")).alias("american")), "SELECT page_id, regexp_matches(lower(url), '[.]com/') AND regexp_matches(lower(url), '/(?:us|usa|en-us|united-states)(?:/|$)') AND NOT regexp_matches(lower(url), '/(?:global|international|worldwide)(?:/|$)') AS american FROM pages")
