@@ -165,16 +165,15 @@ class RunIndex:
         rows = np.argsort(rank, kind="stable")
         before = np.where(rows > 0, symbols[rows - 1], 0)
         before[np.isin(rows, np.concatenate([[0], ends[:-1] + 1]))] = 0
-        self.heads = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-        self.symbols = before[self.heads]
         # intervals of agreeing rows and the earliest passage of each that holds the window whole
         ranked = rank[rows]
         self.starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         left = ends[owner[rows]] - rows
         place = np.where(left >= length, order[owner[rows]], np.iinfo(np.int64).max)
         self.first = np.minimum.reduceat(place, self.starts)
-        # sampled rows: where each passage's last window starts. Stepping backwards goes through `back`, which holds
-        # one number for each run: rows inside a run step together as long as intervals don't mix their order.
+        # sampled rows: where each passage's last window starts. Runs are rows with one symbol before them that step
+        # back side by side; ties in the order may cut a run of the transform in two. A run keeps its symbol (0 before a
+        # passage's begin) and the row that its first row steps back to.
         row_of = np.empty(n, np.int64)
         row_of[rows] = np.arange(n)
         self.sampled = row_of[np.maximum(ends - length, 0)]
@@ -182,7 +181,7 @@ class RunIndex:
         stepped = row_of[np.maximum(rows - 1, 0)]
         broken = np.concatenate([[True], (before[1:] != before[:-1]) | (stepped[1:] != stepped[:-1] + 1)])
         self.runs = np.flatnonzero(broken)
-        self.back = stepped[self.runs]
+        self.symbols, self.back = before[self.runs], stepped[self.runs]
 
     @staticmethod
     def _deepen(rank: np.ndarray, step: int, n: int, ends: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -198,14 +197,14 @@ class RunIndex:
     def stream(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """From the last window of each passage to its first: (how many from the last, passages, their windows' first
         places)."""
-        alive = np.arange(len(self.sizes))
-        row = self.sampled
-        for back in range(int(self.sizes.max(initial=0)) - self.length + 1):
+        alive = np.flatnonzero(self.sizes >= self.length)
+        row, back = self.sampled[alive], 0
+        while len(alive):
             yield back, alive, self.first[np.searchsorted(self.starts, row, "right") - 1]
-            more = self.sizes[alive] - self.length > back
-            alive, row = alive[more], row[more]
             run = np.searchsorted(self.runs, row, "right") - 1
-            row = self.back[run] + row - self.runs[run]
+            more = self.symbols[run] != 0
+            alive, row, run = alive[more], row[more], run[more]
+            row, back = self.back[run] + row - self.runs[run], back + 1
 
 
 def repeats(texts: list[bytes], order: np.ndarray, length: int) -> list[tuple[int, int, int]]:
@@ -226,36 +225,109 @@ def repeats(texts: list[bytes], order: np.ndarray, length: int) -> list[tuple[in
     return list(zip(who[new].tolist(), at[new].tolist(), count.tolist(), strict=True))
 
 
-def _resolve(length: int, most_bytes: int = 1_500_000):
-    """Rows sorted by group -> (id, start, windows) of marked windows; groups come whole, a batch goes on at a border."""
+FIRST = "id long, start int, windows int, at int, anchor long, later boolean"
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (again, anchor, digest, id, start) -> what is not the first of equal passages (later), and the
+    first of each kind of passage of an anchor that has several kinds.
+
+    Only the last row, the first of its kind, and whether its anchor had several kinds go from batch to batch, so an
+    anchor of any number of rows streams through.
+    """
+    state = None  # (anchor, digest, id, start) of the last first row; its row if that is still unsent
+
+    for batch in batches:
+        c = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(batch.schema.names)}
+        n = len(c["id"])
+        if not n:
+            continue
+        again = c["again"].astype(bool)
+        anchor, digest, who, start = c["anchor"], c["digest"], c["id"], c["start"]
+        new_anchor, new_kind = np.ones(n, bool), np.ones(n, bool)
+        new_anchor[1:] = anchor[1:] != anchor[:-1]
+        new_kind[1:] = new_anchor[1:] | (digest[1:] != digest[:-1])
+        new_anchor[again] = new_kind[again] = False
+        fresh = np.flatnonzero(~again)
+        sent = []
+        if len(fresh):
+            f = fresh[0]
+            new_anchor[f] = state is None or anchor[f] != state["anchor"]
+            new_kind[f] = new_anchor[f] or digest[f] != state["digest"]
+        # place of the first row of each row's kind; -1: it came in an earlier batch
+        top = np.maximum.accumulate(np.where(new_kind, np.arange(n), -1))
+        first_id, first_start = np.where(top < 0, state["id"] if state else 0, who[top]), np.where(top < 0, state["start"] if state else 0, start[top])
+        later = again | (~new_kind & ((who != first_id) | (start != first_start)))
+        # kinds of anchors that have several: all but an anchor's first kind surely, that one if another follows
+        kinds = np.flatnonzero(new_kind)
+        opens = new_anchor[kinds]
+        follows = np.concatenate([~opens[1:], [False]]) if len(kinds) else np.zeros(0, bool)
+        several = kinds[~opens | follows]
+        if len(kinds) and not opens[0] and state and state["row"] is not None:
+            sent.append(state["row"])
+        keep = np.zeros(n, bool)
+        keep[several] = True
+        if len(kinds):
+            k = kinds[-1]
+            unsent = None if keep[k] else tuple(int(c[x][k]) for x in ("id", "start", "windows", "at", "anchor"))
+            state = {"anchor": anchor[k], "digest": digest[k], "id": who[k], "start": start[k], "row": unsent}
+        take = np.flatnonzero(later | keep)
+        columns = [np.concatenate([[r[m] for r in sent], c[x][take]]) for m, x in enumerate(("id", "start", "windows", "at", "anchor"))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns[0].astype(np.int64)), *[pa.array(x.astype(np.int32)) for x in columns[1:4]], pa.array(columns[4].astype(np.int64)), pa.array(np.concatenate([np.zeros(len(sent), bool), later[take]]))],
+            ["id", "start", "windows", "at", "anchor", "later"],
+        )
+
+
+RESOLVED = "id long, start int, windows int, at int, anchor long, body binary"
+
+
+def _resolve(length: int, crowd: int, most_bytes: int = 1_500_000):
+    """Rows sorted by group -> (id, start, windows) of marked windows. Groups of one passage say nothing; groups of more
+    than `crowd` come out as they are, with their bytes."""
+    names = ["id", "start", "windows", "at", "anchor", "body"]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+    def settle(rows: list[dict]) -> pa.RecordBatch:
+        # one passage may come in two groups; it is indexed once
+        unique = list({(r["id"], r["start"]): r for r in rows}.values())
+        places = np.array([(r["id"], r["start"] + r["at"]) for r in unique], np.int64)
+        by = np.lexsort((places[:, 1], places[:, 0]))
+        order = np.empty(len(unique), np.int64)
+        order[by] = np.concatenate([[0], np.cumsum((places[by][1:] != places[by][:-1]).any(1))])
+        marked = repeats([r["body"] for r in unique], order, length)
+        return out([(unique[w]["id"], unique[w]["start"] + a, count, None, None, None) for w, a, count in marked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        size = 0
-
-        def settle(rows: list[dict]) -> pa.RecordBatch:
-            # one passage may come in two groups; it is indexed once
-            unique = list({(r["id"], r["start"]): r for r in rows}.values())
-            places = np.array([(r["id"], r["start"] + r["at"]) for r in unique], np.int64)
-            by = np.lexsort((places[:, 1], places[:, 0]))
-            order = np.empty(len(unique), np.int64)
-            change = np.concatenate([[0], np.cumsum((places[by][1:] != places[by][:-1]).any(1))])
-            order[by] = change
-            marks = repeats([r["body"] for r in unique], order, length)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([unique[w]["id"] for w, _, _ in marks], pa.int64()), pa.array([unique[w]["start"] + a for w, a, _ in marks], pa.int32()), pa.array([c for _, _, c in marks], pa.int32())], ["id", "start", "windows"]
-            )
-
-        last = None
+        group: list[dict] = []
+        last, size, crowded = None, 0, False
+        raw = lambda rows: out([(r["id"], r["start"], None, r["at"], r["anchor"], r["body"]) for r in rows])
         for batch in batches:
             for r in batch.to_pylist():
-                group = (r["anchor"], r["side"], r["near"])
-                if group != last and size >= most_bytes:
-                    yield settle(held)
-                    held, size = [], 0
-                last = group
-                held.append(r)
-                size += len(r["body"])
+                name = (r["anchor"], r["side"], r["near"])
+                if name != last:
+                    if crowded:
+                        yield raw(group)
+                    elif len(group) > 1:
+                        held += group
+                        size += sum(len(x["body"]) for x in group)
+                    group, last, crowded = [], name, False
+                    if size >= most_bytes:
+                        yield settle(held)
+                        held, size = [], 0
+                group.append(r)
+                if len(group) > crowd:
+                    crowded = True
+                    yield raw(group)
+                    group = []
+        if crowded:
+            yield raw(group)
+        elif len(group) > 1:
+            held += group
         if held:
             yield settle(held)
 
@@ -277,7 +349,7 @@ def _bodies(length: int, k: int):
                         if part is not None:
                             for n, v in zip(out, (q["anchor"], side, _signed(xxhash.xxh3_64_intdigest(part)), who, q["start"], at, body), strict=True):
                                 out[n].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary()), strict=True)], list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], list(out))
 
     return run
 
@@ -288,27 +360,18 @@ def _signed(x: int) -> int:
 
 def marks(docs: DataFrame, length: int = LENGTH, k: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(id, start, windows): runs of windows that start earlier too. docs: (id long without nulls, text)."""
-    spark = docs.sparkSession
-    found = common.store(find(docs, length, k), "passages")
-    sent = found.filter(~F.col("again")).drop("again").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "anchor")
-    classes = sent.groupBy("anchor", "digest").agg(F.min(F.struct("id", "start", "windows", "at")).alias("first"))
-    # equal passages: all but the first
-    later = sent.join(classes, ["anchor", "digest"]).filter((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
-    equal = common.store(found.filter("again").select("id", "start", F.col("windows").cast("int").alias("windows")).unionByName(later.select("id", "start", F.col("windows").cast("int").alias("windows"))), "repeated")
-    # different passages of one anchor: the first of each goes on, with its bytes
-    several = classes.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    asked = common.store(classes.join(several, "anchor").select("anchor", F.col("first.id").alias("id"), F.col("first.start").alias("start"), F.col("first.windows").alias("windows"), F.col("first.at").alias("at")), "asked")
-    common.discard(found)
-    by_doc = asked.groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "windows", "at")).alias("asked"))
-    bodies = docs.join(by_doc, "id").select("id", "text", "asked").mapInArrow(_bodies(length, k), "anchor long, side string, near long, id long, start int, at short, body binary")
-    bodies = common.store(bodies, "bodies")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # what its own task has seen before only passes through, so it is spread by document and not sent to its anchor
+    spread = F.when(F.col("again"), F.xxhash64("id", "start")).otherwise(F.col("anchor"))
+    dealt = find(docs, length, k).repartition(parts, spread).sortWithinPartitions("again", "anchor", "digest", "id", "start")
+    classes = common.store(dealt.mapInArrow(_classes, FIRST), "passages")
+    equal = classes.filter("later").select("id", "start", "windows")
+    by_doc = classes.filter("not later").groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "windows", "at")).alias("asked"))
+    bodies = docs.join(by_doc, "id").select("id", "text", "asked").mapInArrow(_bodies(length, k), "anchor long, side string, near long, id long, start int, at int, body binary")
     group = ["anchor", "side", "near"]
-    sizes = bodies.groupBy(*group).agg(F.count("*").alias("n")).filter("n > 1")
-    dealt = bodies.join(sizes, group)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small = dealt.filter(F.col("n") <= crowd).drop("n").repartition(parts, *group).sortWithinPartitions(*group)
-    indexed = small.mapInArrow(_resolve(length), "id long, start int, windows int")
-    return equal.unionByName(indexed).unionByName(_crowded(dealt.filter(F.col("n") > crowd), length))
+    grouped = bodies.repartition(parts, *group).sortWithinPartitions(*group)
+    resolved = common.store(grouped.mapInArrow(_resolve(length, crowd), RESOLVED), "resolved")
+    return equal.unionByName(resolved.filter("body is null").select("id", "start", "windows")).unionByName(_crowded(resolved.filter("body is not null"), length))
 
 
 def _crowded(dealt: DataFrame, length: int) -> DataFrame:

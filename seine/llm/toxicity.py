@@ -22,6 +22,7 @@ repeated rows are scored alike; other columns are ignored; an empty table gives
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -36,7 +37,7 @@ from seine.session import table
 
 SAMPLE, POSITIVES, NEGATIVES, LANDMARKS = 4000, 600, 6_000, 128
 DECAY, LENGTH, SYMBOLS, LONGEST, TOP = 0.6, 4, 32, 20, 4
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 SENTENCE = r"[.!?\n]+\s*"
 STRIP = ".,;:!?\"'()[]{}«»„“”‘’…"
 SPACED = re.compile(r"(?<!\S)\w(?:[ \-_.*]\w){2,}(?!\w)")
@@ -141,7 +142,7 @@ def sums(words: list[str], tables: np.ndarray) -> np.ndarray:
     for n, members in by_length(words).items():
         if n + 1 < LENGTH:
             continue
-        step = max(1, 2_000_000 // len(gapped(n + 1)[0]))
+        step = max(1, 1_000_000 // len(gapped(n + 1)[0]))
         for start in range(0, len(members), step):
             some = members[start : start + step]
             code = codes([words[i] for i in some])
@@ -232,6 +233,7 @@ class Model:
 
     def __init__(self, values: np.ndarray, bias: float, layer: np.ndarray | None = None):
         self.values, self.bias, self.layer = values.astype(np.float32), bias, layer
+        self.name = hashlib.sha256(self.values.tobytes()).hexdigest()
 
     def margins(self, fresh: list[str]) -> list[float]:
         pieces = [(i, v) for i, u in enumerate(fresh) for v in variants(u)]
@@ -242,11 +244,23 @@ class Model:
         return out.tolist()
 
 
+#: Margins of words that this Python worker has met, by model; one model's at a time.
+_known: dict[str, dict[str, float]] = {}
+
+
+def known_to(model: Model) -> dict[str, float]:
+    if model.name not in _known:
+        _known.clear()
+        _known[model.name] = {}
+    return _known[model.name]
+
+
 def _judge(shared):
     """Batches whose first column is text -> that column replaced by (features of the bag, its worst word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
+        model = shared.value
+        known = known_to(model)
         for batch in batches:
             bags, tops = [], []
             texts = batch.column(0).to_pylist()
