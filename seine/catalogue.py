@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seine.registered import extracts, plans, records, texts
+from seine.registered import extracts, plans, records, sets, texts
 
-_PARTS = (texts, records, plans, extracts)
+_PARTS = (texts, records, plans, extracts, sets)
 flagship = records.flagship
 
 
