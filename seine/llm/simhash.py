@@ -38,25 +38,32 @@ LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 BITS, BLOCK = 64, 2048
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """Majority of the bits of XXH64 (seed 42) over shingles of `width` words, repeats included; 0 without words."""
+def hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of `width` words, repeats included; of all words where there are no more."""
     words = WORD.findall((text or "").translate(LOWER))
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(" ".join(words).encode(), 42)
+        return np.array([digest(" ".join(words).encode(), 42)], np.uint64)
     flat = [w.encode() for w in words]
     joined = b" ".join(flat)
     ends = np.cumsum([len(w) + 1 for w in flat]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: len(flat) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(flat) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(whole: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 without hashes."""
     counts = np.zeros(BITS, np.int64)
-    whole = np.array(hashes, np.uint64)
     for at in range(0, len(whole), 65_536):
         counts += np.unpackbits(whole[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = counts * 2 > len(whole)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(counts * 2 > len(whole), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """Majority of the bits of XXH64 (seed 42) over shingles of `width` words, repeats included; 0 without words."""
+    return majority(hashes(text, width))
 
 
 def _signed(x: int) -> int:

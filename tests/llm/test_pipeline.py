@@ -1,8 +1,10 @@
 """The pipeline against its stages by hand on a small corpus, and on the smallest tables."""
 
+import random
+
 import corpus_pipeline
-from seine.llm import toxicity
-from tests.llm.test_operators import SF, brute_fingerprint
+from seine.llm import resemblance, toxicity
+from tests.llm.test_operators import SF, brute_fingerprint, docs
 
 
 def test_pipeline(spark):
@@ -26,3 +28,36 @@ def test_pipeline(spark):
     assert model is not None
     final = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in final} == set(after) and all(r.intact for r in final) and len(final) < len(rows)
+
+
+def test_near_duplicates_by_resemblance(spark):
+    """Every two texts of five-word-shingle similarity 0.8 or more are joined, and none below."""
+    rng = random.Random(8)
+    texts = [None, "", " ", "one two", "ONE two", "one three"]
+    for _ in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([40, 150, 600]))]
+        texts.append(" ".join(base))
+        for share in (0.005, 0.015, 0.02, 0.022, 0.025, 0.03, 0.06):
+            texts.append(" ".join("edited" + str(rng.random()) if rng.random() < share else w for w in base))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+    reached = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                reached += len(sets[i]) > 1 and (brute_fingerprint(texts[i]) ^ brute_fingerprint(texts[j])).bit_count() > 4
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert reached
+    for block in (3, 2048):
+        assert {r.doc_id: r.component for r in resemblance.cluster(docs(spark, texts), block).collect()} == dict(enumerate(root))
+    kept = corpus_pipeline.near_duplicates(spark, docs(spark, texts), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root)) and kept.columns == docs(spark, []).columns
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, b = "some words of one text here", "quite other words in this text"
+    assert sorted([r.doc_id for r in resemblance.keep_one(docs(spark, [a, a, b, b], [1, 1, None, None])).collect()], key=str) == [1, None]
