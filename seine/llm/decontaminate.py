@@ -55,21 +55,29 @@ def typed(raw: Column) -> Column:
     return F.transform(raw, one)
 
 
-def templates(rows: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, hashes, slots): the hash of each window by place, and (place, value) of each placeholder."""
+def templates(rows: DataFrame, key: str, text: str, width: int, verbatim: bool = False) -> DataFrame:
+    """(key, hashes, slots, n): the hash of each window by place, (place, value) of each placeholder, and the windows.
+
+    verbatim: as many hashes again follow, of the windows' own words with case folded; null where they are the same.
+    """
     raw = rows.select(F.col(key).alias("key"), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0)).alias("raw"))
     canon = raw.select("key", "raw", typed(F.col("raw")).alias("canon"))
     at = lambda i, j: F.get(F.col("canon"), i + j)
     starts = F.when(F.size("canon") == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.size("canon") - width, F.lit(0))))
     hashes = F.transform(starts, lambda i: F.xxhash64(*[at(i, j) for j in range(width)]))
+    if verbatim:
+        folded = lambda i, j: F.lower(F.rtrim(F.get(F.col("raw"), i + j), F.lit(".!?:")))
+        own = F.transform(starts, lambda i: F.nullif(F.xxhash64(*[folded(i, j) for j in range(width)]), F.xxhash64(*[at(i, j) for j in range(width)])))
+        hashes = F.concat(hashes, own)
     held = F.transform("canon", lambda c, i: F.when(c.startswith("<"), F.struct(i.alias("at"), F.lower(F.rtrim(F.get(F.col("raw"), i), F.lit(".!?:"))).alias("value"))))
-    return canon.select("key", hashes.alias("hashes"), F.filter(held, lambda s: s.isNotNull()).alias("slots"))
+    return canon.select("key", hashes.alias("hashes"), F.filter(held, lambda s: s.isNotNull()).alias("slots"), F.size(starts).alias("n"))
 
 
 def flattened(made: DataFrame) -> DataFrame:
     """A row for each window. The outer form keeps the optimizer from repeating the tokenizing in a filter that it
     would push below, where it would run for every token."""
-    return made.select("key", "slots", F.posexplode_outer("hashes").alias("at", "hash"))
+    flat = made.select("key", "slots", "n", F.posexplode_outer("hashes").alias("place", "hash"))
+    return flat.select("key", F.when(F.col("place") < F.col("n"), F.col("slots")).otherwise(F.slice("slots", 1, 0)).alias("slots"), (F.col("place") % F.nullif("n", F.lit(0))).alias("at"), "hash")
 
 
 def windows(made: DataFrame, width: int) -> DataFrame:
@@ -79,32 +87,54 @@ def windows(made: DataFrame, width: int) -> DataFrame:
     return flat.select("key", "at", "hash", F.transform(inside, lambda s: s["value"]).alias("values"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WINDOW, leaked: float = LEAKED) -> DataFrame:
-    """(key, item_key, n_windows, coverage) of each document and item that leaked into it."""
-    own = templates(items, item_key, item_text, width)
-    sizes = own.select(F.col("key").alias("item"), F.size("hashes").alias("item_windows"))
+def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WINDOW, leaked: float = LEAKED, verbatim: bool = False) -> DataFrame:
+    """(key, item_key, n_windows, coverage) of each document and item that leaked into it.
+
+    verbatim: windows that equal the item's word for word (case folded) count whatever their alignment's other values
+    are, and of the others only those that contradict what most of the alignment says don't.
+    """
+    own = templates(items, item_key, item_text, width, verbatim)
+    sizes = own.select(F.col("key").alias("item"), F.col("n").alias("item_windows"))
     asked = windows(own, width).select(F.col("key").alias("item"), F.col("at").alias("item_at"), "hash", F.col("values").alias("item_values"))
     if asked.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         asked = F.broadcast(asked)
     # the values are cut out after the join, of windows that matched alone
-    flat = flattened(templates(docs, key, text, width))
+    flat = flattened(templates(docs, key, text, width, verbatim))
     inside = F.filter("slots", lambda s: (s["at"] >= F.col("at")) & (s["at"] < F.col("at") + width))
     hits = flat.join(asked, "hash").select("key", "item", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", F.arrays_zip(F.col("item_values").alias("asked"), F.transform(inside, lambda s: s["value"]).alias("told")).alias("pairs"))
     hits = common.store(hits, "template-hits")
     place = ["key", "item", "shift"]
-    pairs = hits.select(*place, F.explode("pairs").alias("p")).groupBy(*place, F.col("p.asked").alias("asked")).agg((F.min("p.told") != F.max("p.told")).alias("differ"))
-    broken = pairs.filter("differ").select(*place).distinct()
     same = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
-    sound = hits.alias("h").join(broken.alias("b"), same("h", "b", place), "left_anti")
-    covered = sound.groupBy("key", "item").agg(F.countDistinct("item_at").cast("long").alias("n_windows"))
     totals = sizes.groupBy("item").agg(F.max("item_windows").alias("item_windows"))
+    sound = _prevailing(hits, place) if verbatim else _consistent(hits, place)
+    covered = sound.groupBy("key", "item").agg(F.countDistinct("item_at").cast("long").alias("n_windows"))
     joined = covered.alias("c").join(totals.alias("t"), same("c", "t", ["item"])).select("key", F.col("c.item").alias("item"), "n_windows", F.round(F.col("n_windows") / F.col("item_windows"), 6).alias("coverage"))
     return joined.filter(F.col("coverage") >= leaked).select(F.col("key").alias(key), F.col("item").alias(item_key), "n_windows", "coverage")
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _consistent(hits: DataFrame, place: list[str]) -> DataFrame:
+    """Hits of alignments in which no value of the item stands for two values of the text."""
+    pairs = hits.select(*place, F.explode("pairs").alias("p")).groupBy(*place, F.col("p.asked").alias("asked")).agg((F.min("p.told") != F.max("p.told")).alias("differ"))
+    broken = pairs.filter("differ").select(*place).distinct()
+    return hits.alias("h").join(broken.alias("b"), [F.col(f"h.{c}").eqNullSafe(F.col(f"b.{c}")) for c in place], "left_anti")
+
+
+def _prevailing(hits: DataFrame, place: list[str]) -> DataFrame:
+    """Hits but those with a value other than the one that mostly stands for the item's value along the alignment; of
+    values that are as frequent the item's own is taken, then the least. Hits without values all stay."""
+    told = hits.select(*place, F.explode("pairs").alias("p")).groupBy(*place, F.col("p.asked").alias("asked"), F.col("p.told").alias("told")).agg(F.count("*").alias("c"))
+    ranked = told.select("*", F.struct(-F.col("c"), F.col("told") != F.col("asked"), F.col("told")).alias("order"))
+    best = ranked.groupBy(*place, "asked").agg(F.min_by("told", "order").alias("best"))
+    against = told.alias("o").join(best.alias("b"), [F.col(f"o.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*place, "asked"]]).filter("told <> best")
+    odd = against.groupBy(*[F.col(f"o.{c}").alias(c) for c in place]).agg(F.collect_set(F.struct(F.col("o.asked").alias("asked"), F.col("o.told").alias("told"))).alias("odd"))
+    joined = hits.alias("h").join(odd.alias("b"), [F.col(f"h.{c}").eqNullSafe(F.col(f"b.{c}")) for c in place], "left")
+    verbatim = ~F.exists("pairs", lambda p: ~p["asked"].eqNullSafe(p["told"]))
+    return joined.filter(verbatim | F.col("odd").isNull() | ~F.arrays_overlap("pairs", "odd")).select("h.*")
+
+
+def clean(docs: DataFrame, items: DataFrame, verbatim: bool = False) -> DataFrame:
     """The rows of docs into which no item leaked."""
-    return docs.join(leaks(docs, items).select(F.col("doc_id").alias("leaked_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti")
+    return docs.join(leaks(docs, items, verbatim=verbatim).select(F.col("doc_id").alias("leaked_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
