@@ -24,6 +24,10 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "live")
 
+#: One owner's documents from which on redact() takes a value for a pasted example: a credential in use is kept in few
+#: places, and the count is of documents that near-duplicate removal left.
+REPOSITORIES = 10
+
 SPAN = "struct<start:int,k:int,end:int,vstart:int,value:string>"
 
 
@@ -80,12 +84,16 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.join(repositories, "digest")
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None, copied_from: int = 2) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None, copied_from: int = 2, repositories_from: int | None = None) -> DataFrame:
     """One row for each of docs: key, base and live spans (start, kind index, end), values (start, end, live) and n_copied.
 
     A value with fewer than `copied_from` owners is owner-specific; from that many owners on it is a copied
-    example. `repository` defaults to the key: each document is then a repository of its own.
+    example. `repository` defaults to the key: each document is then a repository of its own. With
+    `repositories_from`, a value in that many repositories is a copied example too, even if one owner has them all.
     """
+    copied = F.col("n_owners") >= copied_from
+    if repositories_from is not None:
+        copied = copied | (F.col("n_repositories") >= repositories_from)
     found = docs.select(
         F.col(key).alias("key"),
         F.col(owner).cast("string").alias("owner"),
@@ -103,8 +111,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str =
         .join(counts, "digest")
         .groupBy("key")
         .agg(
-            F.collect_set(F.when(F.col("looks") & (F.col("n_owners") < copied_from), F.col("digest"))).alias("live"),
-            F.collect_set(F.when(F.col("n_owners") >= copied_from, F.col("digest"))).alias("copied"),
+            F.collect_set(F.when(F.col("looks") & ~copied, F.col("digest"))).alias("live"),
+            F.collect_set(F.when(copied, F.col("digest"))).alias("copied"),
         )
         .withColumnRenamed("key", "judged_key")
     )
@@ -132,13 +140,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame) -> DataFrame:
+def redact(docs: DataFrame, repositories_from: int = REPOSITORIES) -> DataFrame:
     """docs with the value of every base span masked in `text`: <secret> where it is live, <credential> elsewhere.
 
+    Live takes one owner at most and fewer than `repositories_from` documents.
     Rows are told apart by id and text, so repeated ids do no harm.
     """
     row = F.xxhash64("doc_id", "text")
-    found = scan(docs.withColumn("seine_row", row), key="seine_row", repository="doc_id")
+    found = scan(docs.withColumn("seine_row", row), key="seine_row", repository="doc_id", repositories_from=repositories_from)
     found = found.filter(F.size("values") > 0).groupBy("seine_row").agg(F.first("values").alias("seine_values"))
     joined = docs.withColumn("seine_row", row).join(found, "seine_row", "left")
 

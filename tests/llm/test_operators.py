@@ -302,6 +302,14 @@ def test_secrets(spark):
     assert clean[1].text == "token:'<credential>'"
 
 
+def test_redact_by_owners_and_repositories(spark):
+    pasted, live = "Zk3v9QpL0xTb7RwY2mNc", "Aa1Bb2Cc3Dd4Ee5Ff6Gg"
+    texts = [f"password={pasted} n{i}" for i in range(secrets.REPOSITORIES)] + [f"password={live} n{i}" for i in range(secrets.REPOSITORIES - 1)]
+    frame = docs(spark, texts).withColumn("source", F.lit("one"))
+    masks = [r.text.split()[0] for r in secrets.redact(frame).orderBy("doc_id").collect()]
+    assert masks == ["password=<credential>"] * secrets.REPOSITORIES + ["password=<secret>"] * (secrets.REPOSITORIES - 1)
+
+
 # --- top-k ------------------------------------------------------------------------------------------------------------
 
 
