@@ -97,13 +97,16 @@ def _events(spark, d):
     return spark.readStream.schema(schema).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _streamed(build, columns):
+def _streamed(build, columns, keys=None):
+    """The stream's rows; with keys, the last row of each, windows that are still open included."""
+
     def query(spark, d):
-        spark.conf.set("spark.sql.streaming.checkpointLocation", spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seine-stream-"))
-        return dedup.run_once(build(_events(spark, d)), "s" + uuid.uuid4().hex).select(*columns)
+        folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seine-stream-")).rstrip("/") + "/seine-stream-" + uuid.uuid4().hex
+        rows = dedup.run_once(build(_events(spark, d)), folder, "update" if keys else "append")
+        return (dedup.latest(rows, keys) if keys else rows).select(*columns)
 
     return query
 
 
 _add("stream_dedup_ttl", _streamed(lambda s: dedup.first_within(s.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "60 days"), ["user_id", "event_type"]), "SELECT DISTINCT user_id, event_type FROM events")
-_add("stream_budget", _streamed(lambda s: dedup.budget_left(s, "ts", "event_type", 100), ["start", "event_type", "n", "remaining"]))
+_add("stream_budget", _streamed(lambda s: dedup.budget_left(s, "ts", "event_type", 100), ["start", "event_type", "n", "remaining"], ["start", "event_type"]), "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, greatest(0, 100 - count(*))::BIGINT AS remaining FROM events GROUP BY ALL")

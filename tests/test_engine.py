@@ -52,3 +52,12 @@ def test_countries(spark):
     cells = ["From Cairo, and the U.S.A!", "romeo parisian", "عن مصر", None]
     got = [r.v for r in spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").orderBy("i").select(geo.countries_in(F.col("c")).alias("v")).collect()]
     assert got == [["egypt", "usa"], [], ["egypt"], []]
+
+
+def test_stream_budget_has_the_last_day(spark):
+    from seine.registered import plans
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    got = {(r.start, r.event_type): (r.n, r.remaining) for r in plans.QUERIES["stream_budget"](spark, SF).collect()}
+    want = {(r.day, r.event_type): (r.n, max(0, 100 - r.n)) for r in events.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day"), "event_type").agg(F.count("*").alias("n")).collect()}
+    assert got == want
