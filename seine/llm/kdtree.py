@@ -1,33 +1,45 @@
 """Exact top-k by inner product: a KD-tree in every shard, searched best first.
 
-Vectors are dealt by hash into shards of bounded size. Each shard is cut by median splits along its widest
-coordinate into leaves with tight bounding boxes and becomes one packed row. Queries come in blocks; every block
-meets every shard once, through a join on the block number. Within a meeting a query opens leaves in the order
-of the bound that their boxes allow, and stops at the first whose bound is below its k-th score so far. That
-k-th score starts from a first round, in which each query opens the best leaf of every shard and the shards'
-answers are merged, so a shard without a chance is left at its root.
+Vectors are dealt by hash into shards of bounded bytes. Each shard is cut by median splits along the widest coordinate
+of a node until a leaf is small enough; every node, inner ones included, has a tight bounding box. A shard is one row
+with its packed tree. Queries travel to the shards as rows: a task holds one tree and streams the queries that ask it.
+
+A query searches a tree from the root with a heap of nodes ordered by the most that a point of their boxes can score,
+opens the best node first, and stops when that is below its k-th score. The k-th score is propagated: shards answer in
+rounds, each of as many shards as all rounds before it, and queries carry the k scores known so far. So a round adds
+about k rows a query, whatever the number of shards, and a tree without a chance is left at its root.
 
 Defined results: a null or empty vector, or one with a null or non-finite component, takes no part, as query or candidate;
-vectors are compared with those of their own length only; a query's own vec_id is no candidate of its; repeated
-rows are candidates each; ties go to the smaller vec_id; fewer candidates than k give fewer rows; an empty table
-gives no rows. Other columns are ignored.
+vectors are compared with those of their own length only; candidates are all rows but those with the query's own id;
+repeated candidate rows are candidates each; equal (id, vector) query rows are asked once, and different vectors of one
+query id share its k places; ties go to the smaller vec_id; fewer candidates than k give fewer rows; a null id takes no
+part; an empty table gives no rows. Scores are sums of doubles: exact for integers while they stay below 2 ** 53, and
+a sum without a value (infinity less infinity) counts as the least. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seine.llm import common
 from seine.session import table
 
-SHARD_ROWS = 4096
+SHARD_BYTES = 16_000_000
 LEAF_ROWS = 128
-BLOCK_QUERIES = 512
+#: Copies of a shard in a round; queries are dealt among them, so one tree is no single task's work.
+COPIES = 8
+GREATEST = float(np.finfo(np.float64).max)
+
+
+def floored(x: Column) -> Column:
+    """The greatest integer up to x, as a double; doubles beyond 2 ** 53 are integers already."""
+    return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(F.greatest(F.least(x, F.lit(GREATEST)), F.lit(-GREATEST)))
 
 
 def clean(vectors: DataFrame, key: str, vector: str, scale: int | None) -> DataFrame:
@@ -35,160 +47,192 @@ def clean(vectors: DataFrame, key: str, vector: str, scale: int | None) -> DataF
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     ok = F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     if scale is not None:
-        v = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x).cast("double"))
+        v = F.transform(v, lambda x: floored(F.lit(float(scale)) * x))
     return vectors.filter(F.coalesce(ok, F.lit(False)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("v"), F.size(vector).alias("dim"))
 
 
-def _split(points: np.ndarray, rows: np.ndarray, leaf: int) -> Iterator[np.ndarray]:
-    """Rows of each leaf: the widest coordinate is cut at its median until a leaf is small enough."""
-    stack = [rows]
-    while stack:
-        rows = stack.pop()
-        spread = points[rows].max(0) - points[rows].min(0) if len(rows) and points.shape[1] else np.zeros(1)
-        if len(rows) <= leaf or not spread.max():
-            # equal points can't be cut by value; any halves of them have the same box
-            yield from (rows[i : i + leaf] for i in range(0, len(rows), leaf)) if len(rows) > leaf else (rows,)
-            continue
-        half = len(rows) // 2
-        order = rows[np.argpartition(points[rows, spread.argmax()], half)]
-        stack += [order[half:], order[:half]]
-
-
-def _pack(pdf, leaf: int):
-    """One shard's ids, points in order of leaves, the leaves' ends and their boxes, as bytes."""
-    points = np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 0))
-    leaves = list(_split(points, np.arange(len(points)), leaf))
-    order = np.concatenate(leaves)
-    low, high = (np.stack([f(points[x], axis=0) for x in leaves]) for f in (np.min, np.max))
-    return pdf["id"].to_numpy()[order].astype(np.int64), points[order], np.cumsum([len(x) for x in leaves]).astype(np.int64), low, high
-
-
-def build(rows: DataFrame, leaf: int = LEAF_ROWS, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(shards, sizes): packed trees by (dim, shard), and the rows of each dimension (a row for each length)."""
-    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"))
-    shards_of = F.ceil(F.col("n") / F.lit(shard_rows)).cast("long")
-    dealt = rows.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("id", "v"), shards_of))
-    return dealt.select("dim", "shard", "id", "v"), sizes
-
-
-TREE = "dim int, shard long, ids binary, points binary, ends binary, low binary, high binary"
-
+# --- trees -----------------------------------------------------------------------------------------------------------
+
+
+class Tree:
+    """A KD-tree. The rows of node i are start[i] .. end[i] - 1; its children, if it has any, are child[i] and child[i] + 1."""
+
+    PARTS = (("ids", np.int64), ("points", np.float64), ("start", np.int64), ("end", np.int64), ("child", np.int64), ("low", np.float64), ("high", np.float64))
+
+    def __init__(self, dim: int, **parts: np.ndarray):
+        self.dim = dim
+        for name, _ in self.PARTS:
+            setattr(self, name, parts[name].reshape(-1, dim) if name in ("points", "low", "high") else parts[name])
+        self.most = float(np.abs(self.points).max()) if len(self.points) else 0.0
+
+    @classmethod
+    def grow(cls, ids: np.ndarray, points: np.ndarray, leaf: int) -> Tree:
+        """Median splits along the widest coordinate. Equal points can't be told apart by value; they are halved as they lie."""
+        order, nodes, child, low, high = np.arange(len(ids)), [(0, len(ids))], [], [], []
+        for a, b in nodes:  # grows on the way
+            inside = points[order[a:b]]
+            low.append(inside.min(0))
+            high.append(inside.max(0))
+            if b - a <= leaf:
+                child.append(-1)
+                continue
+            half, widest = (b - a) // 2, (high[-1] / 2 - low[-1] / 2).argmax()
+            order[a:b] = order[a:b][np.argpartition(inside[:, widest], half)]
+            child.append(len(nodes))
+            nodes += [(a, a + half), (a + half, b)]
+        start, end = np.array(nodes, np.int64).T
+        return cls(points.shape[1], ids=ids[order], points=points[order], start=start, end=end, child=np.array(child, np.int64), low=np.stack(low), high=np.stack(high))
+
+    def bounds(self, first: int, last: int, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+        """The most that points of the nodes first .. last - 1 can score: each coordinate at its better side."""
+        return self.high[first:last] @ up + self.low[first:last] @ down
+
+    def search(self, own: int, q: np.ndarray, known: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of this tree that may be among the k best, beside the k best scores known from elsewhere."""
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        slack = 4e-16 * self.dim * float(np.abs(q).sum()) * self.most
+        wild = not slack < 1e280  # products may overflow: what has no value is no ground to leave a node out, nor a score
+        kth = known.min() if len(known) >= k else -np.inf
+        found, scores = np.zeros(0, np.int64), np.zeros(0)
+        heap = [(-np.inf, 0)] if wild else [(-float(self.bounds(0, 1, up, down)[0]), 0)]
+        while heap:
+            bound, node = heappop(heap)
+            if -bound + slack < kth:
+                break
+            c = self.child[node]
+            if c >= 0:
+                for n, b in enumerate(self.bounds(c, c + 2, up, down).tolist()):
+                    if wild or b + slack >= kth:
+                        heappush(heap, (-np.inf if wild else -b, int(c) + n))
+                continue
+            a, b = self.start[node], self.end[node]
+            got = self.points[a:b] @ q
+            if wild:
+                got = np.nan_to_num(got, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+            keep = np.flatnonzero((got >= kth) & (self.ids[a:b] != own))
+            if len(keep):
+                found, scores = np.concatenate([found, self.ids[a:b][keep]]), np.concatenate([scores, got[keep]])
+                best = np.lexsort((found, -scores))[:k]
+                found, scores = found[best], scores[best]
+                both = np.concatenate([known, scores])
+                if len(both) >= k:
+                    kth = max(kth, np.partition(both, len(both) - k)[len(both) - k])
+        keep = scores >= kth
+        return found[keep], scores[keep]
+
+
+TREE = "dim int, shard long, " + ", ".join(f"`{n}` binary" for n, _ in Tree.PARTS)
+
+
+def shards(rows: DataFrame, per_shard: Column, leaf: int) -> DataFrame:
+    """One row for each shard: dim, shard number from 0 and the packed tree."""
 
-def _tree(leaf: int):
     def pack(pdf):
         import pandas as pd
 
-        ids, points, ends, low, high = _pack(pdf, leaf)
-        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])]} | {n: [a.tobytes()] for n, a in (("ids", ids), ("points", points), ("ends", ends), ("low", low), ("high", high))})
+        dim = int(pdf["dim"].iloc[0])
+        tree = Tree.grow(pdf["id"].to_numpy().astype(np.int64), np.stack(pdf["v"].to_numpy()).astype(np.float64), leaf)
+        return pd.DataFrame({"dim": [dim], "shard": [int(pdf["shard"].iloc[0])]} | {n: [np.ascontiguousarray(getattr(tree, n)).tobytes()] for n, _ in Tree.PARTS})
 
-    return pack
+    sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") / per_shard).cast("long").alias("n_shards"))
+    # a few numbers, one for each length of vector
+    dealt = rows.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("id", "v"), "n_shards"))
+    return dealt.select("dim", "shard", "id", "v").groupBy("dim", "shard").applyInPandas(pack, TREE)
 
 
-def _bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """The most that a point of each box can score, by query and box: a sum over coordinates of the better side."""
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    return up @ high.T + down @ low.T
+# --- rounds ----------------------------------------------------------------------------------------------------------
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k highest scores, smaller id first among equals."""
-    if len(scores) > 4 * k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = scores >= least
-        scores, ids = scores[keep], ids[keep]
-    order = np.lexsort((ids, -scores))[:k]
-    return scores[order], ids[order]
+def rounds(n: int) -> Iterator[tuple[int, int]]:
+    """(first, last) shard of each round: the first shard, then as many as there were before."""
+    first, last = 0, 1
+    while first < n:
+        yield first, min(last, n)
+        first, last = last, last * 2
 
 
-def _search(k: int, first: bool):
-    """Meetings of a query block and a shard -> (query, id, score). In the first round only the best leaf is opened."""
+def _answer(k: int):
+    """Rows in order of (dim, shard, copy, tree first) -> (query_id, vec_id, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
         for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                qid, q = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["queries"]).reshape(-1, dim)
-                floor = np.frombuffer(row["floors"])
-                ids, points = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["points"]).reshape(-1, dim)
-                ends = np.frombuffer(row["ends"], np.int64)
-                bounds = _bounds(q, np.frombuffer(row["low"]).reshape(-1, dim), np.frombuffer(row["high"]).reshape(-1, dim))
-                order = np.argsort(-bounds, axis=1, kind="stable")
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for n in range(len(q)):
-                    scores, found, kth = np.zeros(0), np.zeros(0, np.int64), floor[n]
-                    for leaf in order[n, :1] if first else order[n]:
-                        if bounds[n, leaf] < kth:
-                            break
-                        start = ends[leaf - 1] if leaf else 0
-                        own = ids[start : ends[leaf]]
-                        got = points[start : ends[leaf]] @ q[n]
-                        keep = (got >= kth) & (own != qid[n])
-                        scores, found = _best(np.concatenate([scores, got[keep]]), np.concatenate([found, own[keep]]), k)
-                        if len(scores) == k:
-                            kth = max(kth, scores[-1])
-                    out.append((np.full(len(found), qid[n]), found, scores))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+            trees = {n: batch.column(n) for n, _ in Tree.PARTS}
+            is_tree, dims, qids = batch.column("is_tree").to_pylist(), batch.column("dim"), batch.column("id")
+            v, known = batch.column("v"), batch.column("known")
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for i, packed in enumerate(is_tree):
+                if packed:
+                    tree = Tree(dims[i].as_py(), **{n: np.frombuffer(trees[n][i].as_buffer(), t) for n, t in Tree.PARTS})
+                    continue
+                own = qids[i].as_py()
+                with np.errstate(over="ignore", invalid="ignore"):
+                    found, scores = tree.search(own, v[i].values.to_numpy(), known[i].values.to_numpy(), k)
+                out.append((np.full(len(found), own), found, scores))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def _blocks(queries: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
-    """Packed blocks of queries of one length: (dim, block, qids, queries, floors), floors being the k-th scores known."""
-    counts = queries.groupBy("dim").agg(F.count("*").alias("n_queries"))
-    dealt = queries.join(counts, "dim").withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.ceil(F.col("n_queries") / block).cast("long")))
-
-    def pack(pdf):
-        import pandas as pd
-
-        return pd.DataFrame({
-            "dim": [int(pdf["dim"].iloc[0])], "block": [int(pdf["block"].iloc[0])], "qids": [pdf["id"].to_numpy().astype(np.int64).tobytes()],
-            "queries": [np.stack(pdf["v"].to_numpy()).astype(np.float64).tobytes()], "floors": [pdf["floor"].to_numpy().astype(np.float64).tobytes()],
-        })
-
-    return dealt.groupBy("dim", "block").applyInPandas(pack, "dim int, block long, qids binary, queries binary, floors binary")
-
-
-def _meet(blocks: DataFrame, shards: DataFrame, sizes: DataFrame, shard_rows: int) -> DataFrame:
-    """Each block beside each shard of its dimension: blocks are repeated for the shard numbers and joined on them."""
-    last = F.ceil(F.col("n") / F.lit(shard_rows)).cast("long") - 1
-    spread = blocks.join(sizes, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("n")
-    return spread.join(shards, ["dim", "shard"])
+def meet(asked: DataFrame, some: DataFrame, first: int, last: int, k: int, copies: int) -> DataFrame:
+    """The answers of the shards first .. last - 1 to all queries. asked: (id, v, dim, known)."""
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nothing = [F.lit(None).cast("binary").alias(n) for n, _ in Tree.PARTS]
+    travelling = asked.select(
+        "dim", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last - 1).cast("long"))).alias("shard"),
+        F.pmod(F.xxhash64("id", "v"), F.lit(copies)).cast("int").alias("copy"), F.lit(False).alias("is_tree"), "id", "v", "known", *nothing,
+    )
+    none = F.lit(None).cast("array<double>")
+    held = some.filter((F.col("shard") >= first) & (F.col("shard") < last)).select(
+        "dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(True).alias("is_tree"),
+        F.lit(None).cast("long").alias("id"), none.alias("v"), none.alias("known"), *[n for n, _ in Tree.PARTS],
+    )
+    there = travelling.join(some.select("dim", "shard").distinct(), ["dim", "shard"], "left_semi") if last > 1 else travelling
+    place = ["dim", "shard", "copy"]
+    dealt = held.unionByName(there).repartition(parts, *place).sortWithinPartitions(*place, F.desc("is_tree"))
+    return dealt.mapInArrow(_answer(k), "query_id long, vec_id long, score double")
 
 
 def top_k(
     vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int | None = None,
-    shard_rows: int = SHARD_ROWS, leaf: int = LEAF_ROWS, block: int = BLOCK_QUERIES,
+    shard_bytes: int = SHARD_BYTES, leaf: int = LEAF_ROWS, copies: int = COPIES,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best other rows for each row where `is_query`, a column over (id, v), holds.
 
-    Equal (id, vector) query rows are asked once. Work grows with queries x rows where boxes can't prune; memory
-    of a task holds one block and one shard.
+    Work grows with queries x rows where boxes can't prune; a task holds one shard of `shard_bytes`, or of one leaf.
     """
     rows = clean(vectors, key, vector, scale)
-    dealt, sizes = build(rows, leaf, shard_rows)
-    shards = common.store(dealt.groupBy("dim", "shard").applyInPandas(_tree(leaf), TREE), "kd")
-    sizes = common.store(sizes, "kd-sizes")
-    queries = rows.filter(is_query).dropDuplicates(["id"]).withColumn("floor", F.lit(float("-inf")))
-    answer = "query_id long, vec_id long, score double"
-    first = _meet(_blocks(queries, sizes, block), shards, sizes, shard_rows).mapInArrow(_search(k, True), answer)
+    per_shard = F.greatest(F.lit(leaf).cast("double"), F.floor(F.lit(shard_bytes) / (8 * F.col("dim"))).cast("double"))
+    made = common.store(shards(rows, per_shard, leaf), "kd")
+    queries = common.store(rows.filter(is_query).dropDuplicates(["id", "v"]), "kd-queries")
+    count = made.agg(F.max("shard").alias("last")).first().last
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    floors = first.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("known"))
-    primed = queries.join(floors, "id", "left").withColumn("floor", F.coalesce("known", "floor")).drop("known")
-    found = _meet(_blocks(primed, sizes, block), shards, sizes, shard_rows).mapInArrow(_search(k, False), answer)
-    return found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = made.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    for n, (first, last) in enumerate(rounds(0 if count is None else count + 1)):
+        scores = best.groupBy("query_id").agg(F.collect_list("score").alias("known")).withColumnRenamed("query_id", "id")
+        known = F.coalesce("known", F.array().cast("array<double>")) if n else F.array().cast("array<double>")
+        asked = (queries.join(scores, "id", "left") if n else queries).select("id", "v", "dim", known.alias("known"))
+        found = meet(asked, made, first, last, k, copies).unionByName(best.drop("rank"))
+        best = common.store(found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k), "kd-best")
+    return best.select("query_id", "rank", "vec_id", "score")
+
+
+def as_long(score: Column) -> Column:
+    """The score as a long; what a long cannot hold becomes the nearest long."""
+    return F.when(score >= 2.0**63, F.lit(2**63 - 1)).when(score <= -(2.0**63), F.lit(-(2**63))).otherwise(score.cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of all other vectors for every vec_id divisible by 20, over floor(64 * x)."""
     found = top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20, scale=64)
-    return found.select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+    return found.select("query_id", "rank", "vec_id", as_long(F.col("score")).alias("score"))
 
 
 ORACLE_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 20 = 0) q JOIN v c ON q.vec_id <> c.vec_id),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

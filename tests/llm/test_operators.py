@@ -313,15 +313,48 @@ def test_redact_by_owners_and_repositories(spark):
 # --- top-k ------------------------------------------------------------------------------------------------------------
 
 
-def test_top_k(spark):
-    rng = np.random.default_rng(1)
-    rows = [(i, rng.normal(size=8).tolist(), "x") for i in range(300)] + [(20, [1.0] * 8, "again"), (301, None, "n"), (302, [None] * 8, "n"), (303, [float("nan")] * 8, "n"), (304, [float("inf")] * 8, "n"), (340, [], "e")]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string")
+def brute_top_k(rows, k, step=20):
+    """rows: (id, integer vector). Equal (id, vector) queries are asked once; vectors of one id share its places."""
+    out = {}
+    for q, v in {(i, tuple(v)) for i, v in rows if i % step == 0}:
+        out.setdefault(q, []).extend((-sum(a * b for a, b in zip(v, c, strict=True)), i) for i, c in rows if i != q and len(c) == len(v))
+    return {q: [(n, i, -s) for n, (s, i) in enumerate(sorted(found)[:k], 1)] for q, found in out.items() if found}
+
+
+def answers(frame, **more):
     got = defaultdict(list)
-    for r in kdtree.top_k(frame, F.col("id") % 20 == 0, 5, scale=64, shard_rows=64, leaf=8, block=4).collect():
+    for r in kdtree.top_k(frame, F.col("id") % 20 == 0, 5, scale=64, **more).collect():
         got[r.query_id].append((r["rank"], r.vec_id, int(r.score)))
-    vectors = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v, _ in rows[:301]]
-    for q, v in vectors[:300]:
-        if q % 20 == 0 and q != 20:
-            best = sorted(((-int(v @ c), i) for i, c in vectors if i != q))[:5]
-            assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    return {q: sorted(found) for q, found in got.items()}
+
+
+@pytest.mark.parametrize("shard_bytes", [kdtree.SHARD_BYTES, 40 * 64])
+def test_top_k(spark, shard_bytes):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8).tolist(), "x") for i in range(300)]
+    rows += [(20, [1.0] * 8, "again"), (20, [1.0] * 8, "again"), (40, [0.5] * 8, "other"), (60, [2.0, 1.0], "short"), (61, [1.0, 3.0], "short")]
+    rows += [(i, [0.25] * 8, "tie") for i in (500, 410, 333, 333, 420)]
+    odd = [(301, None, "n"), (302, [None] * 8, "n"), (303, [float("nan")] * 8, "n"), (304, [float("inf")] * 8, "n"), (340, [], "e"), (None, [1.0] * 8, "n")]
+    frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, id string")
+    want = brute_top_k([(i, [int(np.floor(64 * x)) for x in v]) for i, v, _ in rows], 5)
+    assert answers(frame, shard_bytes=shard_bytes, leaf=8, copies=3) == want
+
+
+def test_top_k_of_great_values(spark):
+    rows = [(0, [1e300, -3.0]), (1, [1e300, 0.0]), (2, [-1e300, 1.0]), (3, [0.5, 0.5]), (4, [1e308, 1e308]), (20, [1.0, 1.0]), (40, [1e17, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = kdtree.top_k(frame, F.col("id") % 20 == 0, 3, scale=64, leaf=2).withColumn("score", kdtree.as_long(F.col("score"))).collect()
+    of = {q: [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 20, 40)}
+    most = 2**63 - 1
+    # 0 and 4 have infinity less infinity, which is the least
+    assert of[0] == [(1, most), (40, most), (20, most)] and of[20] == [(4, most), (0, most), (1, most)] and of[40] == [(0, most), (1, most), (4, most)]
+
+
+def test_tree_has_tight_boxes_and_all_points():
+    rng = np.random.default_rng(2)
+    points = np.vstack([rng.integers(-9, 9, (500, 6)), np.ones((200, 6))]).astype(float)
+    tree = kdtree.Tree.grow(np.arange(700), points, 16)
+    assert sorted(tree.ids.tolist()) == list(range(700)) and (tree.points == points[tree.ids]).all()
+    for a, b, c, low, high in zip(tree.start, tree.end, tree.child, tree.low, tree.high, strict=True):
+        assert (tree.points[a:b].min(0) == low).all() and (tree.points[a:b].max(0) == high).all()
+        assert b - a <= 16 if c < 0 else (tree.start[c], tree.end[c], tree.start[c + 1], tree.end[c + 1]) == (a, a + (b - a) // 2, a + (b - a) // 2, b)
