@@ -1,9 +1,15 @@
-"""Helpers shared by the operators: shared-folder tables, sizes and digests."""
+"""Helpers shared by the operators: shared-folder tables, joins with hot keys, and digests.
+
+Defined results: store() keeps every row, null and repeated ones included, and the columns' names and types; an empty
+table is stored with its schema. salted_join() gives the rows of the plain join; null keys join nothing, as there.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,25 +18,45 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a local folder takes its place.
+    Only where the session names none and runs on one machine (tests) a local folder takes its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="seine-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
+#: Tables stored inside the scratch() blocks that are open, innermost last.
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end what was stored inside it with keep=False. What comes out must have been stored to be kept."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for df in _open.pop():
+            discard(df)
+
+
+def store(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it again, which cuts its lineage.
 
-    A lost executor then costs a reread of files, not a recomputation of everything before.
+    A lost executor then costs a reread of files, not a recomputation of everything before. Tables stay until
+    discard() or the end of the scratch() block they were stored in; a query's result may still read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seine-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._seine_path = path
+    if _open and not keep:
+        _open[-1].append(out)
     return out
 
 
@@ -44,6 +70,14 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def salted_join(many: DataFrame, few: DataFrame, on: list[str], spread: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """many join few on columns that may have hot keys in `many`: its rows are dealt to `salts` tasks a key by the column
+    `spread`, and each row of `few`, which has one row a key, goes to all of them."""
+    dealt = many.withColumn("seine_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = few.withColumn("seine_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*on, "seine_salt"], how).drop("seine_salt")
+
+
 def sha256_of(column: Column) -> Column:
     return F.sha2(F.coalesce(column, F.lit("")), 256)
 

@@ -7,7 +7,7 @@ Shards differ by one slot at most per round, and when a shard leaves most slots
 
 Defined results: a null key is placed like the text "null"; equal keys share a shard, so repeated rows do; `salt`
 columns, if named, join the key, which is the way to spread one hot key over shards; an empty table gives no rows;
-other columns are kept by ``place`` and must not be named slot or shard.
+other columns are kept by ``place``; input columns named slot or shard may be keys, and give way to the result's.
 """
 
 from __future__ import annotations
@@ -55,11 +55,14 @@ def fill(shards: list[str], slots: int) -> list[int]:
 
 
 def place(rows: DataFrame, keys: list[str], shards: list[str], slots: int = SLOTS, salt: list[str] | None = None) -> DataFrame:
-    """rows with slot (int) and shard (string)."""
-    owners = rows.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(fill(shards, slots))], "slot int, shard string")
+    """rows with slot (int) and shard (string), in place of columns of these names."""
+    owners = rows.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(fill(shards, slots))], "seine_slot int, seine_shard string")
     text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in [*keys, *(salt or [])]])
     number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-    return rows.withColumn("slot", F.pmod(number, F.lit(slots)).cast("int")).join(F.broadcast(owners), "slot")
+    placed = rows.withColumn("seine_slot", F.pmod(number, F.lit(slots)).cast("int")).join(F.broadcast(owners), "seine_slot")
+    own = {"slot": F.col("seine_slot"), "shard": F.col("seine_shard")}
+    kept = [own.pop(c).alias(c) if c in own else F.col(f"`{c}`") for c in rows.columns]
+    return placed.select(*kept, *[v.alias(n) for n, v in own.items()])
 
 
 def names(n: int = SHARDS) -> list[str]:
