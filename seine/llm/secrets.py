@@ -1,13 +1,15 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Three base kinds of span are found in whole texts. Every candidate value is hashed, and the hashes are
-aggregated over the corpus by distinct repositories and owners: a value that many owners share is a copied
-example, a value that one owner alone holds and that looks random is taken to be a live credential. The
-spans of such values are added under the kind ``live``; base spans always stay.
+aggregated over the corpus by distinct repositories and owners. A value that several owners share, or that lies in
+many repositories even of one owner, is a copied example; a value that one owner alone holds in few repositories is
+specific to the owner, and if it looks random it is taken to be a live credential. The spans of such values are added
+under the kind ``live``; base spans always stay.
 
 Defined results: a null or empty text has no spans; rows with equal keys or texts are each judged by
-themselves; null keys, owners and repositories are values like any other (a null owner counts as none);
-an empty table gives an empty result; columns of the input other than the named ones are ignored.
+themselves; null keys, owners and repositories are values like any other (a null owner or repository counts as none);
+an empty table gives an empty result; columns of the input other than the named ones are ignored, whatever their
+names; texts of any length are searched whole.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "live")
 
-#: One owner's documents from which on redact() takes a value for a pasted example: a credential in use is kept in few
-#: places, and the count is of documents that near-duplicate removal left.
-REPOSITORIES = 10
+#: Distinct owners, and distinct repositories, from which on a value is taken for a copied example: a credential in use
+#: is kept in few places of one owner.
+OWNERS, REPOSITORIES = 2, 10
 
 SPAN = "struct<start:int,k:int,end:int,vstart:int,value:string>"
 
@@ -84,47 +86,48 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.join(repositories, "digest")
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None, copied_from: int = 2, repositories_from: int | None = None) -> DataFrame:
-    """One row for each of docs: key, base and live spans (start, kind index, end), values (start, end, live) and n_copied.
-
-    A value with fewer than `copied_from` owners is owner-specific; from that many owners on it is a copied
-    example. `repository` defaults to the key: each document is then a repository of its own. With
-    `repositories_from`, a value in that many repositories is a copied example too, even if one owner has them all.
-    """
-    copied = F.col("n_owners") >= copied_from
-    if repositories_from is not None:
-        copied = copied | (F.col("n_repositories") >= repositories_from)
+def found_in(docs: DataFrame, key: str, text: str, owner: str, repository: str | None) -> DataFrame:
+    """(key, owner, repository, spans) of each row; spans carry the value's digest and whether it looks live, not the value."""
     found = docs.select(
         F.col(key).alias("key"),
         F.col(owner).cast("string").alias("owner"),
         F.col(repository or key).cast("string").alias("repository"),
         base_spans(F.col(text)).alias("spans"),
-    ).select(
-        "key", "owner", "repository",
-        F.transform("spans", lambda s: F.struct(s["start"], s["k"], s["end"], s["vstart"], F.sha2(s["value"], 256).alias("digest"), live_looking(s["value"]).alias("looks"))).alias("spans"),
-    )
-    found = common.store(found, "secrets")
-    candidates = found.select("key", "owner", "repository", F.explode("spans").alias("s")).select("key", "owner", "repository", "s.digest", "s.looks")
-    counts = ownership(candidates)
-    judged = (
-        candidates.groupBy("key", "digest").agg(F.max("looks").alias("looks"))
-        .join(counts, "digest")
-        .groupBy("key")
-        .agg(
-            F.collect_set(F.when(F.col("looks") & ~copied, F.col("digest"))).alias("live"),
-            F.collect_set(F.when(copied, F.col("digest"))).alias("copied"),
-        )
-        .withColumnRenamed("key", "judged_key")
-    )
-    none = F.array().cast("array<string>")
-    out = found.join(judged, F.col("key").eqNullSafe(F.col("judged_key")), "left").select("key", "spans", F.coalesce("live", none).alias("live"), F.coalesce("copied", none).alias("copied"))
+    )
+    return found.withColumn("spans", F.transform("spans", hashed))
+
+
+def hashed(s: Column) -> Column:
+    return F.struct(s["start"], s["k"], s["end"], s["vstart"], F.sha2(s["value"], 256).alias("digest"), live_looking(s["value"]).alias("looks"))
+
+
+def specific(found: DataFrame, owners_from: int, repositories_from: int) -> DataFrame:
+    """(judged_key, own): for each key the digests of its values that are specific to their owner, by the whole corpus.
+
+    A value that fills a third of the corpus is dealt to many tasks by its rows' keys; what it meets there is one row,
+    and only of values in few repositories.
+    """
+    candidates = found.select("key", "owner", "repository", F.explode("spans.digest").alias("digest"))
+    few = ownership(candidates).filter((F.col("n_owners") < owners_from) & (F.col("n_repositories") < repositories_from)).select("digest")
+    held = common.salted_join(candidates.select("key", "digest").distinct(), few, ["digest"], "key")
+    return held.groupBy(F.col("key").alias("judged_key")).agg(F.collect_set("digest").alias("own"))
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None, owners_from: int = OWNERS, repositories_from: int = REPOSITORIES) -> DataFrame:
+    """One row for each of docs: key, base and live spans (start, kind index, end), and n_copied, the copied values in it.
+
+    `repository` defaults to the key: each document is then a repository of its own.
+    """
+    found = common.store(found_in(docs, key, text, owner, repository), "secrets")
+    judged = specific(found, owners_from, repositories_from)
+    out = found.join(judged, F.col("key").eqNullSafe(F.col("judged_key")), "left").select("key", "spans", F.coalesce("own", F.array().cast("array<string>")).alias("own"))
     live_spans = F.transform(
-        F.filter("spans", lambda s: F.array_contains(F.col("live"), s["digest"])),
+        F.filter("spans", lambda s: s["looks"] & F.array_contains("own", s["digest"])),
         lambda s: F.struct(s["vstart"].alias("start"), F.lit(3).alias("k"), s["end"].alias("end")),
     )
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))
-    values = F.transform("spans", lambda s: F.struct(s["vstart"].alias("start"), s["end"].alias("end"), F.array_contains(F.col("live"), s["digest"]).alias("live")))
-    return out.select(F.col("key").alias(key), base.alias("base"), values.alias("values"), F.array_distinct(live_spans).alias("live"), F.size("copied").cast("long").alias("n_copied"))
+    copied = F.size(F.array_except(F.array_distinct("spans.digest"), "own"))
+    return out.select(F.col("key").alias(key), base.alias("base"), F.array_distinct(live_spans).alias("live"), copied.cast("long").alias("n_copied"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,16 +143,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, repositories_from: int = REPOSITORIES) -> DataFrame:
+def redact(docs: DataFrame, owners_from: int = OWNERS, repositories_from: int = REPOSITORIES) -> DataFrame:
     """docs with the value of every base span masked in `text`: <secret> where it is live, <credential> elsewhere.
 
-    Live takes one owner at most and fewer than `repositories_from` documents.
-    Rows are told apart by id and text, so repeated ids do no harm.
+    What is live depends on the value alone, so documents are joined with their ids' values; rows of one id need not
+    be told apart.
     """
-    row = F.xxhash64("doc_id", "text")
-    found = scan(docs.withColumn("seine_row", row), key="seine_row", repository="doc_id", repositories_from=repositories_from)
-    found = found.filter(F.size("values") > 0).groupBy("seine_row").agg(F.first("values").alias("seine_values"))
-    joined = docs.withColumn("seine_row", row).join(found, "seine_row", "left")
+    found = common.store(found_in(docs, "doc_id", "text", "source", None).filter(F.size("spans") > 0), "secrets")
+    judged = specific(found, owners_from, repositories_from)
+    spans = common.fenced(docs, "seine_spans", F.transform(base_spans(F.col("text")), hashed))
+    joined = spans.join(judged.select(F.col("judged_key").alias("seine_key"), F.col("own").alias("seine_own")), F.col("doc_id").eqNullSafe(F.col("seine_key")), "left")
+    own = F.coalesce("seine_own", F.array().cast("array<string>"))
+    values = F.transform("seine_spans", lambda s: F.struct(s["vstart"].alias("start"), s["end"].alias("end"), (s["looks"] & F.array_contains(own, s["digest"])).alias("live")))
 
     def step(acc: Column, v: Column) -> Column:
         mask = F.when(v["live"], "<secret>").otherwise("<credential>")
@@ -157,8 +162,8 @@ def redact(docs: DataFrame, repositories_from: int = REPOSITORIES) -> DataFrame:
         return F.struct(F.greatest(acc["at"], v["end"]).alias("at"), out.alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(F.array_sort("seine_values"), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return joined.withColumn("text", F.when(F.col("seine_values").isNull(), F.col("text")).otherwise(masked)).select(*docs.columns)
+    masked = F.aggregate(F.array_sort(values), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return joined.withColumn("text", F.when(F.size("seine_spans") == 0, F.col("text")).otherwise(masked)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _kind_sql(pattern: str, kind: int, group: int, least: int) -> str:
@@ -179,15 +184,15 @@ ORACLE_SQL = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS body FROM documents),
 s AS MATERIALIZED ({_kind_sql(ASSIGN, 0, 1, 6)} UNION ALL {_kind_sql(ACCESS, 1, 0, 20)} UNION ALL {_kind_sql(HEX, 2, 0, 24)}),
 c AS (SELECT d.doc_id, d.source, s.* FROM s JOIN d USING (rid)),
-o AS (SELECT value, count(DISTINCT source) AS n_owners,
+o AS (SELECT value, count(DISTINCT source) >= {OWNERS} OR count(DISTINCT doc_id) >= {REPOSITORIES} AS copied,
         length(value) >= 12 AND len(list_distinct(string_split(value, ''))) >= 8 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
         AND NOT regexp_matches(value, '(?i)example|sample|dummy|test|changeme|placeholder|xxxx') AS looks
       FROM c GROUP BY value),
-live AS (SELECT DISTINCT rid, stop - length(value) AS start, 3 AS k, stop FROM c JOIN o USING (value) WHERE looks AND n_owners < 2),
+live AS (SELECT DISTINCT rid, stop - length(value) AS start, 3 AS k, stop FROM c JOIN o USING (value) WHERE looks AND NOT copied),
 named AS (SELECT rid, start, k, stop, ['assign', 'access', 'hex', 'live'][k + 1] || ':' || start || ':' || stop AS word FROM (SELECT rid, start, k, stop FROM s UNION ALL SELECT rid, start, k, stop FROM live)),
 g AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (k = 3) AS n_live,
         string_agg(word, ',' ORDER BY start, k, stop) FILTER (k < 3) AS base, string_agg(word, ',' ORDER BY start, k, stop) AS spans FROM named GROUP BY rid),
-p AS (SELECT rid, count(DISTINCT value) AS n_copied FROM c JOIN o USING (value) WHERE n_owners >= 2 GROUP BY rid)
+p AS (SELECT rid, count(DISTINCT value) AS n_copied FROM c JOIN o USING (value) WHERE copied GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied
 FROM d LEFT JOIN g USING (rid) LEFT JOIN p USING (rid)
