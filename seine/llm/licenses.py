@@ -4,13 +4,16 @@ Templates are notices of public licenses. They fall into length classes; for a c
 windows of 2c words every c words, so each occurrence of its templates lies wholly in some window. Windows without
 a single shingle of any template are left out first, which loses nothing, since containment asks for shared
 shingles. For the rest, one-row bands of MinHash values retrieve templates; the number of bands follows from the
-least resemblance that a verified match can have, so that a match is missed with probability 1e-6 at most. What is
+fewest shingles that a template of the class has, and so from the least resemblance that a verified match can have:
+a match is missed with probability 1e-6 at most, whatever templates are given. What is
 retrieved is verified by the exact share of the template's shingles that the window has, 0.8 or more; of templates
 of one family (versions of a license) the window's best stays.
 
 Defined results: null and empty texts match nothing; rows of equal doc_id count as one document, null included;
-repeated notices count as one row with the number of windows that hold them; an empty table gives no rows; other
-columns are ignored.
+repeated notices count as one row with the number of windows that hold them; templates of one family that a window
+holds equally well stay all, and repeated templates of one name count once; a template of fewer than three words has
+no shingle and is refused; an empty table, or no templates, give no rows; texts of any length are searched whole; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +30,9 @@ SHINGLE = 3
 CONTAINED = 0.8
 MISSED = 1e-6
 WORD = r"[\p{L}\p{N}]+"
+#: Shingles of templates up to which a plan holds them as literals and leaves out windows without any. Beyond, as with
+#: whole license texts, all windows are compared: more work, the same result.
+LITERALS = 20_000
 
 # Notices by which public licenses are recognised, as (id, family, text).
 TEMPLATES = (
@@ -68,12 +74,13 @@ def shingles(tokens: Column) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(SHINGLE)]))
 
 
-def bands(length: int) -> int:
-    """Bands of one row for templates of a class: enough for the least resemblance of a match in its window."""
-    fewest = max(length // 2 + 1 - SHINGLE + 1, 1)
+def bands(length: int, fewest: int) -> int:
+    """Bands of one row for a class whose templates have `fewest` shingles or more: a window that matches shares the
+    needed part of the template's shingles, and the fewer these are the less it resembles the template."""
     window = 2 * length - SHINGLE + 1
-    j = math.ceil(CONTAINED * fewest) / (fewest + window - math.ceil(CONTAINED * fewest))
-    return math.ceil(math.log(MISSED) / math.log(1 - j))
+    shared = math.ceil(CONTAINED * fewest)
+    j = shared / (fewest + max(window, shared) - shared)
+    return 1 if j >= 1 else math.ceil(math.log(MISSED) / math.log(1 - j))
 
 
 def signature(hashes: Column, n: Column) -> Column:
@@ -82,32 +89,37 @@ def signature(hashes: Column, n: Column) -> Column:
 
 
 def template_frame(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """(license, family, class, bands, wanted): a row for each template with SHINGLE words or more."""
+    """(license, family, class, wanted): the shingles of each template. class: the least power of two, from four on, that
+    holds its words."""
     made = spark.createDataFrame([tuple(t) for t in templates], "license string, family string, text string").select("license", "family", words(F.col("text")).alias("tokens"))
-    # class: the least power of two, from eight on, that holds the template
-    length = F.greatest(F.lit(8), F.pow(F.lit(2), F.ceil(F.log2(F.size("tokens")))).cast("int"))
-    return made.filter(F.size("tokens") >= SHINGLE).select("license", "family", length.alias("class"), F.array_distinct(shingles(F.col("tokens"))).alias("wanted"))
+    length = F.greatest(F.lit(4), F.pow(F.lit(2), F.ceil(F.log2(F.size("tokens")))).cast("int"))
+    return made.select("license", "family", length.alias("class"), F.array_distinct(shingles(F.col("tokens"))).alias("wanted"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, contained: float = CONTAINED) -> DataFrame:
     """(key, license, containment, n_windows, first_word) of each license that a document holds."""
     spark = docs.sparkSession
     known = template_frame(spark, templates)
-    facts = known.collect()  # the module's own list, not data
+    facts = known.collect()  # the caller's list of templates, not data
+    if short := [r.license for r in facts if not r.wanted]:
+        raise ValueError(f"templates of fewer than {SHINGLE} words: {', '.join(short)}")
     wanted = sorted({h for r in facts for h in r.wanted})
-    classes = sorted({r["class"] for r in facts})
+    needed = {c: bands(c, min(len(r.wanted) for r in facts if r["class"] == c)) for c in sorted({r["class"] for r in facts})}
     literal = F.array(*[F.lit(h) for h in wanted]) if wanted else F.array().cast("array<bigint>")
+    shares = (lambda hashes: F.arrays_overlap(hashes, literal)) if len(wanted) <= LITERALS else (lambda hashes: F.size(hashes) > 0)
     made = common.fenced(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "hashes", common.once(words(F.col("text")), shingles)).drop("text")
-    made = made.withColumn("any", F.arrays_overlap("hashes", literal))
-    cuts = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(bands(c)).alias("bands")) for c in classes])
+    made = made.withColumn("any", shares(F.col("hashes")))
+    kind = "array<struct<class:int,bands:int>>"
+    cuts = F.array(*[F.struct(F.lit(c).alias("class"), F.lit(n).alias("bands")) for c, n in needed.items()]).cast(kind)
     by_class = made.select("key", F.when(F.col("any"), F.col("hashes")).alias("hashes"), F.explode_outer(F.when(F.col("any"), cuts)).alias("c")).filter("c is not null")
     starts = F.sequence(F.lit(0), F.greatest(F.size("hashes") - 1, F.lit(0)), F.col("c.class"))
     cut = by_class.select("key", "hashes", "c", F.explode_outer(starts).alias("start"))
     width = F.col("c.class") * 2 - (SHINGLE - 1)
     cut = cut.select("key", F.col("c.class").alias("class"), F.col("c.bands").alias("bands"), "start", F.slice("hashes", F.col("start") + 1, width).alias("window"))
-    cut = cut.filter(F.arrays_overlap("window", literal))
+    cut = cut.filter(shares(F.col("window")))
     signed = cut.withColumn("id", F.struct("key", "start")).select("id", "class", "window", F.posexplode_outer(signature(F.col("window"), F.col("bands"))).alias("band", "value"))
-    sizes = spark.createDataFrame([(c, bands(c)) for c in classes], "class int, bands int")
+    sizes = spark.createDataFrame(list(needed.items()), "class int, bands int")
+    # as large as the caller's list of templates, which the driver holds
     asked = known.join(F.broadcast(sizes), "class").select("license", "family", "class", "wanted", F.posexplode(signature(F.col("wanted"), F.col("bands"))).alias("band", "value"))
     share = F.size(F.array_intersect("wanted", "window")) / F.size("wanted")
     found = signed.join(F.broadcast(asked), ["class", "band", "value"]).select("id.key", "id.start", "class", "license", "family", F.round(share, 6).alias("containment")).filter(F.col("containment") >= contained).distinct()
@@ -128,7 +140,7 @@ def _template_rows() -> str:
 
 ORACLE_SQL = f"""
 WITH t0 AS (SELECT license, family, regexp_extract_all(lower(body), '{WORD}') AS w FROM (VALUES {_template_rows()}) t(license, family, body)),
-t AS MATERIALIZED (SELECT license, family, CASE WHEN len(w) <= 8 THEN 8 WHEN len(w) <= 16 THEN 16 WHEN len(w) <= 32 THEN 32 WHEN len(w) <= 64 THEN 64 ELSE 128 END AS c,
+t AS MATERIALIZED (SELECT license, family, CASE WHEN len(w) <= 4 THEN 4 WHEN len(w) <= 8 THEN 8 WHEN len(w) <= 16 THEN 16 WHEN len(w) <= 32 THEN 32 WHEN len(w) <= 64 THEN 64 ELSE 128 END AS c,
   list_distinct(list_transform(range(len(w) - {SHINGLE - 1}), lambda i: list_aggregate(w[i + 1:i + {SHINGLE}], 'string_agg', ' '))) AS wanted FROM t0),
 d0 AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM documents),
 s AS MATERIALIZED (SELECT rid, doc_id, len(w) - {SHINGLE - 1} AS n, unnest(range(len(w) - {SHINGLE - 1})) AS pos, unnest(list_transform(range(len(w) - {SHINGLE - 1}), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) AS sh FROM d0 WHERE len(w) >= {SHINGLE}),

@@ -147,6 +147,15 @@ def test_sharding(spark):
         sharding.fill(names, 100)
 
 
+def test_sharding_of_clashing_names(spark):
+    frame = spark.createDataFrame([(1, "own", "own", 2), (1, "own", "own", 2), (None, None, None, None)], "doc_id long, shard string, `slot` string, `a.b` int")
+    got = sharding.place(frame, ["doc_id", "shard"], sharding.names(5), 101)
+    assert got.columns == frame.columns and dict(got.dtypes)["slot"] == "int"
+    assert got.count() == 3 and got.filter("doc_id = 1").distinct().count() == 1 and {r.shard for r in got.collect()} <= set(sharding.names(5))
+    salted = sharding.place(spark.range(500).withColumn("key", F.lit("hot")), ["key"], sharding.names(5), 101, ["id"])
+    assert {r.shard for r in salted.collect()} == set(sharding.names(5))
+
+
 # --- repeats ------------------------------------------------------------------------------------------------------
 
 
@@ -264,6 +273,26 @@ def test_licenses(spark):
     assert got == {(0, "MIT-grant"), (1, "MIT-line"), (2, "GPL-3.0-line")}
 
 
+def test_license_bands_of_short_templates(spark):
+    short = [(f"L{i}", f"f{i}", f"zq{i}a zq{i}b zq{i}c") for i in range(200)]
+    frame = docs(spark, [f"{' '.join(WORDS)} {t} {' '.join(WORDS)}" for _, _, t in short])
+    assert {(r.doc_id, r.license) for r in licenses.scan(frame, templates=short).collect()} == {(i, f"L{i}") for i in range(200)}
+    assert licenses.bands(4, 1) > licenses.bands(4, 2) and licenses.scan(frame, templates=[]).collect() == []
+    with pytest.raises(ValueError):
+        licenses.scan(frame, templates=[("A", "a", "two words")])
+
+
+def test_licenses_ties_repeated_rows_and_long_texts(spark, monkeypatch):
+    notice = licenses.TEMPLATES[2][2]
+    same = [("A", "f", notice), ("B", "f", notice), ("B", "f", notice), ("C", "g", "alpha beta gamma delta river")]
+    long = "stone light " * 30_000 + notice
+    frame = docs(spark, [notice, notice, long], [1, 1, None])
+    got = {(r.doc_id, r.license) for r in licenses.scan(frame, templates=same).collect()}
+    assert got == {(1, "A"), (1, "B"), (None, "A"), (None, "B")}
+    monkeypatch.setattr(licenses, "LITERALS", 0)
+    assert {(r.doc_id, r.license) for r in licenses.scan(frame, templates=same).collect()} == got
+
+
 def test_leaks(spark):
     item = "A train leaves Paris at 9 and drives 120 km in 2 hours; how far does Anna travel by 5 with 120 km each?"
     again = item.replace("120", "80").replace("Paris", "Rome").replace("Anna", "Omar")
@@ -310,6 +339,19 @@ def test_redact_by_owners_and_repositories(spark):
     assert masks == ["password=<credential>"] * secrets.REPOSITORIES + ["password=<secret>"] * (secrets.REPOSITORIES - 1)
 
 
+def test_ownership_by_owners_and_repositories(spark):
+    pasted, live = "Zk3v9QpL0xTb7RwY2mNc", "Aa1Bb2Cc3Dd4Ee5Ff6Gg"
+    n = secrets.REPOSITORIES
+    texts = [f"password={pasted} n{i}" for i in range(n)] + [f"password={live} and token={live}" for _ in range(n - 1)] + ["x " * 40_000 + f"secret: {live[::-1]}", None]
+    frame = docs(spark, texts, [*range(2 * n - 1), None, None]).withColumn("source", F.lit("hot")).withColumn("digest", F.lit("d")).withColumn("own", F.lit("o"))
+    rows = secrets.scan(frame).orderBy("doc_id").collect()
+    assert [(len(r.live), r.n_copied) for r in rows] == [(0, 0), (1, 0)] + [(0, 1)] * n + [(2, 0)] * (n - 1) or [(len(r.live), r.n_copied) for r in rows] == [(1, 0), (0, 0)] + [(0, 1)] * n + [(2, 0)] * (n - 1)
+    twice = docs(spark, [f"password={live}"] * 3, [5, 5, 5])
+    assert [(len(r.live), r.n_copied) for r in secrets.scan(twice.withColumn("source", F.lit(None).cast("string"))).collect()] == [(1, 0)] * 3
+    masked = [r.text for r in secrets.redact(frame).filter("doc_id is not null").orderBy("doc_id").collect()]
+    assert masked == [f"password=<credential> n{i}" for i in range(n)] + ["password=<secret> and token=<secret>"] * (n - 1)
+
+
 # --- top-k ------------------------------------------------------------------------------------------------------------
 
 
