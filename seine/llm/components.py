@@ -2,8 +2,11 @@
 
 Each round is two joins on the edge table and their aggregations, all of them partial before the shuffle; edges are
 written to the shared folder after each round, so lost executors cost a round at most. A third of all nodes around
-one hub is one hot key: the minimum of each neighbourhood is aggregated before it is joined back, and adaptive
-execution splits the hot side of that join.
+one hub is one hot key: the minimum of each neighbourhood is aggregated before it is joined back, and the edges of a hub
+are dealt to several tasks in that join.
+
+Defined results: an empty table gives no rows; repeated edges count once; loops and null ends are left out, so a node
+that has only these has no row.
 """
 
 from __future__ import annotations
@@ -14,6 +17,9 @@ from pyspark.sql import functions as F
 from seine.llm import common
 
 
+SALTS = 4
+
+
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
     """One contraction. edges: (src, dst) with src > dst.
 
@@ -24,9 +30,9 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.min("dst").alias("low")).withColumn("low", F.least("low", "src"))
         # an edge (src > dst) has its larger end as a larger neighbour of dst
-        return edges.join(least.withColumnRenamed("src", "dst"), "dst").select("src", F.col("low").alias("dst")).filter("src > dst").distinct()
+        return common.salted_join(edges, least.withColumnRenamed("src", "dst"), ["dst"], "src", salts=SALTS).select("src", F.col("low").alias("dst")).filter("src > dst").distinct()
     least = edges.groupBy("src").agg(F.min("dst").alias("low"))
-    tied = edges.join(least, "src").filter("dst > low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+    tied = common.salted_join(edges, least, ["src"], "dst", salts=SALTS).filter("dst > low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
     return tied.unionByName(least.select("src", F.col("low").alias("dst"))).distinct()
 
 

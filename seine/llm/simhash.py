@@ -1,14 +1,16 @@
 """SimHash near-duplicates by a generalised pigeonhole.
 
 Fingerprints of whole texts are made distinct first, so copies cost one row. Their 64 bits are grouped by how
-they go together in the corpus into partitions; a dynamic program over estimated candidate counts gives each
-partition a threshold of its own. If the thresholds t_i of m partitions sum to tau - m + 1, two fingerprints that
+they go together in the corpus into partitions; a dynamic program over candidate counts, estimated from the pairs of
+a bounded sample of fingerprints, gives each partition a threshold of its own (the sample decides what is cheap, never
+what is found). If the thresholds t_i of m partitions sum to tau - m + 1, two fingerprints that
 differ in tau bits or fewer differ in t_i bits or fewer within some partition i (a threshold of -1 leaves a
 partition out), so probing the partitions loses no link. A threshold of t is probed by keys that mask t bits.
 
-Rows that share a probe key form a bucket; buckets beyond a block's size are cut into blocks, and every pair of
-blocks is compared, so no task holds an unbounded group. A comparison of blocks returns the edges of a spanning
-forest of the links that it found, never all pairs. Components of the edges follow by alternating star
+Rows that share a probe key form a bucket. Large buckets are split by a second pigeonhole: two rows that differ in tau
+bits or fewer agree wholly in one of any tau + 1 disjoint sets of bits, so a bucket's rows are dealt by these. What is
+then still beyond a block's size is cut into blocks, and pairs of blocks are compared, so no task holds an unbounded
+group. A comparison returns the edges of a spanning forest of the links that it found, never all pairs. Components of the edges follow by alternating star
 contractions.
 
 Defined results: null, empty and blank texts have fingerprint 0 and are linked like any other; equal fingerprints
@@ -36,6 +38,8 @@ from seine.session import table
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 BITS, BLOCK = 64, 2048
+#: Blocks from which on a bucket is split by the second pigeonhole; fingerprints that costs are estimated from.
+SPLIT, SAMPLE = 4, 4096
 
 
 def hashes(text: str | None, width: int) -> np.ndarray:
@@ -127,18 +131,17 @@ def group_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
-def agreement(n: int, both: np.ndarray, part: list[int], most: int) -> list[float]:
-    """Estimated share of pairs that differ in at most t bits of a partition, for t = 0 .. most, by the bits' frequencies."""
-    p = np.diag(both) / max(n, 1)
-    differ = np.zeros(len(part) + 1)
-    differ[0] = 1
-    for b in part:
-        d = 2 * p[b] * (1 - p[b])
-        differ = differ * (1 - d) + np.concatenate([[0], differ[:-1]]) * d
-    return np.cumsum(differ)[: most + 1].tolist()
+def agreement(sample: np.ndarray, part: list[int], most: int) -> list[float]:
+    """Share of the sample's pairs that differ in at most t bits of a partition, for t = 0 .. most; bits that go together
+    count as they do. A pair more than was seen is added, as shares below one pair can't be told."""
+    bits = sample.astype(np.int64).view(np.uint64) & np.uint64(sum(1 << b for b in part))
+    found = np.zeros(len(part) + 1, np.int64)
+    for i in range(len(bits) - 1):
+        found += np.bincount(np.bitwise_count(bits[i + 1 :] ^ bits[i]), minlength=len(part) + 1)
+    return ((np.cumsum(found) + 1) / (found.sum() + 1))[: most + 1].tolist()
 
 
-def allocate(n: int, both: np.ndarray, tau: int, row_cost: float = 2e-6, pair_cost: float = 5e-9) -> tuple[list[list[int]], list[int]]:
+def allocate(n: int, both: np.ndarray, sample: np.ndarray, tau: int, row_cost: float = 2e-6, pair_cost: float = 5e-9) -> tuple[list[list[int]], list[int]]:
     """(partitions, thresholds) of least estimated cost: for each count of partitions, a dynamic program over the
     thresholds left to give, where a threshold costs its probe rows and its expected candidates."""
     best: tuple[float, list[list[int]], list[int]] = (float("inf"), [], [])
@@ -149,7 +152,7 @@ def allocate(n: int, both: np.ndarray, tau: int, row_cost: float = 2e-6, pair_co
         # state: sum of thresholds so far, shifted by the -1 that each partition may take
         states: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for part in parts:
-            share = agreement(n, both, part, max(most, 0))
+            share = agreement(sample, part, max(most, 0))
             price = {-1: 0.0} | {t: n * keys * row_cost + n * n / 2 * share[t] * pair_cost for t in range(most + 1) if (keys := sum(1 for _ in combinations(part, t)))}
             following: dict[int, tuple[float, list[int]]] = {}
             for s, (cost, given) in states.items():
@@ -175,13 +178,25 @@ def probes(distinct: DataFrame, parts: list[list[int]], thresholds: list[int]) -
     return distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.probe", "k.value")
 
 
-def dealt(rows: DataFrame, block: int) -> DataFrame:
-    """Rows of buckets with two or more members, by (probe, value, a, b): a bucket of several blocks appears once for
-    each two of them."""
-    counts = rows.groupBy("probe", "value").agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    member = rows.join(counts, ["probe", "value"]).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of buckets with two or more members, with n, their number."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    return common.salted_join(rows, counts, keys, "fp", salts=8)
+
+
+def dealt(rows: DataFrame, block: int, tau: int, split: int = SPLIT) -> DataFrame:
+    """Rows of buckets with two or more members, by (probe, value, sub, a, b). Buckets of more than `split` blocks are split
+    into those of the second pigeonhole first; one that still has several blocks appears once for each two of them."""
+    kept = ["fp", "probe", "value", "sub", "n"]
+    member = _shared(rows, ["probe", "value"]).withColumn("sub", F.lit(0).cast("long"))
+    sets = [sum(1 << b for b in range(c, BITS, tau + 1)) for c in range(tau + 1)]
+    finer = F.array(*[F.struct((F.col("probe") * (tau + 2) + c + 1).alias("probe"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("sub")) for c, m in enumerate(sets)])
+    fine = member.filter(F.col("n") > split * block).select("fp", "value", F.explode(finer).alias("k")).select("fp", "value", "k.probe", "k.sub")
+    usual = member.filter(F.col("n") <= split * block).withColumn("probe", F.col("probe") * (tau + 2))
+    whole = usual.select(kept).unionByName(_shared(fine, ["probe", "value", "sub"]).select(kept)).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    whole = whole.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("a"), F.greatest("mine", o).alias("b")))
-    return member.select("fp", "probe", "value", "mine", F.explode(others).alias("o")).select("fp", "probe", "value", "o.a", "o.b")
+    return whole.select("fp", "probe", "value", "sub", F.explode(others).alias("o")).select("fp", "probe", "value", "sub", "o.a", "o.b")
 
 
 def forest(left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,8 +258,9 @@ def compare(rows: DataFrame, tau: int, block: int) -> DataFrame:
     has two blocks of rows at most.
     """
 
+    names = ["probe", "value", "sub", "a", "b"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["probe", "value", "a", "b"]
         carried: pd.DataFrame | None = None
 
         def edges(pdf: pd.DataFrame) -> pa.RecordBatch:
@@ -266,29 +282,36 @@ def compare(rows: DataFrame, tau: int, block: int) -> DataFrame:
         if carried is not None:
             yield edges(carried)
 
-    keys = ["probe", "value", "a", "b"]
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "src long, dst long").distinct()
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *names).sortWithinPartitions(*names).mapInArrow(run, "src long, dst long").distinct()
 
 
-def links(distinct: DataFrame, tau: int, block: int = BLOCK) -> DataFrame:
+def links(distinct: DataFrame, tau: int, block: int = BLOCK, split: int = SPLIT) -> DataFrame:
     """Edges that connect exactly what links of tau or fewer bits connect; distinct: one row for each fp."""
     n, both = bit_counts(distinct)
     if n < 2:
         return distinct.sparkSession.createDataFrame([], "src long, dst long")
-    parts, thresholds = allocate(n, both, tau)
-    return compare(dealt(probes(distinct, parts, thresholds), block), tau, block)
+    some = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()  # SAMPLE numbers at most
+    parts, thresholds = allocate(n, both, np.array([r.fp for r in some], np.int64), tau)
+    return compare(dealt(probes(distinct, parts, thresholds), block, tau, split), tau, block)
+
+
+def named_by_least(distinct: DataFrame, joined: DataFrame, node: str) -> DataFrame:
+    """(node, root, component) of each row of distinct (node, least): the least of what its component has; a node without
+    links stands for itself. A component may be large, so its nodes meet what they share in several tasks."""
+    named = distinct.select(node, "least").join(joined.select(F.col("node").alias(node), "root"), node, "left")
+    linked = named.filter(F.col("root").isNotNull())
+    least = linked.groupBy("root").agg(F.min("least").alias("component"))
+    alone = named.filter(F.col("root").isNull()).select(node, F.col(node).alias("root"), F.col("least").alias("component"))
+    return alone.unionByName(common.salted_join(linked, least, ["root"], node).select(node, "root", "component"))
 
 
-def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, tau: int = 4, block: int = BLOCK) -> DataFrame:
+def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, tau: int = 4, block: int = BLOCK, split: int = SPLIT) -> DataFrame:
     """(key, fp, root, component): component is the least key among all that links reach, root their least fingerprint."""
     prints = common.store(fingerprints(docs, text, (key,), width), "simhash")
     distinct = common.store(prints.groupBy("fp").agg(F.min(key).alias("least")), "simhash-distinct")
-    joined = components(common.store(links(distinct.select("fp"), tau, block), "simhash-links"))
-    named = distinct.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    of = named.join(least, "root").select("fp", "root", "component")
+    joined = components(common.store(links(distinct.select("fp"), tau, block, split), "simhash-links"))
+    of = named_by_least(distinct, joined, "fp")
     return prints.join(of, "fp").select(key, "fp", "root", "component")
 
 

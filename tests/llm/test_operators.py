@@ -200,8 +200,8 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
-@pytest.mark.parametrize("block", [2048, 4])
-def test_simhash_components(spark, block):
+@pytest.mark.parametrize(("block", "split"), [(2048, 4), (4, 1000), (4, 1)])
+def test_simhash_components(spark, block, split):
     rng = random.Random(4)
     base = " ".join(rng.choices(WORDS, k=200)).split()
     texts = odd_texts()
@@ -216,7 +216,7 @@ def test_simhash_components(spark, block):
             if (prints[i] ^ prints[j]).bit_count() <= 4:
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
-    got = {r.doc_id: (r.fp % 2**64, r.component) for r in simhash.cluster(docs(spark, texts), block=block).collect()}
+    got = {r.doc_id: (r.fp % 2**64, r.component) for r in simhash.cluster(docs(spark, texts), block=block, split=split).collect()}
     assert got == {i: (prints[i], root[i]) for i in range(len(texts))}
     kept = simhash.keep_one(docs(spark, texts))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root)) and kept.columns == docs(spark, []).columns
@@ -233,10 +233,41 @@ def test_partitions_lose_no_link():
         both = (rng.random((64, 64)) * n / 2).astype(np.int64)
         both = np.minimum(both, both.T)
         np.fill_diagonal(both, n // 2)
-        parts, thresholds = simhash.allocate(n, both, 4)
+        parts, thresholds = simhash.allocate(n, both, rng.integers(-(2**63), 2**63 - 1, 200), 4)
         assert sorted(b for p in parts for b in p) == list(range(64)) and sum(t + 1 for t in thresholds) >= 5
 
 
+def test_agreement_counts_pairs():
+    sample = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 60)
+    part = [0, 5, 9, 63]
+    bits = [[int(x) >> b & 1 for b in part] for x in sample]
+    apart = [sum(p != q for p, q in zip(bits[i], bits[j], strict=True)) for i in range(60) for j in range(i)]
+    assert simhash.agreement(sample, part, 2) == pytest.approx([(sum(d <= t for d in apart) + 1) / (len(apart) + 1) for t in range(3)])
+
+
+def test_hot_bucket_is_split_without_loss(spark):
+    """Fingerprints of one bucket, several blocks of them: the links of all pairs, each pair compared in few buckets."""
+    rng = random.Random(6)
+    base = [rng.getrandbits(48) for _ in range(40)]
+    prints = sorted({b ^ sum(1 << k for k in rng.sample(range(48), rng.randint(0, 5))) for b in base for _ in range(12)})
+    rows = spark.createDataFrame([(p, 0, 0) for p in prints], "fp long, probe int, value long")
+    got = {(r.src, r.dst) for r in simhash.compare(simhash.dealt(rows, 16, 4, 1), 4, 16).collect()}
+    root = {p: p for p in prints}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def classes(edges):
+        root.update({p: p for p in prints})
+        for a, b in edges:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+        return [top(p) for p in prints]
+
+    assert classes(got) == classes([(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 4])
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, -2), (10, 11), (7, 7), (11, 12), (5, 4)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
