@@ -1,16 +1,18 @@
 """Format-preserving pseudonyms for personal data by keyed Feistel permutations.
 
 Numbers and dates are found, validated (check digits, ranges, calendars) and permuted within the set of values that
-their format allows, so a pseudonym is valid again and looks like what it replaces. The permutation depends on the
-key and the kind alone, not on separators or the document: equal values get equal pseudonyms everywhere, and the
-holder of the key can undo it. Mail addresses have letters permuted among letters and digits among digits before
-the @.
+their format allows, so a pseudonym is valid again and looks like what it replaces; days and months keep their number
+of digits. The permutation depends on the key and the format alone, not on separators or the document: equal values get
+equal pseudonyms everywhere, and the holder of the key can undo it. Mail addresses have letters permuted among letters
+and digits among digits before the @.
 
-Values that fail validation stay. The permutation of a set of N values is a Feistel network over the least square
+Values that fail validation stay. Where a run of digit groups is no valid value, the runs that begin with the same group
+and end sooner are tried, then the search goes on behind the first group, so a value is found beside other numbers. The permutation of a set of N values is a Feistel network over the least square
 grid that holds N, walked on until it lands below N.
 
-Defined results: null stays null and has no spans, empty texts stay empty; repeated rows get equal results; rows and
-other columns stay as they are; an empty table gives no rows.
+Defined results: null stays null and has no spans, empty texts stay empty; texts of any length are searched whole; of two
+kinds that begin at one place the first of KINDS counts; repeated rows get equal results; rows and other columns stay as
+they are, but one that has the name given for the spans gives way to them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import datetime
 import hashlib
 import hmac
 import re
+import secrets
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from math import isqrt
@@ -30,22 +34,26 @@ from pyspark.sql import functions as F
 from seine.session import table
 
 ROUNDS = 8
-#: The key of the registered query where the session sets none; real runs set seine.pseudonym.key.
-DEFAULT_KEY = "an example key, to be replaced"
-KINDS = ("email", "iban", "card", "ssn", "ip", "phone", "date")
 
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
-FIND = re.compile(
-    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?<![A-Za-z0-9.])(?:"
-    r"(?P<date>(?:19|20)[0-9]{2}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}|[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)(?:19|20)[0-9]{2}|[0-9]{1,2} (?:" + "|".join(MONTHS) + r") (?:19|20)[0-9]{2})(?![0-9])"
-    r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?!\.?[0-9])"
-    r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"
-    r"|(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])"
-    r"|(?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}|\+[0-9](?:[ .-]?[0-9]){7,14})(?![0-9])"
-    r")|(?P<named>\b(?:" + "|".join(MONTHS) + r") [0-9]{1,2}, (?:19|20)[0-9]{2}\b)"
-)
+_BEGIN = r"(?<![A-Za-z0-9.])"
+#: What may be a value of each kind, in the order in which kinds that begin at one place are tried.
+PATTERNS = {
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "date": _BEGIN + r"(?:(?:19|20)[0-9]{2}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}|[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)(?:19|20)[0-9]{2}|[0-9]{1,2} (?:" + "|".join(MONTHS) + r") (?:19|20)[0-9]{2})(?![0-9])",
+    "ip": _BEGIN + r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
+    "ssn": _BEGIN + r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "card": _BEGIN + r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "phone": _BEGIN + r"(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}|\+[0-9](?:[ .-]?[0-9]){7,14})(?![0-9])",
+    "named": r"\b(?:" + "|".join(MONTHS) + r") [0-9]{1,2}, (?:19|20)[0-9]{2}\b",
+}
+KINDS = tuple(PATTERNS)
+ONE = {k: re.compile(p) for k, p in PATTERNS.items()}
+FIND = re.compile("|".join(re.sub(r"\(\?P<", f"(?P<{k}_", p).replace("(?P=", f"(?P={k}_") for k, p in PATTERNS.items()))
+#: Kinds that run over several groups, so that a shorter run may be the value.
+RUNS = ("iban", "card", "phone")
+GROUP = re.compile(r"[A-Za-z0-9(+]+\)?")
 HINT = re.compile(r"[0-9@]")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 # Fixed value: lengths of account numbers by country, where they are checked.
@@ -101,6 +109,14 @@ def _refill(shape: str, values: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
+@lru_cache(16)
+def _days(month: int | str, day: int | str) -> list[int]:
+    """Ordinals of the days from 1900 to 2099 whose month and day have so many digits; "*" and 0 take any."""
+    all_days = map(datetime.date.fromordinal, range(FIRST_DAY, LAST_DAY + 1))
+    fits = lambda n, digits: digits in ("*", 0) or len(str(n)) == digits
+    return [d.toordinal() for d in all_days if fits(d.month, month) and fits(d.day, day)]
+
+
 class Pseudonyms:
     """Replaces the personal data of texts."""
 
@@ -109,7 +125,7 @@ class Pseudonyms:
 
     def card(self, s: str) -> str | None:
         d = "".join(filter(str.isdigit, s))
-        if luhn(d[:-1]) != int(d[-1]) or len(set(d)) == 1:
+        if not 13 <= len(d) <= 19 or luhn(d[:-1]) != int(d[-1]) or len(set(d)) == 1:
             return None
         n = len(d) - 2
         body = d[0] + str(self.p.permute(f"card{len(d)}{d[0]}", 10**n, int(d[1:-1]))).zfill(n)
@@ -143,7 +159,7 @@ class Pseudonyms:
 
     def phone(self, s: str) -> str | None:
         d = "".join(filter(str.isdigit, s))
-        if not 7 <= len(d) <= 15:
+        if not ONE["phone"].fullmatch(s) or not 7 <= len(d) <= 15:
             return None
         own = d[-10:]
         if len(d) in (10, 11) and d[:-10] in ("", "1") and own[0] > "1" and own[3] > "1":  # North America: area and exchange begin with 2-9
@@ -160,8 +176,9 @@ class Pseudonyms:
         try:
             if named:
                 day, month, year = (named[1], named[2], named[3]) if named[1] else (named[5], named[4], named[6])
-                new = self._day(datetime.date(int(year), MONTHS.index(month) + 1, int(day)))
-                return f"{new.day} {MONTHS[new.month - 1]} {new.year}" if named[1] else f"{MONTHS[new.month - 1]} {new.day}, {new.year}"
+                new = self._day(datetime.date(int(year), MONTHS.index(month) + 1, int(day)), "", day)
+                text = str(new.day).zfill(len(day))
+                return f"{text} {MONTHS[new.month - 1]} {new.year}" if named[1] else f"{MONTHS[new.month - 1]} {text}, {new.year}"
             sign = re.search(r"[-/.]", s)[0]
             a, b, c = s.split(sign)
             if len(a) == 4:
@@ -171,7 +188,7 @@ class Pseudonyms:
             else:
                 order = "dmy"
             at = dict(zip(order, (a, b, c), strict=True))
-            new = self._day(datetime.date(int(at["y"]), int(at["m"]), int(at["d"])))
+            new = self._day(datetime.date(int(at["y"]), int(at["m"]), int(at["d"])), at["m"], at["d"])
             width = {k: len(v) for k, v in at.items()}
             return sign.join(str({"y": new.year, "m": new.month, "d": new.day}[k]).zfill(width[k]) for k in order)
         except ValueError:
@@ -179,9 +196,12 @@ class Pseudonyms:
 
     named = date
 
-    def _day(self, day: datetime.date) -> datetime.date:
-        n = LAST_DAY - FIRST_DAY + 1
-        return datetime.date.fromordinal(FIRST_DAY + self.p.permute("date", n, day.toordinal() - FIRST_DAY))
+    def _day(self, date: datetime.date, month: str, day: str) -> datetime.date:
+        """Permuted among the days that can be written like this: with as many digits, and padded only if this may be."""
+        padded = "0" in (month[:1], day[:1]) or (len(month) == len(day) == 2 and month < "13")
+        form = ("*" if padded and len(month) == 2 else len(month)), ("*" if padded and len(day) == 2 else len(day))
+        days = _days(*form)
+        return datetime.date.fromordinal(days[self.p.permute(f"date{form}", len(days), bisect_left(days, date.toordinal()))])
 
     def email(self, s: str) -> str | None:
         local, _, domain = s.rpartition("@")
@@ -202,23 +222,40 @@ class Pseudonyms:
             out.append(c)
         return "".join(reversed(out))
 
+    def at(self, text: str, start: int) -> tuple[str, int, str] | None:
+        """(kind, end, pseudonym) of the value that begins at a place: of the first kind with a valid one, its longest."""
+        for kind in KINDS:
+            if not (m := ONE[kind].match(text, start)):
+                continue
+            ends = [m.end()]
+            if kind in RUNS:
+                ends += [start + i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] in " -."]
+            for end in ends:
+                if (new := getattr(self, kind)(text[start:end])) is not None:
+                    return ("date" if kind == "named" else kind), end, new
+        return None
+
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of what was replaced, as places in the input."""
         if not HINT.search(text):
             return text, []
-        out, spans, at = [], [], 0
-        for m in FIND.finditer(text):
-            kind = m.lastgroup or "date"
-            if (new := getattr(self, kind)(m[0])) is not None:
-                out += [text[at : m.start()], new]
-                spans.append(("date" if kind == "named" else kind, m.start(), m.end()))
-                at = m.end()
+        out, spans, at, seek = [], [], 0, 0
+        while m := FIND.search(text, seek):
+            found = self.at(text, m.start())
+            if found is None:
+                seek = max(GROUP.match(text, m.start()).end(), m.start() + 1)
+                continue
+            kind, seek, new = found
+            out += [text[at : m.start()], new]
+            spans.append((kind, m.start(), seek))
+            at = seek
         return "".join([*out, text[at:]]), spans
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", spans: str = "spans") -> DataFrame:
     """docs with pseudonyms in `text` and a column of "kind:start:end" of what was replaced, comma-joined."""
-    at = docs.columns.index(text)
+    kept = docs.drop(spans)
+    at = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = Pseudonyms(key)
@@ -228,11 +265,15 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", spans: str = "sp
             columns[at] = pa.array([t for t, _ in done], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array([",".join(f"{k}:{a}:{b}" for k, a, b in s) for _, s in done], pa.string())], [*batch.schema.names, spans])
 
-    return docs.mapInArrow(run, docs.withColumn(spans, F.lit("")).schema)
+    return kept.mapInArrow(run, kept.withColumn(spans, F.lit("")).schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with pseudonyms, the spans that they replace and their number."""
-    key = spark.conf.get("seine.pseudonym.key", DEFAULT_KEY)
+    """Every document with pseudonyms, the spans that they replace and their number.
+
+    The session's seine.pseudonym.key links runs with each other. Without one a key is drawn for this run, which nobody
+    can undo afterwards.
+    """
+    key = spark.conf.get("seine.pseudonym.key", None) or secrets.token_hex(32)
     found = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     return found.select("doc_id", F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long").alias("n_spans"), "spans", "text")
