@@ -294,6 +294,67 @@ def test_permutation(n):
     assert sorted(image) == list(range(n)) and [p.undo("x", n, v) for v in image] == list(range(n))
 
 
+def plain_permutation(key, kind, n, value):
+    """The Feistel walk spelled out, apart from the module's code."""
+    import hmac
+    from math import isqrt
+
+    side = isqrt(n - 1) + 1
+    while True:
+        half = list(divmod(value, side))
+        for step in range(8):
+            told = half[0] if step % 2 == 0 else half[1]
+            add = int.from_bytes(hmac.new(key.encode(), f"{kind}|{n}|{step}|{told}".encode(), "sha256").digest(), "big") % side
+            half[1 - step % 2] = (half[1 - step % 2] + add) % side
+        value = half[0] * side + half[1]
+        if value < n:
+            return value
+
+
+def test_pseudonyms_by_brute_force(spark):
+    """Cards and addresses of the network among words: found at their places, with the values that the definition gives."""
+    rng = random.Random(8)
+    texts, want = [], []
+    for _ in range(60):
+        text, spans, told = "", [], ""
+        for _ in range(rng.randint(0, 5)):
+            pad = " ".join(rng.choices(WORDS, k=rng.randint(1, 4))) + ", "
+            if rng.random() < 0.5:
+                body = "4" + "".join(rng.choices("0123456789", k=14))
+                value = body + str(next(c for c in range(10) if sum(sum(map(int, str(int(d) * (1 + i % 2)))) for i, d in enumerate(reversed(body + str(c)))) % 10 == 0))
+                new = "4" + str(plain_permutation("k", "card164", 10**14, int(value[1:-1]))).zfill(14)
+                new, kind = new + str(next(c for c in range(10) if sum(sum(map(int, str(int(d) * (1 + i % 2)))) for i, d in enumerate(reversed(new + str(c)))) % 10 == 0)), "card"
+            else:
+                parts = [rng.randrange(256) for _ in range(4)]
+                image = plain_permutation("k", "ip", 256**4, sum(p << 8 * (3 - i) for i, p in enumerate(parts)))
+                value, new, kind = ".".join(map(str, parts)), ".".join(str(image >> 8 * (3 - i) & 255) for i in range(4)), "ip"
+            spans.append(f"{kind}:{len(text) + len(pad)}:{len(text) + len(pad) + len(value)}")
+            text, told = f"{text}{pad}{value} ", f"{told}{pad}{new} "
+        texts.append(text)
+        want.append((told, ",".join(spans)))
+    got = pseudonyms.pseudonymise(docs(spark, texts), "k").orderBy("doc_id").collect()
+    assert [(r.text, r.spans) for r in got] == want
+
+
+def test_pseudonyms_beside_other_numbers(spark):
+    card, phone = "4111 1111 1111 1111", "555-223-4567"
+    texts = [f"card {card} 12/27", f"order 7 {card}", f"pay 4111-1111-1111-1111 {phone}", "AT61 1904 3002 3457 3201 BIC", f"{phone} 8902 235", "word " * 50_000 + card]
+    rows = pseudonyms.pseudonymise(docs(spark, [*texts, texts[0]]), "k", spans="value").orderBy("doc_id").collect()
+    assert [[s.split(":")[0] for s in r.value.split(",") if s] for r in rows] == [["card"], ["card"], ["card", "phone"], ["iban"], ["phone"], ["card"], ["card"]]
+    assert rows[0].text == rows[6].text and rows[0].text.endswith(" 12/27") and rows[1].text.startswith("order 7 ") and rows[3].text.endswith(" BIC")
+    assert len({r.text.rpartition("4")[0][-5:] for r in rows[:2]}) == 1 and "".join(filter(str.isdigit, rows[5].text)) == "".join(filter(str.isdigit, rows[1].text))[1:]
+
+
+@pytest.mark.parametrize("day", ["1/5/2020", "1/15/2020", "12/25/1999", "05/01/2020", "2020-01-05", "2020-1-5", "5 January 2020", "15 May 2020", "May 5, 2020", "29.02.2024", "29.2.2024"])
+def test_dates_keep_their_format(day):
+    p = pseudonyms.Pseudonyms("k")
+    new, spans = p.replace(f"on {day} at")
+    assert len(spans) == 1 and new != f"on {day} at"
+    if not re.search("[A-Z]", day):
+        assert [len(x) for x in re.split("[-/.]", new[3:-3])] == [len(x) for x in re.split("[-/.]", day)]
+    assert pseudonyms.Pseudonyms("other").replace(f"on {day} at")[0] != new
+
+
 # --- licenses, decontamination, secrets -------------------------------------------------------------------------------
 
 
@@ -336,6 +397,21 @@ def test_leaks(spark):
     assert sorted(r.doc_id for r in decontaminate.clean(docs(spark, texts), items).collect()) == sorted(set(range(8)) - {d for d, _ in got})
 
 
+def test_leaks_through_common_windows(spark, monkeypatch):
+    """Items that share most of their windows, repeated items and ids, long texts; by broadcast and by shuffle."""
+    stem = "in the year 1999 about 20 km of road were built by Anna and 30 km by Omar in 5 days of work"
+    own = [" and then the " + " ".join(random.Random(i).sample(WORDS, 9)) for i in range(6)]
+    items = spark.createDataFrame([(i % 5 if i < 5 else 4, stem + o) for i, o in enumerate(own)], "item_id long, text string")
+    pad = " ".join(WORDS) + ". "
+    texts = [pad * 3000 + stem + own[2], pad + stem, None, pad, stem + own[0]]
+    frame = docs(spark, texts, [1, 2, 2, None, None])
+    got = {(r.doc_id, r.item_id, r.n_windows) for r in decontaminate.leaks(frame, items).collect()}
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert {(r.doc_id, r.item_id, r.n_windows) for r in decontaminate.leaks(frame, items).collect()} == got
+    assert {(d, i) for d, i, _ in got} == {(1, i) for i in range(5)} | {(2, i) for i in range(5)} | {(None, i) for i in range(5)}
+    assert max(n for d, i, n in got if (d, i) == (1, 2)) > max(n for d, i, n in got if (d, i) == (1, 1))
+
+
 def test_leaks_of_edited_and_case_changed_copies(spark):
     item = "A train leaves Paris at 9 and drives 120 km in 2 hours; how far does Anna travel by 5 with 120 km each?"
     items = spark.createDataFrame([(1, item), (2, None), (3, "too short")], "item_id long, text string")
