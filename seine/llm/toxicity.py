@@ -2,28 +2,37 @@
 
 The kernel of two words is the sum, over all strings u of four symbols, of the weights of u's occurrences as a
 gapped subsequence in either, an occurrence over a span of n symbols weighing DECAY ** n; it is normalised. A sign
-marks each word's begin. So an insult with letters inserted or left out keeps most of its likeness. Landmarks are
-words of labelled sentences; a word's likeness to them, whitened by their own kernel matrix (Nyström), is what a
-linear SVM of squared hinge loss sees. Words to learn from as toxic are those that stand, or whose beginnings
-stand, in far more different sentences of toxic texts than of clean ones.
+marks each word's begin, and the end of a word of three letters, which has no other string. So an insult with letters
+inserted or left out keeps most of its likeness. Signs between letters are left out, digits that stand for letters are
+read as these, and accents are taken off.
+
+A linear SVM of squared hinge loss learns from sentences of labelled texts. A sentence is what its worst word is, the
+one of greatest margin (its witness): clean sentences are examples against, toxic texts' sentences are examples for if
+their witness has a positive margin or is the text's worst, and is a witness in far more toxic than clean sentences.
+Witnesses depend on the model, so it is fitted ROUNDS times; the first time witnesses are the words that stand, or
+whose beginnings stand, in far more different sentences of toxic texts than of clean ones. A word is seen through its
+likeness to landmarks, witnesses that differ from each other, whitened by their own kernel matrix (Nyström).
 
 A word's margin is linear in its weights of the strings u, apart from its norm. Landmarks, whitening and SVM are
 therefore folded into one number for each u, so scoring a word is a sum over its gapped strings, whatever the number
 of landmarks. Words are scored once for each Python worker. A text's greatest margins, and how many of its words
 have a positive one, go into a logistic layer fitted on the labelled texts, which gives the score.
 
-Bounds: at most SAMPLE labelled texts of each label are learnt from, taken by hash; at most POSITIVES and NEGATIVES
-words and a few numbers for each sampled text reach the driver, never texts.
+Bounds: at most SAMPLE labelled texts of each label are learnt from, taken by hash; of their sentences' witnesses at
+most POSITIVES and NEGATIVES words with the numbers of their sentences, and a few numbers for each sampled text, reach
+the driver, never texts.
 
 Defined results: null and empty texts, and texts without a word, get the score of no margin; labels that are null or
 not 0 or 1 are left out, a doc_id with both labels counts as toxic; without labels of both kinds every score is 0;
-repeated rows are scored alike; other columns are ignored; an empty table gives no rows.
+rows with equal texts are scored alike, and learnt from once; texts of any length are scored whole; other columns are
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,13 +44,19 @@ from pyspark.sql import functions as F
 from seine.llm import common
 from seine.session import table
 
-SAMPLE, POSITIVES, NEGATIVES, LANDMARKS = 4000, 600, 6_000, 128
+SAMPLE, POSITIVES, NEGATIVES, LANDMARKS, ROUNDS = 4000, 1_000, 8_000, 160, 3
 DECAY, LENGTH, SYMBOLS, LONGEST, TOP = 0.6, 4, 32, 20, 4
 REMEMBERED = 400_000
+#: Standard deviations by which a later witness, or a beginning of it, leans to toxic sentences.
+SURE = 3.0
 SENTENCE = r"[.!?\n]+\s*"
 STRIP = ".,;:!?\"'()[]{}«»„“”‘’…"
 SPACED = re.compile(r"(?<!\S)\w(?:[ \-_.*]\w){2,}(?!\w)")
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Digits and signs that stand for letters inside words.
+STANDS_FOR = str.maketrans("013457@$", "oieastas")
+ACCENTS = re.compile("[\u0300-\u036f]")
+BEGIN, END = 31, 30
 
 
 # --- words and kernel ----------------------------------------------------------------------------------------
@@ -59,6 +74,10 @@ def units(text: str) -> list[str]:
 def variants(unit: str) -> list[str]:
     """What is compared for a unit: its stripped form, without inserted signs, in overlapping pieces if it is long."""
     word = unit.strip(STRIP)
+    if not word.isalpha() and LETTERS.search(word):
+        word = word.translate(STANDS_FOR)
+    if not word.isascii():
+        word = ACCENTS.sub("", unicodedata.normalize("NFD", word))
     plain = "".join(LETTERS.findall(word)) or word
     if len(plain) <= LONGEST:
         return [plain]
@@ -66,10 +85,11 @@ def variants(unit: str) -> list[str]:
 
 
 def codes(words: list[str]) -> np.ndarray:
-    """Symbols of equally long words behind the sign of a begin: a-z are 0-25, all others fold into five more."""
+    """Symbols of equally long words between their signs: a-z are 0-25, letters of other scripts take these places too."""
     points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.int64)
-    symbols = np.where((points >= 97) & (points <= 122), points - 97, 26 + points % 5)
-    return np.hstack([np.full((len(words), 1), SYMBOLS - 1), symbols])
+    symbols = np.where((points >= 97) & (points <= 122), points - 97, points % 26)
+    signs = [np.full((len(words), 1), BEGIN), symbols, np.full((len(words), 1), END)]
+    return np.hstack(signs if symbols.shape[1] == LENGTH - 1 else signs[:2])
 
 
 def self_kernel(code: np.ndarray) -> np.ndarray:
@@ -142,7 +162,7 @@ def sums(words: list[str], tables: np.ndarray) -> np.ndarray:
     for n, members in by_length(words).items():
         if n + 1 < LENGTH:
             continue
-        step = max(1, 1_000_000 // len(gapped(n + 1)[0]))
+        step = max(1, 1_000_000 // len(gapped(n + 1 + (n == LENGTH - 1))[0]))
         for start in range(0, len(members), step):
             some = members[start : start + step]
             code = codes([words[i] for i in some])
@@ -173,7 +193,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-
 def landmarks(positive: list[str], negative: list[str], most: int) -> list[dict[int, float]]:
     """Features of the words to compare with: toxic ones that differ from each other, then clean ones."""
     features: list[dict[int, float]] = []
-    for words, bound in ((positive, most * 3 // 4), (negative, most)):
+    for words, bound in ((positive, most * 2 // 3), (negative, most)):
         for w in words:
             if len(features) >= bound:
                 break
@@ -183,22 +203,40 @@ def landmarks(positive: list[str], negative: list[str], most: int) -> list[dict[
     return features
 
 
-def fold(positive: list[str], negative: list[str], n_landmarks: int = LANDMARKS) -> tuple[np.ndarray, float]:
-    """(table, bias): the SVM over Nyström features, folded into one number for each string."""
-    marks = landmarks(positive, negative, n_landmarks)
+def likeness(words: list[str], marks: list[dict[int, float]]) -> np.ndarray:
+    """words x marks: the kernel of each word with each mark."""
+    strings = {k: i for i, k in enumerate(sorted({k for f in marks for k in f}), 1)}
+    place = np.zeros(SYMBOLS**LENGTH, np.int32)
+    place[list(strings)] = list(strings.values())
+    weights = np.zeros((len(strings) + 1, len(marks)), np.float32)
+    for j, f in enumerate(marks):
+        weights[[strings[k] for k in f], j] = list(f.values())
+    out = np.zeros((len(words), len(marks)))
+    for n, members in by_length(words).items():
+        if n + 1 < LENGTH:
+            continue
+        step = max(1, 8_000_000 // (len(gapped(n + 1)[0]) * len(marks)))
+        for start in range(0, len(members), step):
+            some = members[start : start + step]
+            code = codes([words[i] for i in some])
+            key, weight = keys(code)
+            out[some] = np.einsum("wpm,p->wm", weights[place[key]], weight) / np.sqrt(self_kernel(code))[:, None]
+    return out
+
+
+def fold(positive: dict[str, int], negative: dict[str, int], n_landmarks: int = LANDMARKS) -> tuple[np.ndarray, float]:
+    """(table, bias): the SVM over Nyström features, folded into one number for each string. The examples are sentences, given
+    by their witnesses and how many sentences have each; a witness counts with the root of that."""
+    words = [*positive, *negative]
+    marks = landmarks([*positive], [*negative], n_landmarks)
     gram = np.array([[dot(f, g) for g in marks] for f in marks])
     values, vectors = np.linalg.eigh(gram)
     keep = values > 1e-8
     white = vectors[:, keep] / np.sqrt(values[keep])
-    words = [*positive, *negative]
-    likeness = np.zeros((len(words), len(marks)))
-    for j, f in enumerate(marks):  # one table at a time: the driver's memory doesn't grow with the landmarks
-        one = np.zeros((1, SYMBOLS**LENGTH), np.float32)
-        one[0, list(f)] = list(f.values())
-        likeness[:, j] = sums(words, one)[:, 0]
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-    weight = np.where(y > 0, 1 / len(positive), 1 / len(negative))
-    w, bias = fit_svm(likeness @ white, y, weight)
+    share = lambda counts: np.sqrt(np.array([*counts.values()], float))
+    weight = np.concatenate([w / w.sum() for w in (share(positive), share(negative))])
+    w, bias = fit_svm(likeness(words, marks) @ white, y, weight)
     out = np.zeros(SYMBOLS**LENGTH)
     for f, alpha in zip(marks, white @ w, strict=True):
         for k, v in f.items():
@@ -288,13 +326,18 @@ def sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, learn, samp
         some = marks.filter(F.col("label") == label).orderBy(F.xxhash64("key"), "key").limit(sample)
         chosen = some if chosen is None else chosen.unionByName(some)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.join(F.broadcast(chosen), "key").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
+    # chosen holds two times `sample` keys at most
+    return rows.join(F.broadcast(chosen), "key").groupBy(F.sha2("text", 256).alias("of")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
+
+
+def sentences_of(sample: DataFrame) -> DataFrame:
+    """(s, of, label): the different sentences of the texts, each with a text that has it. One that a clean text has is clean."""
+    rows = sample.select("of", "label", F.explode(F.split(F.lower("text"), SENTENCE)).alias("s")).filter(F.length("s") > 2)
+    return rows.groupBy("s").agg(F.min("of").alias("of"), F.min("label").alias("label"))
 
 
-def word_counts(sample: DataFrame) -> DataFrame:
+def word_counts(sentences: DataFrame) -> DataFrame:
     """(word, toxic, clean): in how many different sentences of toxic and of clean texts a word stands."""
-    sentences = sample.select("label", F.explode(F.split(F.lower("text"), SENTENCE)).alias("s")).filter(F.length("s") > 2)
-    sentences = sentences.groupBy(F.xxhash64("s").alias("h")).agg(F.first("s").alias("s"), F.max("label").alias("label"))
     found = sentences.select("label", F.explode(F.array_distinct(F.split("s", r"[^\p{L}\p{M}]+"))).alias("word")).filter(F.length("word") >= LENGTH - 1)
     return found.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
 
@@ -309,28 +352,67 @@ def indicative(counts: DataFrame, ratio: float) -> DataFrame:
     return counts.withColumn("own", lean).join(best, "word").select("word", "toxic", "clean", F.greatest("own", "of_begin").alias("z"))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, rounds: int = 1) -> Model | None:
-    """A model from labelled rows whose key `learn` (a function of columns) lets through; None without both labels."""
-    share = {r.toxic: r.n for r in labels.filter(F.col("toxic").isin(0, 1) & learn(F.col(key))).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rows = common.store(sampled(docs, labels, key, text, learn, sample), "toxicity-sample")
-    counts = common.store(word_counts(rows), "toxicity-words")
+def _plain(counts: dict[str, int]) -> dict[str, int]:
+    """Counts by what is compared of the words."""
+    out: dict[str, int] = {}
+    for w, n in counts.items():
+        for v in variants(w):
+            if len(v) + 1 >= LENGTH:
+                out[v] = out.get(v, 0) + n
+    return out
+
+
+def first_witnesses(sentences: DataFrame) -> tuple[dict[str, int], dict[str, int], float] | None:
+    """(for, against, ratio): the words to begin with, with numbers of sentences; None without both labels. ratio: toxic
+    sentences for each clean one."""
+    counts = common.store(word_counts(sentences), "toxicity-words")
     total = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     if not total.t or not total.c:
         return None
-    ranked = common.store(indicative(counts, total.t / total.c), "toxicity-ranked")
-    leaning = ranked.filter(F.col("toxic") * total.c / total.t > 3 * F.col("clean")).orderBy(F.desc("z"), F.desc("toxic"), "word").limit(POSITIVES).collect()
-    positive = next((found for least in (5.0, 4.0, 3.0) if len(found := [r.word for r in leaning if r.z >= least]) >= 30), [r.word for r in leaning[:30]])
-    known = set(positive)
-    negative = [r.word for r in counts.filter("clean > 0").orderBy(F.desc(F.log2(F.col("clean")) + F.pmod(F.xxhash64("word"), F.lit(1000)) / 100), "word").limit(NEGATIVES).collect() if r.word not in known]
-    if not positive or not negative:
+    ratio = total.t / total.c
+    leaning = indicative(counts, ratio).filter(F.col("toxic") > 3 * ratio * F.col("clean")).orderBy(F.desc("z"), F.desc("toxic"), "word").limit(POSITIVES).collect()
+    sure = next((found for least in (5.0, 4.0, 3.0) if len(found := [r for r in leaning if r.z >= least]) >= 30), leaning[:30])
+    positive = _plain({r.word: r.toxic for r in sure})
+    often = counts.filter("clean > 0").orderBy(F.desc(F.log2(F.col("clean")) + F.pmod(F.xxhash64("word"), F.lit(1000)) / 100), "word").limit(NEGATIVES).collect()
+    negative = {w: n for w, n in _plain({r.word: r.clean for r in often}).items() if w not in positive}
+    return (positive, negative, ratio) if positive and negative else None
+
+
+def witnesses(sentences: DataFrame, model: Model, ratio: float) -> tuple[dict[str, int], dict[str, int]]:
+    """(for, against): the witnesses of labelled sentences by a model, with numbers of sentences."""
+    shared = sentences.sparkSession.sparkContext.broadcast(model)
+    judged = sentences.select("s", "of", "label").mapInArrow(_judge(shared), "bag array<double>, top string, of string, label int")
+    judged = common.store(judged.select("top", "of", "label", F.get("bag", F.lit(0)).alias("margin")).filter("top <> ''"), "toxicity-witnesses")
+    worst = judged.filter("label = 1").groupBy("of").agg(F.max("margin").alias("worst"))
+    toxic = judged.filter("label = 1").join(worst, "of").filter("margin > 0 or margin = worst").groupBy(F.col("top").alias("word")).agg(F.count("*").alias("toxic"))
+    clean = judged.filter("label = 0").groupBy("top").agg(F.count("*").alias("c"), F.max("margin").alias("margin"))
+    counts = common.store(toxic.join(clean.withColumnRenamed("top", "word"), "word", "left").select("word", "toxic", F.coalesce("c", F.lit(0)).alias("clean")), "toxicity-leaning")
+    leaning = indicative(counts, ratio).filter((F.col("z") >= SURE) & (F.col("toxic") > 3 * ratio * F.col("clean")))
+    positive = {r.word: r.toxic for r in leaning.orderBy(F.desc("toxic"), "word").limit(POSITIVES).collect()}
+    against = clean.orderBy(F.desc("margin"), "top").limit(NEGATIVES).collect()
+    return positive, {r.top: r.c for r in against if r.top not in positive}
+
+
+def train(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, rounds: int = ROUNDS) -> Model | None:
+    """A model from labelled rows whose key `learn` (a function of columns) lets through; None without both labels."""
+    share = {r.toxic: r.n for r in labels.filter(F.col("toxic").isin(0, 1) & learn(F.col(key))).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rows = common.store(sampled(docs, labels, key, text, learn, sample), "toxicity-sample")
+    sentences = common.store(sentences_of(rows), "toxicity-sentences")
+    begun = first_witnesses(sentences)
+    if begun is None:
         return None
-    for k in range(rounds + 1):
-        model = Model(*fold(positive, negative))
-        judged = common.store(rows.select("text", "label").mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(model)), "bag array<double>, top string, label int"), "toxicity-judged")
-        if k == rounds:
-            break
-        hard = judged.filter(F.col("label") == 0).select("top", F.get("bag", F.lit(0)).alias("m")).filter("m > -0.8").groupBy("top").agg(F.max("m").alias("m")).orderBy(F.desc("m"), "top").limit(2000).collect()
-        negative = [w for w in dict.fromkeys([*(r.top for r in hard), *negative]) if w not in known]
+    positive, negative, ratio = begun
+    known = dict(negative)
+    model = Model(*fold(positive, negative))
+    for _ in range(rounds - 1):
+        found, against = witnesses(sentences, model, ratio)
+        if found and against:
+            positive = found
+            # the worst clean witnesses first, so that they are landmarks too
+            negative = {w: n for w, n in (against | {w: n for w, n in known.items() if w not in against}).items() if w not in positive}
+            known = dict(list(negative.items())[: 2 * NEGATIVES])
+            model = Model(*fold(positive, known))
+    judged = rows.select("text", "label").mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(model)), "bag array<double>, top string, label int")
     seen = judged.select("bag", "label").collect()  # a few numbers for each text of the bounded sample
     label = np.array([r.label for r in seen])
     if not 0 < label.sum() < len(label):

@@ -95,6 +95,41 @@ def test_toxicity_held_out_accuracy(spark):
     assert kept.columns == frame.columns and 380 < kept.count() < 430
 
 
+def test_folded_margins_by_brute_force():
+    """Landmarks, whitening and SVM spelled out with plain kernels give the margins of the folded table."""
+    positive, negative = {"idiot": 9, "moron": 4, "scumbag": 1}, {"river": 5, "stone": 2, "lidia": 1, "los": 7, "rebel": 1}
+    table, bias = toxicity.fold(positive, negative, 5)
+    marks = toxicity.landmarks([*positive], [*negative], 5)
+    names = [w for w in [*positive, *negative] if any(toxicity.feature(w) == f for f in marks)]
+    own = lambda w: w + "\1" if len(w) == 3 else w  # noqa: E731  (a word of three letters has a sign at its end)
+    k = lambda a, b: brute_kernel(own(a), own(b)) / (brute_kernel(own(a), own(a)) * brute_kernel(own(b), own(b))) ** 0.5
+    values, vectors = np.linalg.eigh(np.array([[k(a, b) for b in names] for a in names]))
+    white = vectors / np.sqrt(values)
+    see = lambda words: np.array([[k(w, m) for m in names] for w in words]) @ white
+    root = [np.sqrt(np.array([*c.values()], float)) for c in (positive, negative)]
+    w, b = toxicity.fit_svm(see([*positive, *negative]), np.array([1.0] * 3 + [-1.0] * 5), np.concatenate([r / r.sum() for r in root]))
+    asked = ["idiot", "idxiot", "idot", "stones", "los", "morons", "zzzz"]
+    assert bias == pytest.approx(b) and (toxicity.sums(asked, table[None, :])[:, 0] + bias).tolist() == pytest.approx((see(asked) @ w + b).tolist(), abs=1e-6)
+    assert toxicity.likeness(asked, marks) == pytest.approx(np.array([[k(a, m) for m in names] for a in asked]), abs=1e-6)
+
+
+@pytest.mark.parametrize(("unit", "plain"), [("1d10t", "idiot"), ("i-d.i*o_t!", "idiot"), ("\u00cfd\u00ef\u00f4t".lower(), "idiot"), ("2024", "2024"), ("\u0434\u0443\u0440\u0430\u043a", "\u0434\u0443\u0440\u0430\u043a"), ("", "")])
+def test_what_is_compared(unit, plain):
+    assert toxicity.variants(unit) == [plain]
+
+
+def test_toxicity_odd_tables(spark):
+    texts = ["you idiot, you moron", "a river of stone", "word " * 60_000 + "idiot moron", None, "", "a river of stone"]
+    frame = docs(spark, texts, [1, 2, 3, None, 5, 2])
+    marks = lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int")
+    for one_label in ([(1, 1)], [(2, 0)], [], [(1, None), (2, 3)]):
+        assert toxicity.train(frame, marks(one_label), lambda k: F.lit(True)) is None
+    assert {r.score for r in toxicity.score(frame, None, ["doc_id"]).collect()} == {0.0}
+    model = toxicity.train(frame, marks([(1, 1), (1, 0), (2, 0), (5, 0)]), lambda k: F.lit(True))
+    got = [(r.doc_id, r.score, r.word) for r in toxicity.score(frame, model, ["doc_id", "fp"]).collect()]
+    assert len(got) == 6 and len({s for d, s, _ in got if d == 2}) == 1 and {w for d, _, w in got if d == 3} <= {"idiot", "moron", "word"}
+
+
 # --- byte-level BPE -----------------------------------------------------------------------------------------------
 
 
