@@ -5,8 +5,9 @@ document) is removed. No task sees the corpus; equal strings meet in three steps
 
 1. Every window of `length` bytes names an anchor, the least hashed k-gram inside it, so equal windows have equal
    anchors at equal places. Windows in a row with one anchor form a passage: (anchor, digest of the passage's
-   bytes, place). Inside a task, passages met before are marked at once and not sent on, so a passage that a third
-   of all documents holds is one row for each task.
+   bytes, place). Inside a task, passages met before are marked at once and not sent on: those that a chunk of
+   documents repeats, and in later chunks those that were repeated often. So a passage that a third of all documents
+   holds is a few rows for each task, whatever its size.
 2. Passages are grouped by anchor and digest. All but the first of equal passages are marked.
 3. Different passages with one anchor may still share windows (around edits, or where a quotation begins). Two that
    share a window have the `near` bytes left or right of the anchor in common, so they are dealt by these. Each
@@ -14,8 +15,8 @@ document) is removed. No task sees the corpus; equal strings meet in three steps
    Burrows-Wheeler transform is kept as runs with the rows of the passages' ends sampled, and rows between which
    `length` bytes agree form intervals that know their first place. Passages are streamed backwards through the
    index, run by run; wherever the interval's first place is earlier than their own, the window is marked.
-   Dealt groups of more than `crowd` passages go through a grouping of their single windows instead, which no
-   task needs to hold.
+   Groups are counted before they are dealt: those of more than `crowd` passages go through a grouping of their
+   single windows instead, so no task holds or streams one.
 
 Marks are gathered for each document and its bytes are cut.
 
@@ -39,6 +40,9 @@ from seine.session import table
 
 LENGTH, GRAM, CROWD = 100, 32, 20_000
 CHUNK = 6_000_000
+#: Times that a chunk has a passage for its task to remember it, and passages that a task remembers. These decide what is
+#: sent on, never what is marked.
+OFTEN, REMEMBERED = 16, 200_000
 LOWEST = -(2**63)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -117,9 +121,10 @@ FOUND = "id long, start int, windows short, at short, anchor long, digest long,
 
 
 def find(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """All passages; again: an equal one starts earlier in the same chunk of documents."""
+    """All passages; again: the same task has met an equal one that starts earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = {n: np.zeros(0, np.int64) for n in ("name", "anchor", "digest", "id", "start")}
         for ids, texts in _chunks(batches, CHUNK):
             p = passages(texts, length, k)
             who = ids[p["text"]]
@@ -128,6 +133,24 @@ def find(docs: DataFrame, length: int, k: int) -> DataFrame:
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])])[: len(a)]
             top = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
             again = (w != w[top]) | (s != s[top])
+            firsts = np.flatnonzero(new)
+            name = a[firsts] ^ (d[firsts] * np.int64(0x5851F42D4C957F2D))
+            at = np.minimum(np.searchsorted(often["name"], name), max(len(often["name"]) - 1, 0))
+            known = np.zeros(len(firsts), bool)
+            if len(often["name"]) and len(firsts):
+                known = (often["anchor"][at] == a[firsts]) & (often["digest"][at] == d[firsts])
+                id_then, start_then = often["id"][at], often["start"][at]
+                earlier = known & ((id_then < w[firsts]) | ((id_then == w[firsts]) & (start_then < s[firsts])))
+                again |= earlier[np.cumsum(new) - 1]
+                sooner = known & ~earlier
+                often["id"][at[sooner]], often["start"][at[sooner]] = w[firsts[sooner]], s[firsts[sooner]]
+            count = np.diff(np.append(firsts, len(a)))
+            more = firsts[(count >= OFTEN) & ~known][: REMEMBERED - len(often["name"])]
+            if len(more):
+                added = {"name": a[more] ^ (d[more] * np.int64(0x5851F42D4C957F2D)), "anchor": a[more], "digest": d[more], "id": w[more], "start": s[more].astype(np.int64)}
+                often = {n: np.concatenate([often[n], added[n]]) for n in often}
+                by = np.argsort(often["name"], kind="stable")
+                often = {n: x[by] for n, x in often.items()}
             yield pa.RecordBatch.from_arrays(
                 [pa.array(w), pa.array(s.astype(np.int32)), pa.array(p["windows"][order].astype(np.int16)), pa.array(p["at"][order].astype(np.int16)), pa.array(a), pa.array(d), pa.array(again)],
                 ["id", "start", "windows", "at", "anchor", "digest", "again"],
@@ -279,17 +302,13 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-RESOLVED = "id long, start int, windows int, at int, anchor long, body binary"
+MARKED = "id long, start int, windows int"
+GROUP = ["anchor", "side", "near"]
 
 
-def _resolve(length: int, crowd: int, most_bytes: int = 1_500_000):
-    """Rows sorted by group -> (id, start, windows) of marked windows. Groups of one passage say nothing; groups of more
-    than `crowd` come out as they are, with their bytes."""
-    names = ["id", "start", "windows", "at", "anchor", "body"]
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+def _resolve(length: int, most_bytes: int = 1_500_000):
+    """Rows sorted by group -> (id, start, windows) of marked windows. Groups of one passage say nothing; several groups of
+    some bytes share an index."""
 
     def settle(rows: list[dict]) -> pa.RecordBatch:
         # one passage may come in two groups; it is indexed once
@@ -298,35 +317,26 @@ def _resolve(length: int, crowd: int, most_bytes: int = 1_500_000):
         by = np.lexsort((places[:, 1], places[:, 0]))
         order = np.empty(len(unique), np.int64)
         order[by] = np.concatenate([[0], np.cumsum((places[by][1:] != places[by][:-1]).any(1))])
-        marked = repeats([r["body"] for r in unique], order, length)
-        return out([(unique[w]["id"], unique[w]["start"] + a, count, None, None, None) for w, a, count in marked])
+        marked = [(unique[w]["id"], unique[w]["start"] + a, count) for w, a, count in repeats([r["body"] for r in unique], order, length)]
+        return pa.RecordBatch.from_arrays([pa.array([m[k] for m in marked], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["id", "start", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         group: list[dict] = []
-        last, size, crowded = None, 0, False
-        raw = lambda rows: out([(r["id"], r["start"], None, r["at"], r["anchor"], r["body"]) for r in rows])
+        last, size = None, 0
         for batch in batches:
             for r in batch.to_pylist():
-                name = (r["anchor"], r["side"], r["near"])
+                name = tuple(r[n] for n in GROUP)
                 if name != last:
-                    if crowded:
-                        yield raw(group)
-                    elif len(group) > 1:
+                    if len(group) > 1:
                         held += group
                         size += sum(len(x["body"]) for x in group)
-                    group, last, crowded = [], name, False
+                    group, last = [], name
                     if size >= most_bytes:
                         yield settle(held)
                         held, size = [], 0
                 group.append(r)
-                if len(group) > crowd:
-                    crowded = True
-                    yield raw(group)
-                    group = []
-        if crowded:
-            yield raw(group)
-        elif len(group) > 1:
+        if len(group) > 1:
             held += group
         if held:
             yield settle(held)
@@ -368,10 +378,12 @@ def marks(docs: DataFrame, length: int = LENGTH, k: int = GRAM, crowd: int = CRO
     equal = classes.filter("later").select("id", "start", "windows")
     by_doc = classes.filter("not later").groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "windows", "at")).alias("asked"))
     bodies = docs.join(by_doc, "id").select("id", "text", "asked").mapInArrow(_bodies(length, k), "anchor long, side string, near long, id long, start int, at int, body binary")
-    group = ["anchor", "side", "near"]
-    grouped = bodies.repartition(parts, *group).sortWithinPartitions(*group)
-    resolved = common.store(grouped.mapInArrow(_resolve(length, crowd), RESOLVED), "resolved")
-    return equal.unionByName(resolved.filter("body is null").select("id", "start", "windows")).unionByName(_crowded(resolved.filter("body is not null"), length))
+    bodies = common.store(bodies, "bodies")
+    # at most one group for each `crowd` passages, so a few numbers
+    hot = common.store(bodies.groupBy(*GROUP).count().filter(F.col("count") > crowd).select(*GROUP), "crowds")
+    grouped = bodies.join(hot, GROUP, "left_anti").repartition(parts, *GROUP).sortWithinPartitions(*GROUP)
+    resolved = common.store(grouped.mapInArrow(_resolve(length), MARKED), "resolved")
+    return equal.unionByName(resolved).unionByName(_crowded(bodies.join(hot, GROUP, "left_semi"), length))
 
 
 def _crowded(dealt: DataFrame, length: int) -> DataFrame:
@@ -379,8 +391,8 @@ def _crowded(dealt: DataFrame, length: int) -> DataFrame:
     single = dealt.select("id", "start", "at", "anchor", F.explode(F.sequence(F.lit(0), F.length("body") - length)).alias("w"), "body")
     single = single.select("id", "start", "at", "w", "anchor", F.sha2(F.substring("body", F.col("w") + 1, F.lit(length)), 256).alias("window"))
     place = F.struct("id", (F.col("start") + F.col("at")).alias("place"))
-    firsts = single.groupBy("window").agg(F.min(place).alias("first"))
-    late = single.join(firsts, "window").filter(place > F.col("first"))
+    firsts = single.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    late = common.salted_join(single, firsts, ["window"], "id").filter(place > F.col("first"))
     return late.select("id", (F.col("start") + F.col("w")).cast("int").alias("start"), F.lit(1).alias("windows"))
 
 

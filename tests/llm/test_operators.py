@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -218,6 +219,34 @@ def test_repeats(spark, crowd):
     assert got == brute_repeats([(i, (t or "").encode()) for i, t in enumerate(texts)])
 
 
+def test_passages_that_a_task_remembers(spark, monkeypatch):
+    """Chunks of a few documents, so that what a task has met before decides; ids in no order."""
+    monkeypatch.setattr(runindex, "CHUNK", 1500)
+    monkeypatch.setattr(runindex, "OFTEN", 2)
+    rng = random.Random(12)
+    base = ["".join(rng.choices("abcdefgh ", k=300)) for _ in range(3)]
+    texts = [rng.choice(base)[rng.randint(0, 99) :] + "".join(rng.choices("xyz", k=9)) + rng.choice(base) for _ in range(60)]
+    ids = rng.sample(range(1000), 60)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], ["id", "text"])
+    taken = {}
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return list(run(iter([batch])))
+
+    rows = [r for b in runindex.find(Docs(), 100, 32) for r in b.to_pylist()]
+    monkeypatch.setattr(runindex, "OFTEN", 1 << 40)
+    forgetful = [r for b in runindex.find(Docs(), 100, 32) for r in b.to_pylist()]
+    for r in sorted(rows, key=lambda r: (r["id"], r["start"])):
+        first = taken.setdefault((r["anchor"], r["digest"]), (r["id"], r["start"]))
+        assert not r["again"] or first < (r["id"], r["start"])
+    sent = [r for r in rows if not r["again"]]
+    assert len(taken) <= len(sent) < 0.8 * sum(not r["again"] for r in forgetful) and len(rows) == len(forgetful)
+
+
 def test_repeats_of_repeated_and_null_ids(spark):
     text = "".join(random.Random(9).choices("abcdef ", k=300))
     got = [(r.doc_id, r.n_removed) for r in runindex.dedup(docs(spark, [text, text, text, text], [1, 1, None, 2])).collect()]
