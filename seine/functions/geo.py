@@ -6,10 +6,12 @@ columns (spelling, country).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seine.functions.text import clean, text_of
+from seine.functions.text import bound, clean, text_of
 
 # Spellings of countries, and members of regions.
 SPELLINGS = {
@@ -42,10 +44,35 @@ def _word(s: str) -> str:
 
 
 def countries_in(c: Column, spellings: dict[str, tuple[str, ...]] = SPELLINGS) -> Column:
-    """Sorted countries whose spelling stands in a text as words of their own."""
-    t = F.lower(text_of(c))
-    found = [F.when(t.rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(map(_word, names)) + r")(?![\p{L}\p{N}])"), country) for country, names in spellings.items()]
-    return F.array_sort(F.array_compact(F.array(*found)))
+    """Sorted countries whose spelling stands in a text as words of their own.
+
+    A text is cut into words once; a country's pattern is tried only where a first word of its spellings is among them.
+    """
+    first = {country: sorted({re.split(r"[^\w]+", n)[0] for n in names}) for country, names in spellings.items()}
+    every = F.array(*map(F.lit, sorted({w for words in first.values() for w in words})))
+
+    def of(t: Column) -> Column:
+        def tried(there: Column) -> Column:
+            found = [
+                F.when(F.arrays_overlap(there, F.array(*map(F.lit, first[country]))) & t.rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(map(_word, names)) + r")(?![\p{L}\p{N}])"), country)
+                for country, names in spellings.items()
+            ]
+            return F.when(F.size(there) == 0, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_compact(F.array(*found))))
+
+        return bound(F.array_intersect(every, F.split(t, r"[^\p{L}\p{N}]+")), tried)
+
+    return bound(F.lower(text_of(c)), of)
+
+
+def contains_country(c: Column, country: str, spellings: dict[str, tuple[str, ...]] = SPELLINGS) -> Column:
+    """Whether a text speaks of a country, by any of its spellings; of one that the table lacks, by its name."""
+    low = country.lower()
+    known = next((k for k, names in spellings.items() if low == k or low in names), low)
+    return F.array_contains(countries_in(c, {known: spellings.get(known, (known,))}), known)
+
+
+def all_countries(spark: SparkSession, spellings: dict[str, tuple[str, ...]] = SPELLINGS) -> DataFrame:
+    return spark.createDataFrame([(k,) for k in sorted(spellings)], "country string")
 
 
 def first_country(c: Column) -> Column:

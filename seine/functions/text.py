@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns and word lists that results depend on.
@@ -154,17 +154,26 @@ def exhibitors(c: Column) -> Column:
     return F.array_distinct(F.filter(names, lambda s: F.length(s).between(2, 120) & s.rlike("^[A-Z]")))
 
 
+def standing(c: Column, terms: list[str]) -> Column:
+    """The terms that stand in the text, as plain strings, in their order. The text is evaluated once for all of them."""
+    return bound(c, lambda t: F.filter(F.array(*map(F.lit, terms)).cast("array<string>"), lambda x: t.contains(x)))
+
+
 def contains_any(c: Column, terms: list[str]) -> Column:
     """Whether any term stands in the text, as a plain string."""
-    hit = F.lit(False)
-    for t in terms:
-        hit = hit | c.contains(t)
-    return hit
+    return bound(c, lambda t: F.exists(F.array(*map(F.lit, terms)).cast("array<string>"), lambda x: t.contains(x)))
 
 
 def hits(c: Column, terms: list[str]) -> Column:
     """How many of the terms stand in the text."""
-    return sum((c.contains(t).cast("int") for t in terms), F.lit(0))
+    return F.size(standing(c, terms))
+
+
+def fenced(df: DataFrame, names: dict[str, Column]) -> DataFrame:
+    """df with columns that later expressions refer to and the optimizer doesn't repeat in each of them: what a generator
+    gives."""
+    row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in names.items()]))).alias("seine_row")
+    return df.select("*", row).select(*df.columns, *[F.col(f"seine_row.{n}").alias(n) for n in names])
 
 
 def meaningful(s: Column) -> Column:
@@ -177,6 +186,35 @@ def keywords(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(text_of(c)), F.lit("[a-z]{4,}"), F.lit(0))
 
 
+# Words that topics leave out, lines that name no exhibitor, words of organisations' names.
+NO_TOPIC = (
+    "find", "show", "search", "get", "companies", "company", "people", "papers", "paper", "profiles", "with", "and", "for", "the", "that", "this", "from",
+    "inside", "outside", "operating", "working", "في", "من", "على", "عن", "الى", "إلى", "مع", "شركة", "شركات", "بحث", "ابحث", "أبحث",
+)
+NO_EXHIBITOR = ("exhibitors", "sponsors", "partners", "conference", "event", "download", "register", "login")
+OF_COMPANIES = r"(?i)\b(company|services|solutions|engineering|technology|systems|group|ltd|llc|inc|corp)\b"
+ACADEMIC_HINTS = ("doi", "abstract", "journal", "conference", "proceedings", "pdf", "scholar", "research")
+EVENT_HINTS = ("conference", "summit", "expo", "event", "speaker", "exhibitor", "workshop", "forum")
+
+
+def topic_terms(c: Column, most: int = 12) -> Column:
+    """The first different words of two characters or more that say what a text is about."""
+    words = F.regexp_extract_all(label(c), F.lit(r"[\p{L}\p{N}_][\p{L}\p{N}_\-]+"), F.lit(0))
+    return F.slice(F.array_distinct(F.filter(words, lambda w: ~w.isin(*NO_TOPIC))), 1, most)
+
+
+def exhibitor_names(items: Column) -> Column:
+    """Names of 2 to 120 characters without bullets, the first of each whatever its case, and no headings."""
+    names = F.transform(items, lambda s: F.regexp_replace(F.regexp_replace(text_of(s), r"\s+", " "), r"^[ \-•\t]+|[ \-•\t]+$", ""))
+    return first_of_each(F.filter(names, lambda s: F.length(s).between(2, 120) & ~F.lower(s).isin(*NO_EXHIBITOR)))
+
+
+def company_lines(c: Column) -> Column:
+    """Lines of up to 120 characters with a word of organisations' names, the first of each whatever its case."""
+    lines = F.transform(F.split(text_of(c), r"\r\n|\n|\r"), clean)
+    return first_of_each(F.filter(lines, lambda s: (s != "") & (F.length(s) <= 120) & s.rlike(OF_COMPANIES)))
+
+
 def mask(c: Column) -> Column:
     """The first four and last two characters of a secret; short ones give stars alone."""
     return F.when(F.length(c) <= 8, "***").otherwise(F.concat(F.substring(c, 1, 4), F.lit("***"), F.substring(c, -2, 2)))

@@ -83,14 +83,37 @@ def latest(entries: DataFrame, keys: list[str], at: str, now: Column, ttl_second
     return alive.withColumn("seine_n", F.row_number().over(w)).filter("seine_n = 1").drop("seine_n")
 
 
-def top_similar(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, rank) by cosine likeness of every vector with each asked one; asked is small and broadcast.
+def top_similar(vectors: DataFrame, asked: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """(query_id, vec_id, rank) by cosine likeness of every other vector with each asked one.
 
-    Likeness is rounded to six digits before ranking, so that ties are ties on every engine.
+    Likeness is rounded to six digits before ranking, so that ties are ties on every engine. Both sides are dealt into
+    blocks; a task compares two blocks at a time by one product of matrices and keeps the k best of each query.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    v = vectors.select("vec_id", "embedding", F.sqrt(dot("embedding", "embedding")).alias("norm"))
-    q = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"), F.sqrt(dot("embedding", "embedding")).alias("asked_norm"))
-    both = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot("embedding", "asked") / (F.col("norm") * F.col("asked_norm")), 6).alias("likeness"))
+
+    def packed(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-df.count() // block))
+        dealt = df.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(name))
+        return dealt.agg(F.collect_list(F.struct("vec_id", "embedding")).alias(f"{name}_rows")), n
+
+    filled = lambda df: df.select("vec_id", "embedding").filter("vec_id is not null and size(embedding) > 0")
+    (v, n), (q, _) = packed(filled(vectors), "v"), packed(filled(asked), "q")
+    met = q.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(v, "v").select("q_rows", "v_rows")
+
+    def compare(frames):
+        import numpy as np
+        import pandas as pd
+
+        for frame in frames:
+            for asked_rows, rows in zip(frame["q_rows"], frame["v_rows"], strict=True):
+                left, right = (np.array([r["embedding"] for r in x], np.float64) for x in (asked_rows, rows))
+                ids, own = np.array([r["vec_id"] for r in rows]), np.array([r["vec_id"] for r in asked_rows])
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    likeness = np.round((left @ right.T) / np.outer(np.linalg.norm(left, axis=1), np.linalg.norm(right, axis=1)), 6)
+                for i, query in enumerate(own):
+                    there = np.flatnonzero((ids != query) & ~np.isnan(likeness[i]))
+                    best = there[np.lexsort((ids[there], -likeness[i][there]))[:k]]
+                    yield pd.DataFrame({"query_id": np.full(len(best), query), "vec_id": ids[best], "likeness": likeness[i][best]})
+
+    found = met.mapInPandas(compare, "query_id long, vec_id long, likeness double")
     w = Window.partitionBy("query_id").orderBy(F.desc("likeness"), "vec_id")
-    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "vec_id", "rank")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "vec_id", "rank")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seine.functions import names
 from seine.operators.score import quality
+from seine.session import stored
 
 FIELDS = ("company_name", "email", "phone", "linkedin_url", "contact_page", "country", "hq_country")
 
@@ -59,6 +60,66 @@ def pairs(df: DataFrame, least: float = 85.0) -> DataFrame:
     return met.filter(names.similar_names("ca", "cb", "sa", "sb")).select("seq_a", "seq_b")
 
 
+def _conflict(a: Column, b: Column) -> Column:
+    return (a != "") & (b != "") & (a != b)
+
+
+def same_entity(a: str, b: str) -> Column:
+    """Whether two records, as structs, may be one organisation: their domains agree; or their keys do and no domains
+    conflict; or their names are similar and neither domains nor countries conflict."""
+    x, y = F.col(a), F.col(b)
+    key = lambda r: F.when(r["domain"] != "", r["domain"]).otherwise(names.clean_name(r["company_name"]))
+    place = lambda r: F.lower(F.trim(F.when(r["hq_country"] != "", r["hq_country"]).otherwise(r["country"])))
+    apart = _conflict(x["domain"], y["domain"])
+    clean, short = (lambda r: names.clean_name(r["company_name"])), (lambda r: names.acronym(r["company_name"]))
+    alike = names.similar_names(clean(x), clean(y), short(x), short(y))
+    return ((x["domain"] != "") & (x["domain"] == y["domain"])) | ((key(x) != "") & (key(x) == key(y)) & ~apart) | (alike & ~apart & ~_conflict(place(x), place(y)))
+
+
+def first_matches(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """(seq, head): what a pass in order would do that ties each record to the earliest kept record it matches, and keeps it
+    if it matches none. edges: (seq_a, seq_b), matches with seq_a < seq_b. Records that are kept don't come out.
+
+    A record is kept once no earlier match of its is undecided or kept; it is tied once its earliest match left is kept.
+    Each round decides at least the earliest record that is open, and all that don't wait for others.
+    """
+    left = stored(edges.distinct(), "matches")
+    kept = left.sparkSession.createDataFrame([], "kept long")
+    done = left.sparkSession.createDataFrame([], "seq long, head long")
+    for _ in range(most_rounds):
+        if left.isEmpty():
+            return done
+        kept = stored(kept.unionByName(left.select(F.col("seq_a").alias("kept")).distinct().join(left.select(F.col("seq_b").alias("kept")), "kept", "left_anti")).distinct(), "kept")
+        earliest = left.groupBy(F.col("seq_b").alias("seq")).agg(F.min("seq_a").alias("kept"))
+        tied = stored(earliest.join(kept, "kept").select("seq", F.col("kept").alias("head")), "tied")
+        done = done.unionByName(tied)
+        gone = tied.select("seq")
+        left = stored(left.join(gone, left.seq_a == gone.seq, "left_anti").join(gone, F.col("seq_b") == gone.seq, "left_anti"), "matches")
+    raise RuntimeError(f"matches were not settled in {most_rounds} rounds")
+
+
+def dedup(df: DataFrame) -> DataFrame:
+    """One record for each organisation, in three passes: by domain; by name key where a record may be one with the key's
+    first record; by similar names, each record tied to the earliest kept one that it may be one with.
+
+    Records are compared as the pass before left them; what they take over within a pass doesn't tie further ones.
+    """
+    one = stored(by_domain(df).drop("n_merged"), "by-domain")
+    fields = ["seq", "company_name", "domain", "country", "hq_country"]
+    rec = one.select("seq", F.struct(*fields).alias("rec"), names.name_key(F.col("company_name")).alias("key"))
+    first = rec.filter("key <> ''").groupBy("key").agg(F.min_by("rec", "seq").alias("of"), F.min("seq").alias("head"))
+    named = rec.join(first, "key").filter(F.col("seq") != F.col("head")).withColumn("same", same_entity("rec", "of")).filter("same").select("seq", "head")
+    two = stored(_tied(one, named), "by-name")
+    other = two.select("seq", F.struct(*fields).alias("rec"))
+    met = pairs(two).join(other.select(F.col("seq").alias("seq_a"), F.col("rec").alias("a")), "seq_a").join(other.select(F.col("seq").alias("seq_b"), F.col("rec").alias("b")), "seq_b")
+    return _tied(two, first_matches(met.withColumn("same", same_entity("a", "b")).filter("same").select("seq_a", "seq_b")))
+
+
+def _tied(df: DataFrame, ties: DataFrame) -> DataFrame:
+    headed = df.join(ties, "seq", "left").withColumn("seine_head", F.coalesce("head", "seq").cast("string")).drop("head")
+    return merge(headed, F.col("seine_head")).drop("n_merged")
+
+
 def anti_known(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows whose key, if filled, is not among the known ones."""
     return df.join(known.select(F.col(key).alias("seine_known")).filter("seine_known <> ''").distinct(), F.col(key) == F.col("seine_known"), "left_anti")

@@ -30,11 +30,14 @@ def _records(f):
 
 def flagship(spark, d):
     """Pages to ranked records: extract, filter, one record for each domain, score, the best 25."""
-    pages = table(spark, d, "pages").select(F.col("page_id").alias("seq"), urls.domain(F.col("url")).alias("domain"), urls.normal_url(F.col("url")).alias("website"), html.title(F.col("html")).alias("company_name"), html.visible_text(F.col("html")).alias("description"))
+    read = table(spark, d, "pages").select(F.col("page_id").alias("seq"), "url", "html")
+    pages = text.fenced(read, {"domain": urls.domain(F.col("url")), "website": urls.normal_url(F.col("url")), "company_name": html.title(F.col("html")), "description": html.visible_text(F.col("html"))}).drop("url", "html")
     kept = pages.filter((F.col("domain") != "") & ~filters.excluded_domain(F.col("domain")) & ~filters.directory_title(F.col("company_name")))
     first = filters.keep_first(kept, ["domain"], ["seq"])
     found = first.select("*", F.array_join(text.emails(F.col("description")), ",").alias("email"), F.lit("").alias("phone"), F.lit("company").alias("page_type"), F.lit(False).alias("is_directory_or_media"), F.lit("").alias("contact_page"), F.lit("").alias("linkedin_url"))
-    return found.withColumn("score", score.score(score.Wanted(category="software_company"))).select("seq", "domain", "website", "company_name", "email", "score").orderBy(F.desc("score"), "seq").limit(25)
+    told = text.fenced(found, {"hay": filters.blob("company_name", "description", "website", "contact_page", "linkedin_url")})
+    scored = told.withColumn("score", score.score(score.Wanted(category="software_company"), F.col("hay")))
+    return scored.select("seq", "domain", "website", "company_name", "email", "score").orderBy(F.desc("score"), "seq").limit(25)
 
 
 _add("rec_ranked_pages", flagship)
@@ -64,6 +67,7 @@ _add("er_merge_by_domain", _records(resolve.by_domain), _merge_sql("domain"))
 _KEY = "array_to_string(list_filter(string_split(trim(regexp_replace(replace(lower(company_name), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN (" + ", ".join(f"'{w}'" for w in resolve.names.KEY_NOISE) + ")), ' ')"
 _add("er_merge_by_name", _records(resolve.by_name), _merge_sql(_KEY))
 _add("er_fuzzy_pairs", _records(resolve.pairs))
+_add("er_dedup_final", _records(resolve.dedup))
 _add("er_company_key", _records(lambda r: r.select("seq", F.when(F.col("domain") != "", F.col("domain")).otherwise(resolve.names.clean_name(F.col("company_name"))).alias("key"))), f"SELECT seq, CASE WHEN domain <> '' THEN domain ELSE {_CLEAN_NAME} END AS key FROM {R}")
 
 # --- scores and verdicts --------------------------------------------------------------------------------------------
@@ -111,14 +115,15 @@ _add("snapshot_counts", lambda spark, d: QUERIES["snapshot_diff"](spark, d).grou
 
 
 def _eval(spark, d):
-    cases = table(spark, d, "benchmark").select(F.col("item_id").alias("case"), F.array_distinct(F.slice(text.keywords(F.col("text")), 1, 3)).alias("terms")).filter(F.size("terms") > 0)
-    docs = table(spark, d, "documents").select((F.col("doc_id") % 40).alias("case"), F.lower("text").alias("text"))
+    n = table(spark, d, "benchmark").count()
+    cases = table(spark, d, "benchmark").select(F.col("item_id").alias("case"), F.array_distinct(text.keywords(F.col("text"))).alias("terms")).filter(F.size("terms") > 0)
+    docs = table(spark, d, "documents").select((F.col("doc_id") % F.lit(max(1, n))).alias("case"), F.lower("text").alias("text"))
     return reports.evaluate(cases, docs)
 
 
 _EVAL = """SELECT "case", count(*) AS n_terms, count(*) FILTER (hit) AS n_hit, round(count(*) FILTER (hit) / count(*), 4) AS recall, count(*) FILTER (hit) = count(*) AS passed FROM (
-  SELECT c."case", term, coalesce(bool_or(contains(d.t, term)), false) AS hit FROM (SELECT DISTINCT item_id AS "case", unnest(regexp_extract_all(lower(text), '[a-z]{4,}')[1:3]) AS term FROM benchmark) c
-  LEFT JOIN (SELECT doc_id % 40 AS "case", lower(text) AS t FROM documents) d ON c."case" = d."case" GROUP BY ALL) GROUP BY "case\""""
+  SELECT c."case", term, coalesce(bool_or(contains(d.t, term)), false) AS hit FROM (SELECT DISTINCT item_id AS "case", unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM benchmark) c
+  LEFT JOIN (SELECT doc_id % (SELECT greatest(1, count(*)) FROM benchmark) AS "case", lower(text) AS t FROM documents) d ON c."case" = d."case" GROUP BY ALL) GROUP BY "case\""""
 _add("eval_case", _eval, _EVAL)
 _add("eval_suite", lambda spark, d: reports.suite(_eval(spark, d)), f"SELECT count(*) AS n_cases, count(*) FILTER (passed) AS n_passed, round(avg(recall), 4) AS mean_recall FROM ({_EVAL})")
 _add("compare_table", _records(lambda r: r.select("seq", "company_name", "website", F.concat_ws(", ", F.nullif("country", F.lit("")), F.nullif("hq_country", F.lit(""))).alias("countries"))), f"SELECT seq, company_name, website, concat_ws(', ', nullif(country, ''), nullif(hq_country, '')) AS countries FROM {R}")
@@ -135,8 +140,8 @@ _NOW = "timestamp '2024-01-25 00:00:00'"
 _add("cache_ttl_latest", lambda spark, d: reports.latest(table(spark, d, "events").filter(f"ts <= {_NOW}"), ["user_id", "event_type"], "ts", F.expr(_NOW), 7 * 86_400).select("user_id", "event_type", "event_id"), f"SELECT user_id, event_type, event_id FROM events WHERE ts <= {_NOW} AND floor(epoch(ts)) >= epoch({_NOW}) - 604800 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 _add("cache_purge", lambda spark, d: table(spark, d, "events").agg(F.count_if(F.unix_timestamp("ts") < F.unix_timestamp(F.expr(_NOW)) - 7 * 86_400).alias("purged")), f"SELECT count(*) FILTER (floor(epoch(ts)) < epoch({_NOW}) - 604800) AS purged FROM events")
 _add("provider_weights", lambda spark, d: reports.weights(table(spark, d, "nation").select("n_name", (F.col("n_nationkey") + 1).alias("p")), "n_name", "p"), "SELECT n_name, round((n_nationkey + 1) / sum(n_nationkey + 1) OVER (), 4) AS weight FROM nation")
-_add("similar_topk", lambda spark, d: reports.top_similar(table(spark, d, "embeddings"), table(spark, d, "embeddings").filter("vec_id < 5"), 5), """SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id)::INTEGER AS rank
-  FROM embeddings q JOIN embeddings v ON q.vec_id < 5 AND q.vec_id <> v.vec_id) WHERE rank <= 5""")
+_add("similar_topk", lambda spark, d: reports.top_similar(table(spark, d, "embeddings"), table(spark, d, "embeddings").filter("vec_id % 50 = 0"), 5), """SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id)::INTEGER AS rank
+  FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id) WHERE rank <= 5""")
 
 
 # --- seeds and places ---------------------------------------------------------------------------------------------------

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -28,3 +30,17 @@ def local_session(app: str = "seine", cpus: int | None = None, partitions: int =
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's parquet tables; the path may lie in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stored(df, label: str):
+    """df written to the folder that the driver and all executors share and read again, which cuts its lineage."""
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="seine-shared-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    path = f"{named.rstrip('/')}/seine-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
