@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seine.registered import extracts, plans, records, sets, texts
+from seine.registered import extracts, plans, records, rules, sets, texts
 
-_PARTS = (texts, records, plans, extracts, sets)
+_PARTS = (texts, records, plans, extracts, sets, rules)
 flagship = records.flagship
 
 

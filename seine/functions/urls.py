@@ -51,3 +51,9 @@ def is_profile(c: Column) -> Column:
 
 def is_company_profile(c: Column) -> Column:
     return c.contains("linkedin.com/company/")
+
+
+def kept_by_gate(c: Column, people: bool) -> Column:
+    """What a search for people, or for others, takes of results: personal profiles alone, or nothing of that network."""
+    low = F.lower(text_of(c))
+    return low.contains("linkedin.com/in/") if people else ~low.contains("linkedin.com")

@@ -13,6 +13,12 @@ CATEGORY_ALIASES = {
     "service_company": ("contractor", "engineering services", "maintenance", "field services"),
     "software_company": ("software", "saas", "platform", "analytics", "automation", "cloud"),
 }
+INTENT_ALIASES = {
+    "agent_or_distributor": ("agent", "agency", "distributor", "distribution", "representative", "representation", "local representative", "وكيل", "توكيل", "موزع", "توزيع", "ممثل محلي"),
+    "reseller": ("reseller", "resellers", "إعادة بيع", "ريسيلر"), "partner": ("partner", "partners", "channel partner", "alliance", "شريك", "شراكة"),
+    "recruiting": ("hire", "hiring", "recruit", "recruitment", "وظائف", "توظيف"), "competitor_research": ("competitor", "competition", "منافس", "منافسين"),
+    "supplier_discovery": ("supplier", "supplier discovery", "مورد", "مورّد"), "academic": ("research", "academic", "literature", "أكاديمي", "بحثي"),
+}
 SEVERITIES = ("fatal", "major", "minor")
 
 
