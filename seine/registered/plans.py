@@ -66,11 +66,11 @@ _add("expand_queries", lambda spark, d: budget.queries(_tasks(spark, d).select("
 
 _add("geo_region_expand", lambda spark, d: table(spark, d, "region").select("r_regionkey", F.array_join(geo.expand_region(F.col("r_name")), ",").alias("members")), "SELECT r_regionkey, CASE lower(r_name) " + " ".join(f"WHEN '{n}' THEN '{','.join(m)}'" for n, m in geo.REGIONS.items()) + " ELSE '' END AS members FROM region")
 _add("geo_country_lookup", lambda spark, d: geo.normal_country(table(spark, d, "nation").select("n_nationkey", F.expr("CASE n_nationkey % 4 WHEN 0 THEN ' Cairo' WHEN 1 THEN 'U.S.A' WHEN 2 THEN 'Riyadh' ELSE n_name END").alias("said")), "said", geo.spelling_table(spark)).select("n_nationkey", "country"), "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'egypt' WHEN 1 THEN 'usa' WHEN 2 THEN 'saudi arabia' ELSE lower(n_name) END AS country FROM nation")
-_SAID = "concat(CASE doc_id % 4 WHEN 0 THEN 'offices in Cairo and Oslo, ' WHEN 1 THEN 'from Dubai; ' WHEN 2 THEN 'cairobased romeo ' ELSE '' END, left(text, 0), 'end')"
-_add("geo_find_countries", lambda spark, d: table(spark, d, "documents").select("doc_id", F.expr(_SAID).alias("t")).select("doc_id", F.array_join(geo.countries_in(F.col("t")), ",").alias("found"), geo.first_country(F.col("t")).alias("first")), "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'egypt,norway' WHEN 1 THEN 'uae' ELSE '' END AS found, CASE doc_id % 4 WHEN 0 THEN 'egypt' WHEN 1 THEN 'uae' ELSE '' END AS first FROM documents")
 _GEO = "list_sort(list_filter([" + ", ".join("CASE WHEN regexp_matches(t, '(^|[^\\pL\\pN])(?:" + "|".join(n.replace(".", "[.]") for n in names) + ")($|[^\\pL\\pN])') THEN '" + country + "' END" for country, names in geo.SPELLINGS.items()) + "], lambda c: c IS NOT NULL))"
 _TOLD = "(SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)"
 _add("geo_in_documents", lambda spark, d: table(spark, d, "documents").select("doc_id", F.array_join(geo.countries_in(F.col("text")), ",").alias("found")), f"SELECT doc_id, array_to_string({_GEO}, ',') AS found FROM {_TOLD}")
+_add("geo_find_countries", lambda spark, d: table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "text", F.expr("CASE doc_id % 4 WHEN 0 THEN 'offices in Cairo and Oslo' WHEN 1 THEN 'cairobased romeo, from Dubai' END")).alias("t")).select("doc_id", F.array_join(geo.countries_in(F.col("t")), ",").alias("found"), geo.first_country(F.col("t")).alias("first")), f"""SELECT doc_id, array_to_string(g, ',') AS found, coalesce(g[1], '') AS first
+  FROM (SELECT doc_id, {_GEO} AS g FROM (SELECT doc_id, lower(concat_ws(' ', text, CASE doc_id % 4 WHEN 0 THEN 'offices in Cairo and Oslo' WHEN 1 THEN 'cairobased romeo, from Dubai' END)) AS t FROM documents))""")
 
 # --- papers -----------------------------------------------------------------------------------------------------------
 

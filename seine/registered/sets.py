@@ -31,10 +31,11 @@ _add(
     "union_terms", _records(lambda r: r.select("seq", F.array_join(unions.ordered_union(F.array("country", "source_provider"), F.array("hq_country", F.lit(" exa "))), ",").alias("terms"))),
     f"SELECT seq, concat_ws(',', nullif(country, ''), source_provider, CASE WHEN hq_country NOT IN ('', country) THEN hq_country END, CASE WHEN source_provider <> 'exa' THEN 'exa' END) AS terms FROM {R}",
 )
-_SPOKEN = "CASE CAST(doc_id % 3 AS INTEGER) WHEN 0 THEN 'Find wells. Find wells. Rank them.' WHEN 1 THEN 'Find wells. Rank them. Find wells.' ELSE '' END"
+_SPOKEN = "concat(coalesce(text, ''), CASE CAST(doc_id % 3 AS INTEGER) WHEN 0 THEN ' Find wells. Find wells.  Rank them.' WHEN 1 THEN ' Find wells. Rank them. Find wells.' ELSE '' END)"
 _add(
     "repeated_sentences", lambda spark, d: table(spark, d, "documents").select("doc_id", unions.without_repeats(F.expr(_SPOKEN)).alias("prompt")),
-    f"""SELECT doc_id, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), ' ') AS prompt FROM (SELECT doc_id, list_transform(regexp_extract_all({_SPOKEN}, '[^.]+[.]'), lambda x: trim(x)) AS l FROM documents)""",
+    f"""SELECT doc_id, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), ' ') AS prompt FROM (
+      SELECT doc_id, list_filter(string_split(regexp_replace(trim(regexp_replace({_SPOKEN}, '\\s+', ' ', 'g')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM documents)""",
 )
 _vote = lambda words: "(" + " + ".join(f"contains(t, '{w}')::INT" for w in words) + ")"
 _SERVICE, _SOFTWARE = (_vote(unions.CATEGORY_ALIASES[k]) for k in ("service_company", "software_company"))

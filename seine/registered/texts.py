@@ -74,28 +74,32 @@ _add(
     f"""SELECT doc_id, min(n) FILTER (n >= '2025-07-01') AS next_due FROM (SELECT doc_id, {_PARSED} AS n FROM (
       SELECT doc_id, unnest({_DUCK_DATES}) AS r FROM (SELECT doc_id, {_DATED} AS t FROM documents))) GROUP BY doc_id""",
 )
+_TENDER = "concat(coalesce(text, ''), CASE WHEN doc_id % 3 = 0 THEN concat(' Closing date:  12 May 2026; Issuer: Ministry of  Works ', doc_id) ELSE '' END)"
 _add(
-    "txt_tender_fields", lambda spark, d: _docs(spark, d).select("doc_id", F.concat(F.lit("Deadline: 12 May 2026, Buyer: Ministry of Works "), F.col("doc_id").cast("string")).alias("t")).select("doc_id", text.tender_deadline(F.col("t")).alias("deadline"), text.tender_buyer(F.col("t")).alias("buyer")),
-    """SELECT doc_id, regexp_extract(t, '(?i)(?:deadline|closing date|due date)[:\\s]+([A-Za-z0-9,/\\- ]{6,30})', 1) AS deadline,
-      trim(regexp_extract(t, '(?i)(?:buyer|issuer|authority|ministry)[:\\s]+([A-Za-z0-9&.,\\- ]{3,80})', 1)) AS buyer
-      FROM (SELECT doc_id, 'Deadline: 12 May 2026, Buyer: Ministry of Works ' || doc_id AS t FROM documents)""",
+    "txt_tender_fields", lambda spark, d: _docs(spark, d).select("doc_id", F.expr(_TENDER).alias("t")).select("doc_id", text.tender_deadline(F.col("t")).alias("deadline"), text.tender_buyer(F.col("t")).alias("buyer")),
+    f"""SELECT doc_id, regexp_extract(t, '(?i)(?:deadline|closing date|due date)[:\\s]+([A-Za-z0-9,/\\- ]{{6,30}})', 1) AS deadline,
+      trim(regexp_replace(regexp_extract(t, '(?i)(?:buyer|issuer|authority|ministry)[:\\s]+([A-Za-z0-9&.,\\- ]{{3,80}})', 1), ' +', ' ', 'g')) AS buyer
+      FROM (SELECT doc_id, {_TENDER} AS t FROM documents)""",
 )
 _add(
     "txt_exhibitors", _over_text(n_names=lambda c: F.size(text.exhibitors(c))),
     """SELECT doc_id, len(list_distinct(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[\n•|]+'), lambda s: trim(regexp_replace(regexp_replace(s, '^[\\s\\-*0-9.)]+', ''), '\\s+', ' ', 'g'))),
       lambda s: length(s) BETWEEN 2 AND 120 AND regexp_matches(s, '^[A-Z]'))))::INTEGER AS n_names FROM documents""",
 )
-_AUTHORS = "concat('Ann Lee, bob ', CAST(doc_id % 5 AS VARCHAR(2)), '; ann lee and Cy Poe, x')"
+_AUTHORS = "concat('Ann Lee, bob ', CAST(doc_id % 5 AS VARCHAR(2)), '; ann lee and Cy Poe, x; ', coalesce(text, ''))"
 _add(
     "txt_author_list", lambda spark, d: _docs(spark, d).select("doc_id", F.array_join(text.authors(F.expr(_AUTHORS)), "|").alias("authors")),
-    "SELECT doc_id, 'Ann Lee|bob ' || (doc_id % 5) || '|Cy Poe' AS authors FROM documents",
+    f"""SELECT doc_id, (SELECT string_agg(s, '|' ORDER BY i) FROM (SELECT arg_min(s, i) AS s, min(i) AS i FROM (SELECT trim(regexp_replace(unnest(l), '\\s+', ' ', 'g')) AS s, unnest(range(len(l))) AS i)
+      WHERE length(s) >= 2 GROUP BY lower(s))) AS authors FROM (SELECT doc_id, string_split_regex({_AUTHORS}, '(?i)\\s*[,;]\\s*|\\s+and\\s+') AS l FROM documents)""",
 )
 _add(
     "txt_lang_detect", _over_text(languages=lambda c: F.array_join(text.languages(c), ",")),
     """SELECT doc_id, CASE WHEN regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[\u0600-\u06ff]') THEN 'en,ar' WHEN regexp_matches(t, '[\u0600-\u06ff]') THEN 'ar' ELSE 'en' END AS languages
       FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
 )
-_add("txt_truncate_slug", _over_text(short=lambda c: text.truncate(c, 80), slug=lambda c: text.slug(F.substring(c, 1, 40))))
+_SLUG = "regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9_\\s-]', '', 'g'), '[\\s_-]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_add("txt_truncate_slug", _over_text(short=lambda c: text.truncate(c, 80), slug=text.slug), f"""SELECT doc_id, CASE WHEN length(c) <= 80 THEN c ELSE rtrim(c[1:77]) || '...' END AS short, CASE WHEN s = '' THEN 'report' ELSE s END AS slug
+  FROM (SELECT doc_id, {_CLEAN} AS c, regexp_replace(({_SLUG})[1:60], '-+$', '') AS s FROM documents)""")
 _add(
     "top_keywords", lambda spark, d: _keywords(_docs(spark, d)),
     f"""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{4,}}')) AS word FROM documents)
@@ -135,7 +139,7 @@ _add("html_links", _page(n_links=lambda c: F.size(html.links(c)), n_contact=lamb
 _add("html_company_name", _page(name=html.company_name, description=html.description, networks=lambda c: F.size(html.social_links(c))))
 _LD = """concat('<script type="application/ld+json">{"@type":"Organization","name":"Org ', CAST(page_id AS VARCHAR(20)), '","email":"a@b.org","address":{"addressCountry":"EG"}}</script>')"""
 _add(
-    "html_jsonld", lambda spark, d: table(spark, d, "pages").select("page_id", html.json_ld_organisation(F.get(html.json_ld(F.expr(_LD)), F.lit(0))).alias("o")).select("page_id", "o.name", "o.email", "o.country"),
+    "html_jsonld", lambda spark, d: table(spark, d, "pages").select("page_id", html.json_ld_organisation(F.get(html.json_ld(F.concat(text.text_of(F.col("html")), F.expr(_LD))), F.lit(0))).alias("o")).select("page_id", "o.name", "o.email", "o.country"),
     "SELECT page_id, 'Org ' || page_id AS name, 'a@b.org' AS email, 'EG' AS country FROM pages",
 )
 
