@@ -46,7 +46,7 @@ from seine.session import table
 
 SAMPLE, POSITIVES, NEGATIVES, LANDMARKS, ROUNDS = 4000, 1_000, 8_000, 160, 3
 DECAY, LENGTH, SYMBOLS, LONGEST, TOP = 0.6, 4, 32, 20, 4
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Standard deviations by which a later witness, or a beginning of it, leans to toxic sentences.
 SURE = 3.0
 SENTENCE = r"[.!?\n]+\s*"
@@ -162,7 +162,7 @@ def sums(words: list[str], tables: np.ndarray) -> np.ndarray:
     for n, members in by_length(words).items():
         if n + 1 < LENGTH:
             continue
-        step = max(1, min(4_000, 500_000 // len(gapped(n + 1 + (n == LENGTH - 1))[0])))
+        step = max(1, min(8_000, 1_000_000 // len(gapped(n + 1 + (n == LENGTH - 1))[0])))
         for start in range(0, len(members), step):
             some = members[start : start + step]
             code = codes([words[i] for i in some])
@@ -301,8 +301,8 @@ def _judge(shared):
         known = known_to(model)
         for batch in batches:
             bags, tops = [], []
-            for start in range(0, batch.num_rows, 200):
-                cut = [units(t or "") for t in batch.column(0).slice(start, 200).to_pylist()]
+            for start in range(0, batch.num_rows, 400):
+                cut = [units(t or "") for t in batch.column(0).slice(start, 400).to_pylist()]
                 if len(known) > REMEMBERED:
                     known.clear()
                 fresh = list({u for words in cut for u in words if u not in known})
