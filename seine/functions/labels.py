@@ -106,3 +106,18 @@ def json_in(answer: Column) -> Column:
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(text_of(answer)), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
     whole = lambda s: F.when(F.try_parse_json(s).isNotNull() & (s != ""), s)
     return F.coalesce(whole(bare), whole(F.regexp_extract(bare, r"(?s)\{.*\}", 0)), whole(F.regexp_extract(bare, r"(?s)\[.*\]", 0)))
+
+
+# Words of a topic that say whom to look for, not what about.
+JOB_WORDS = ("engineer", "manager", "director", "recruiter", "talent", "human resources", "hr", "executive", "ceo", "coo", "cto", "cfo", "president", "professor")
+COMPANY_WORDS = (
+    "company", "companies", "vendor", "vendors", "provider", "providers", "firm", "firms", "contractor", "contractors",
+    "organization", "organisations", "business", "businesses",
+)
+
+
+def people_topic(c: Column) -> Column:
+    """The lower-cased words of a topic without those for jobs and companies; the whole topic if none is left."""
+    low = F.lower(F.trim(F.regexp_replace(text_of(c), r"\s+", " ")))
+    left = F.array_join(F.filter(F.split(low, r"[\s,/]+"), lambda w: (w != "") & ~w.isin(*JOB_WORDS, *COMPANY_WORDS)), " ")
+    return F.when(left != "", left).when(low != "", low).otherwise("industry")

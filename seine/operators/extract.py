@@ -90,3 +90,30 @@ def summary(kind: str) -> Column:
     """The text that stands for a record of a kind: its filled fields, labelled, in lines."""
     fields = {"company": (("Name", "company_name"), ("About", "description"), ("Seat", "hq_country"), ("Site", "website")), "paper": (("Title", "title"), ("Authors", "authors"), ("Year", "year")), "person": (("Name", "name"), ("Role", "job_title"), ("Employer", "employer"))}
     return F.concat_ws("\n", *[F.when(~text.is_blank(F.col(c)), F.concat(F.lit(f"{label}: "), F.col(c))) for label, c in fields[kind]])
+
+
+# Words that a summary must have one of, by what is looked for.
+OF_PAPERS = ("abstract", "paper", "study", "journal", "conference", "doi")
+OF_WELLS = ("wireline", "slickline", "well logging")
+OF_DIGITAL = ("software", "platform", "analytics", "automation", "digital", "monitoring", "scada", "ai")
+
+
+def preferred_summary(parts: list[Column], task: str, keywords: list[str], category: str, industry: str) -> Column:
+    """The first 500 characters of a record's own words, or nothing if they lack the words that the task asks for."""
+    whole = F.trim(F.concat_ws(" ", *[text.text_of(c) for c in parts]))
+    low = F.lower(whole)
+    asked = F.lit(True)
+    if task == "document_research":
+        asked &= text.contains_any(low, OF_PAPERS)
+    if {k.lower() for k in keywords} & set(OF_WELLS):
+        asked &= text.contains_any(low, (*OF_WELLS, "logging"))
+    if category == "software_company" and industry.lower() == "oil and gas":
+        asked &= text.contains_any(low, OF_DIGITAL)
+    return F.when(asked, F.substring(whole, 1, 500)).otherwise("")
+
+
+def company_of_profile(title: Column, url: Column, snippet: Column) -> list[Column]:
+    """company_name, linkedin_url (of company profiles only), description and domain of a search result."""
+    name = F.regexp_replace(text.text_of(title), r"(?i)\s*[|\-–]\s*LinkedIn.*$", "")
+    own = F.when(urls.is_company_profile(F.lower(text.text_of(url))), urls.normal_url(url)).otherwise("")
+    return [text.clean(name).alias("company_name"), own.alias("linkedin_url"), text.clean(snippet).alias("description"), urls.domain(url).alias("domain")]

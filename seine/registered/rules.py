@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seine.functions import geo, html, labels, text, urls
-from seine.operators import evidence, filters, resolve, unions
+from seine.operators import evidence, extract, filters, resolve, unions
 from seine.registered.plans import _GEO
 from seine.session import table
 from seine.sources import fixtures
@@ -192,3 +192,29 @@ def _accepted(spark, d):
 
 
 _add("accept_with_feedback", _accepted)
+
+
+# --- topics, summaries and company profiles -------------------------------------------------------------------------------
+
+_TOPIC = "CASE CAST(p_partkey % 4 AS INTEGER) WHEN 0 THEN concat(' Engineer,', p_name, ' Company / ', p_type) WHEN 1 THEN concat(p_type, '  vendors HR') WHEN 2 THEN 'CEO  Manager' ELSE '' END"
+_WHO = ", ".join(f"'{w}'" for w in (*labels.JOB_WORDS, *labels.COMPANY_WORDS))
+_add("people_topic", _over("part", lambda: ["p_partkey", labels.people_topic(F.expr(_TOPIC)).alias("topic")]), f"""SELECT p_partkey, CASE WHEN k <> '' THEN k WHEN low <> '' THEN low ELSE 'industry' END AS topic
+  FROM (SELECT p_partkey, low, array_to_string(list_filter(string_split_regex(low, '[\\s,/]+'), lambda w: w <> '' AND w NOT IN ({_WHO})), ' ') AS k FROM (SELECT p_partkey, lower(trim(regexp_replace({_TOPIC}, '\\s+', ' ', 'g'))) AS low FROM part))""")
+_SPOKEN = "trim(concat_ws(' ', description, company_name))"
+
+
+def _has(words) -> str:
+    return "(" + " OR ".join(f"contains(lower(t), '{w}')" for w in words) + ")"
+
+
+def _summaries(r):
+    parts = [F.col("description"), F.col("company_name")]
+    wanted = {"papers": ("document_research", [], "general", ""), "wells": ("entity_discovery", ["Wireline"], "general", ""), "digital": ("entity_discovery", [], "software_company", "Oil and gas"), "other": ("market_research", [], "general", "")}
+    return r.select("seq", *[extract.preferred_summary(parts, *task).alias(name) for name, task in wanted.items()])
+
+
+_add("preferred_summary", _records(_summaries), f"""SELECT seq, CASE WHEN {_has(extract.OF_PAPERS)} THEN left(t, 500) ELSE '' END AS papers, CASE WHEN {_has((*extract.OF_WELLS, "logging"))} THEN left(t, 500) ELSE '' END AS wells,
+  CASE WHEN {_has(extract.OF_DIGITAL)} THEN left(t, 500) ELSE '' END AS digital, left(t, 500) AS other FROM (SELECT seq, {_SPOKEN} AS t FROM {R})""")
+_SEEN = "concat(p_name, CASE CAST(p_partkey % 3 AS INTEGER) WHEN 0 THEN ' | LinkedIn' WHEN 1 THEN ' - linkedin Egypt' ELSE '' END)"
+_AT = "concat(CASE CAST(p_partkey % 2 AS INTEGER) WHEN 0 THEN 'https://www.linkedin.com/company/c' ELSE 'https://www.linkedin.com/in/c' END, CAST(p_partkey AS STRING), '/')"
+_add("company_of_profile", _over("part", lambda: ["p_partkey", *extract.company_of_profile(F.expr(_SEEN), F.expr(_AT), F.col("p_type"))]), "SELECT p_partkey, p_name AS company_name, CASE WHEN p_partkey % 2 = 0 THEN 'https://linkedin.com/company/c' || p_partkey ELSE '' END AS linkedin_url, p_type AS description, 'linkedin.com' AS domain FROM part")
