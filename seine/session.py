@@ -32,15 +32,28 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df, label: str):
-    """df written to the folder that the driver and all executors share and read again, which cuts its lineage."""
-    spark = df.sparkSession
+#: Folders that stand in where a local session names none, by application.
+_stand_ins: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Only where the session names none and runs on one machine (tests) a local folder takes its place.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="seine-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    path = f"{named.rstrip('/')}/seine-{label}-{uuid.uuid4().hex}"
+        app = spark.sparkContext.applicationId
+        if app not in _stand_ins:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            _stand_ins[app] = "file://" + tempfile.mkdtemp(prefix="seine-shared-")
+        named = _stand_ins[app]
+    return named.rstrip("/")
+
+
+def stored(df, label: str):
+    """df written to the folder that the driver and all executors share and read again, which cuts its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/seine-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
