@@ -6,7 +6,6 @@ table is stored with its schema. salted_join() gives the rows of the plain join;
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,19 +13,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Only where the session names none and runs on one machine (tests) a local folder takes its place.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="seine-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+from seine.session import shared_folder
 
 
 #: Tables stored inside the scratch() blocks that are open, innermost last.
@@ -51,7 +38,7 @@ def store(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     discard() or the end of the scratch() block they were stored in; a query's result may still read them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/seine-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/seine-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._seine_path = path

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seine.llm import bpe, decontaminate, kdtree, licenses, pseudonyms, runindex, secrets, sharding, simhash, toxicity
+from seine.llm import bpe, decontaminate, kdtree, licenses, pseudonyms, quality, runindex, secrets, sharding, simhash, toxicity, trie
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_secret_scan": secrets.query,
     "op10_kdtree_topk": kdtree.query,
+    "op11_quality_rules": quality.query,
+    "op13_prefix_trie": trie.query,
 }
 ORACLES = {
     "op3_sharding": sharding.ORACLE_SQL,
@@ -22,4 +24,5 @@ ORACLES = {
     "op8_decontaminate": decontaminate.ORACLE_SQL,
     "op9_secret_scan": secrets.ORACLE_SQL,
     "op10_kdtree_topk": kdtree.ORACLE_SQL,
+    "op13_prefix_trie": trie.ORACLE_SQL,
 }

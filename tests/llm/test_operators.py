@@ -42,7 +42,7 @@ def test_same_as_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    for t in ("documents", "labels", "benchmark", "embeddings"):
+    for t in ("documents", "labels", "benchmark", "embeddings", "conversations"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert QUERIES[name](spark, str(tmp_path)).collect() == []
 
