@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seine.llm import bpe, decontaminate, kdtree, licenses, pseudonyms, quality, runindex, secrets, sharding, simhash, toxicity, trie
+from seine.llm import alignment, bpe, decontaminate, kdtree, licenses, pseudonyms, quality, runindex, secrets, sharding, simhash, toxicity, trie
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scan": secrets.query,
     "op10_kdtree_topk": kdtree.query,
     "op11_quality_rules": quality.query,
+    "op12_alignment": alignment.query,
     "op13_prefix_trie": trie.query,
 }
 ORACLES = {
