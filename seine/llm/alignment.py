@@ -226,15 +226,9 @@ class Memory:
         return pairs, np.bincount(place, np.repeat(times, size), len(pairs)).astype(np.int64)
 
 
-_memories: dict[tuple[str, str], Memory] = {}
-
-
 def memory_of(paths: tuple[str, str], shared=None) -> Memory:
-    """The worker's memory for a pair of tokenizers, one pair at a time; what it knows stays when counts come or change."""
-    if paths not in _memories:
-        _memories.clear()
-        _memories[paths] = Memory(Tokenizers(*paths))
-    memory = _memories[paths]
+    """The worker's memory for a pair of tokenizers, what it knows stays when counts come or change."""
+    memory = common.remembered(paths, lambda: Memory(Tokenizers(*paths)))
     if shared is not None and (memory.counts is None or memory.counts[0] != shared.value[0]):
         memory.look_up(shared.value)
     return memory

@@ -28,11 +28,12 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seine.llm import common
 from seine.session import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words a worker remembers; beyond it the memory starts anew, which costs time and changes no result.
-REMEMBERED = 700_000
+REMEMBERED = 450_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -227,14 +228,9 @@ def _runs(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
         yield run
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder_of(path: str, pattern: str) -> Encoder:
     """The worker's encoder; workers that Spark uses again keep what they know."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(path, pattern)
-    return _encoders[path, pattern]
+    return common.remembered((path, pattern), lambda: Encoder(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -298,7 +294,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, carry: list[str], text:
         pieces = [b""] * (max(encoder.ranks.values(), default=-1) + 1)
         for piece, rank in encoder.ranks.items():
             pieces[rank] = piece
-        for batch in batches:
+        for batch in (whole.slice(start, 1_000) for whole in batches for start in range(0, whole.num_rows, 1_000)):
             texts = [t or "" for t in batch.column(0).to_pylist()]
             ids = list(encoder.encode(texts))
             same = [b"".join(map(pieces.__getitem__, x)) == t.encode() for x, t in zip(ids, texts, strict=True)]

@@ -57,6 +57,19 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: What this Python worker remembers between batches and tasks, of one operator at a time.
+_worker: dict = {}
+
+
+def remembered(owner, make):
+    """What make() gave this worker for `owner`. Workers serve one operator after another: the next one's memory takes the place
+    of the last one's, so that they do not add up."""
+    if owner not in _worker:
+        _worker.clear()
+        _worker[owner] = make()
+    return _worker[owner]
+
+
 def salted_join(many: DataFrame, few: DataFrame, on: list[str], spread: str, how: str = "inner", salts: int = 16) -> DataFrame:
     """many join few on columns that may have hot keys in `many`: its rows are dealt to `salts` tasks a key by the column
     `spread`, and each row of `few`, which has one row a key, goes to all of them."""
@@ -77,3 +90,12 @@ def once(column: Column, use) -> Column:
 def fenced(df: DataFrame, name: str, column: Column) -> DataFrame:
     """df with a column that later filters and projections can only refer to, not repeat: a generator's output."""
     return df.select("*", F.explode_outer(F.array(column)).alias(name))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = f"seine_{name}"
+    while out.lower() in taken:
+        out += "_"
+    return out

@@ -168,7 +168,8 @@ def _prevailing(hits: DataFrame, place: list[str]) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, verbatim: bool = False) -> DataFrame:
     """The rows of docs into which no item leaked."""
-    return docs.join(leaks(docs, items, verbatim=verbatim).select(F.col("doc_id").alias("leaked_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti")
+    leaked = common.unused(docs, "leaked")
+    return docs.join(leaks(docs, items, verbatim=verbatim).select(F.col("doc_id").alias(leaked)).distinct(), F.col("doc_id").eqNullSafe(F.col(leaked)), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

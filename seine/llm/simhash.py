@@ -321,13 +321,14 @@ def keep_one(docs: DataFrame, width: int = 4, tau: int = 4) -> DataFrame:
     Ids that several such rows share (repeated rows, null ids) are settled by fingerprints: each component keeps one.
     """
     found = common.store(cluster(docs, width=width, tau=tau), "components")
-    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    once = heads.filter("n = 1").select(F.col("doc_id").alias("head_id"))
-    kept = docs.join(once, F.col("doc_id").eqNullSafe(F.col("head_id")), "left_semi")
-    again = docs.join(heads.filter("n > 1").select(F.col("doc_id").alias("head_id")), F.col("doc_id").eqNullSafe(F.col("head_id")), "left_semi")
-    root_of = found.select(F.col("fp").alias("seine_of"), F.col("root").alias("seine_root"), F.col("component").alias("seine_component")).distinct()
-    settled = fingerprints(again, "text", tuple(docs.columns), width, "seine_fp").join(root_of, F.col("seine_fp") == F.col("seine_of"))
-    settled = settled.filter(F.col("doc_id").eqNullSafe(F.col("seine_component"))).dropDuplicates(["seine_root"]).select(*docs.columns)
+    head, of, root, component, fp = (common.unused(docs, n) for n in ("head", "of", "root", "component", "fp"))
+    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("component"))).groupBy(F.col("doc_id").alias(head)).agg(F.count("*").alias("n"))
+    is_head = F.col("doc_id").eqNullSafe(F.col(head))
+    kept = docs.join(heads.filter("n = 1").select(head), is_head, "left_semi")
+    again = docs.join(heads.filter("n > 1").select(head), is_head, "left_semi")
+    root_of = found.select(F.col("fp").alias(of), F.col("root").alias(root), F.col("component").alias(component)).distinct()
+    settled = fingerprints(again, "text", tuple(docs.columns), width, fp).join(root_of, F.col(fp) == F.col(of))
+    settled = settled.filter(F.col("doc_id").eqNullSafe(F.col(component))).dropDuplicates([root]).select(*[F.col(f"`{c}`") for c in docs.columns])
     return kept.unionByName(settled)
 
 

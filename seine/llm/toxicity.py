@@ -282,15 +282,9 @@ class Model:
         return out.tolist()
 
 
-#: Margins of words that this Python worker has met, by model; one model's at a time.
-_known: dict[str, dict[str, float]] = {}
-
-
 def known_to(model: Model) -> dict[str, float]:
-    if model.name not in _known:
-        _known.clear()
-        _known[model.name] = {}
-    return _known[model.name]
+    """Margins of words that this Python worker has met, by one model at a time."""
+    return common.remembered(("margins", model.name), dict)
 
 
 def _judge(shared):
