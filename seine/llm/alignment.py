@@ -22,10 +22,12 @@ any length is taken whole, and what is known of its own segments must fit its wo
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -40,7 +42,7 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Rows of the table of pair counts up to which it is broadcast: 16 bytes each.
 PAIRS = 4_000_000
 #: Segments and characters of them that a worker remembers; beyond, it starts anew, which changes no result.
-REMEMBERED, CHARACTERS = 500_000, 16_000_000
+REMEMBERED, CHARACTERS = 900_000, 24_000_000
 SPACE = "▁"
 #: What plain splitting at spaces and line feeds does not serve, and the segments of such texts.
 ODD = re.compile(r"[^\S \n]|[ \n]{2}|\A\s|\s\Z")
@@ -80,14 +82,31 @@ class Bits:
         return np.flatnonzero(np.unpackbits(self.words.view(np.uint8), bitorder="little"))
 
 
-def aligned(a_sizes: np.ndarray, b_sizes: np.ndarray, segment_sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of segments laid end to end, whose tokens have these sizes in bytes: A and B tokens before each shared cut, groups up to
-    each segment's end, A and B token of each link, links up to each segment's end."""
-    size = int(segment_sizes.sum())
-    a, b = (Bits.at(np.cumsum(s) - 1, size) for s in (a_sizes, b_sizes))
-    shared, either = Bits(a.words & b.words), Bits(a.words | b.words)
-    cuts, pieces, ends = shared.select(), either.select(), np.cumsum(segment_sizes)
-    return a.rank(cuts + 1), b.rank(cuts + 1), shared.rank(ends), a.rank(pieces), b.rank(pieces), either.rank(ends)
+class Laid:
+    """Segments laid end to end, by the sizes in bytes of their tokens and their own."""
+
+    def __init__(self, a_sizes: np.ndarray, b_sizes: np.ndarray, segment_sizes: np.ndarray):
+        size, self.ends = int(segment_sizes.sum()), np.cumsum(segment_sizes)
+        self.a_last, self.b_last = np.cumsum(a_sizes) - 1, np.cumsum(b_sizes) - 1
+        self.a, self.b = Bits.at(self.a_last, size), Bits.at(self.b_last, size)
+        self.shared, self.either = Bits(self.a.words & self.b.words), Bits(self.a.words | self.b.words)
+        cuts = self.shared.select() + 1
+        #: A and B tokens before each shared cut.
+        self.a_cut, self.b_cut = self.a.rank(cuts), self.b.rank(cuts)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """The A and the B token of each link."""
+        pieces = self.either.select()
+        return self.a.rank(pieces), self.b.rank(pieces)
+
+    def spelled(self, a_codes: np.ndarray, b_codes: np.ndarray, a_far: int, b_far: int) -> np.ndarray:
+        """The tokens' codes group by group, A's before B's; the last of a group's A codes plus a_far, of its B codes plus b_far."""
+        a_group, b_group = self.shared.rank(self.a_last), self.shared.rank(self.b_last)
+        i, j = np.arange(len(a_codes)), np.arange(len(b_codes))
+        out = np.empty(len(a_codes) + len(b_codes), np.int64)
+        out[i + np.concatenate([[0], self.b_cut])[a_group]] = a_codes + a_far * (i + 1 == self.a_cut[a_group])
+        out[j + self.a_cut[b_group]] = b_codes + b_far * (j + 1 == self.b_cut[b_group])
+        return out
 
 
 class Tokenizers:
@@ -112,7 +131,11 @@ class Tokenizers:
         self.cuts = not any("\n" in p or (p.strip(SPACE) and SPACE in p[1:]) for i, p in enumerate(pieces) if not self.b.is_byte(i))
         self.width = len(pieces)  # a pair's number is its A id times this plus its B id
         self.a_sizes, self.b_sizes = (np.array([*map(len, x)], np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.a_said, self.b_said = ([*map(str, range(len(x)))] for x in (self.a_bytes, self.b_bytes))
+        #: What is written for a token: A ids before another A id or before a bar, B ids before another or before a semicolon.
+        self.said = [f"{i}{sign}" for of, signs in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for sign in signs for i in range(len(of))]
+        #: Then an A token's bytes never differ from the text's: no normalization, and each byte is a token.
+        rules = json.loads(self.a.to_str())
+        self.lossless = rules["normalizer"] is None and rules["pre_tokenizer"]["type"] == "ByteLevel" and not rules["model"].get("unk_token") and all(c in vocabulary for c in letters)
 
     def segments(self, text: str) -> list:
         """Keys of the segments of space + text: without the space that most begin with, a tuple where that would mislead."""
@@ -126,7 +149,7 @@ class Tokenizers:
     def encode(self, keys: list) -> tuple[list[bytes], list[list[int]], list[list[int]]]:
         """Bytes of the segments, A ids and B ids."""
         segments = [k[1] if isinstance(k, tuple) else k if k[:1] == "\n" else " " + k for k in keys]
-        a = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
         b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
         # a segment that begins with a line feed has no space before it: the one that B adds is its own token
         return [s.encode() for s in segments], a, [ids if s[0] == " " else ids[1:] if ids[0] == self.space else [] for ids, s in zip(b, segments, strict=True)]
@@ -174,30 +197,33 @@ class Memory:
     def _learn(self, keys: list) -> None:
         t = self.tokenizers
         whole, a_ids, b_ids = t.encode(keys)
-        ok = [b"".join(map(t.a_bytes.__getitem__, a)) == w == b"".join(map(t.b_bytes.__getitem__, b)) for w, a, b in zip(whole, a_ids, b_ids, strict=True)]
+        a_of, b_of = t.a_bytes.__getitem__, t.b_bytes.__getitem__
+        ok = [b"".join(map(b_of, b)) == w and (t.lossless or b"".join(map(a_of, a)) == w) for w, a, b in zip(whole, a_ids, b_ids, strict=True)]
         at, n = len(self.spelled), len(keys)
-        self.characters += sum(map(len, whole))
-        good = [i for i in range(n) if ok[i]]
-        a, b = (np.array([x for i in good for x in ids[i]], np.int64) for ids in (a_ids, b_ids))
-        a_cut, b_cut, groups, a_of, b_of, links = aligned(t.a_sizes[a], t.b_sizes[b], np.array([len(whole[i]) for i in good], np.int64))
-        a_said, b_said = [t.a_said[i] for i in a.tolist()], [t.b_said[i] for i in b.tolist()]
-        said, p, q = [], 0, 0
-        for i, j in zip(a_cut.tolist(), b_cut.tolist(), strict=True):
-            said.append(",".join(a_said[p:i]) + "|" + ",".join(b_said[q:j]))
-            p, q = i, j
-        spelled, rows, begin = [""] * n, np.zeros((n, 6), np.int64), 0
-        for i, end in zip(good, groups.tolist(), strict=True):
-            spelled[i], begin = ";".join(said[begin:end]), end
-        rows[:, 0] = -1
-        rows[good, 0], rows[good, 1] = [len(a_ids[i]) for i in good], [len(b_ids[i]) for i in good]
-        rows[good, 2], rows[good, 3] = np.diff(groups, prepend=0), np.diff(links, prepend=0)
-        pairs = a[a_of] * t.width + b[b_of]
+        if not all(ok):
+            whole, a_ids, b_ids = ([x if k else x[:0] for x, k in zip(xs, ok, strict=True)] for xs in (whole, a_ids, b_ids))
+        sizes = np.fromiter(map(len, whole), np.int64, n)
+        rows = np.zeros((n, 6), np.int64)
+        rows[:, 0], rows[:, 1] = (np.fromiter(map(len, ids), np.int64, n) for ids in (a_ids, b_ids))
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, int(rows[:, k].sum())) for k, ids in enumerate((a_ids, b_ids)))
+        laid = Laid(t.a_sizes[a], t.b_sizes[b], sizes)
+        rows[:, 2], rows[:, 3] = (np.diff(bits.rank(laid.ends), prepend=0) for bits in (laid.shared, laid.either))
+        n_a, n_b = len(t.a_bytes), len(t.b_bytes)
+        said = [*map(t.said.__getitem__, laid.spelled(a, b + 2 * n_a, n_a, n_b).tolist())]
+        begin = 0
+        for end in np.cumsum(rows[:, 0] + rows[:, 1]).tolist():
+            self.spelled.append("".join(said[begin:end]))
+            begin = end
+        a_link, b_link = laid.links()
+        pairs = a[a_link] * t.width + b[b_link]
+        first = np.concatenate([[0], np.cumsum(rows[:, 3])])
         if self.counts is not None:
-            rows[:, 4:6] = self._counted(pairs, np.concatenate([[0], np.cumsum(np.maximum(rows[:, 3], 0))]))
+            rows[:, 4:6] = self._counted(pairs, first)
+        rows[~np.array(ok), 0] = -1
+        self.characters += int(sizes.sum())
         self.table[at : at + n] = rows
-        self.spelled += spelled
         self.pairs.append(pairs)
-        self.first += (self.first[-1] + np.cumsum(np.maximum(rows[:, 3], 0))).tolist()
+        self.first += (self.first[-1] + first[1:]).tolist()
 
     def _counted(self, pairs: np.ndarray, first: np.ndarray) -> np.ndarray:
         """(n_best, count_sum) of segments whose pairs lie between neighbours of first."""
@@ -300,7 +326,7 @@ def _documents(paths: tuple[str, str], shared, with_pairs: bool, key: str) -> Ca
                 cut = memory.numbers(texts)
                 sums = _sums(memory, cut)
                 spelled = memory.spelled.__getitem__
-                digests = [hashlib.sha256(";".join(map(spelled, c.tolist())).encode()).hexdigest() if n else "" for c, n in zip(cut, sums[:, 0].tolist(), strict=True)]
+                digests = [hashlib.sha256("".join(map(spelled, c.tolist()))[:-1].encode()).hexdigest() if n else "" for c, n in zip(cut, sums[:, 0].tolist(), strict=True)]
                 columns = [batch.column(0).slice(at, len(texts)), *(pa.array(sums[:, k]) for k in range(6)), pa.array(digests, pa.string())]
                 names = [key, *MEASURES, "groups_sha256"]
                 if with_pairs:
