@@ -57,13 +57,15 @@ def display_score(c: Column) -> Column:
 
 
 def longest_common(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            row[j], last = (last + 1 if x == y else max(row[j], row[j - 1])), row[j]
-    return row[-1]
+    """Length of the longest common subsequence, a column of the usual table at a time: bits that are off mark where it grows."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every = rows = (1 << len(a)) - 1
+    for y in b:
+        met = rows & places.get(y, 0)
+        rows = (rows + met) | (rows - met)
+    return len(a) - (rows & every).bit_count()
 
 
 def ratio(a: str, b: str) -> float:
@@ -84,9 +86,16 @@ def set_ratio(a: str, b: str) -> float:
 
 
 def part_ratio(a: str, b: str) -> float:
-    """The best likeness of the shorter text with any piece of the longer that is as long."""
+    """The best likeness of the shorter text with any piece of the longer that is as long, or that is shorter at either end; of
+    equally long texts each is tried as the shorter."""
     a, b = sorted((a, b), key=len)
-    return max((ratio(a, b[i : i + len(a)]) for i in range(len(b) - len(a) + 1)), default=0.0) if a else 0.0
+    n = len(a)
+    if not n:
+        return 0.0
+    inner = (b[i : i + n] for i in range(len(b) - n + 1))
+    ends = (piece for i in range(1, n) for piece in (b[:i], b[-i:]))
+    own = max(ratio(a, piece) for piece in (*inner, *ends))
+    return own if len(b) > n else max(own, *(ratio(piece, b) for i in range(1, n) for piece in (a[:i], a[-i:])), own)
 
 
 def similar(a: str, b: str, a_acronym: str, b_acronym: str, least: float = 85.0) -> bool:

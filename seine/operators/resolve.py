@@ -1,7 +1,6 @@
 """Resolution of records of the same organisation.
 
-Records with one domain, then with one name key, become one; what is left is compared by name within blocks, so no
-two records meet but through a shared block key. Merging takes each field from the best record that has it.
+Records with one domain, then with one name key, become one; what is left is compared by name (`namejoin`). Merging takes each field from the best record that has it.
 """
 
 from __future__ import annotations
@@ -10,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seine.functions import names
+from seine.operators.greedy import first_matches
+from seine.operators.namejoin import similar_pairs
 from seine.operators.score import quality
-from seine.session import stored
+from seine.session import scratch, stored
 
 FIELDS = ("company_name", "email", "phone", "linkedin_url", "contact_page", "country", "hq_country")
 
@@ -45,19 +46,12 @@ def by_name(df: DataFrame) -> DataFrame:
     return merge(df, names.name_key(F.col("company_name")))
 
 
-def pairs(df: DataFrame, least: float = 85.0) -> DataFrame:
-    """(seq_a, seq_b) of records with similar names, compared where they share the first token, acronym or sorted head.
-
-    Records with one clean name meet as one, so repeated names make no pairs of pairs.
-    """
+def pairs(df: DataFrame) -> DataFrame:
+    """(seq_a, seq_b) of records with similar names. Records with one clean name meet as one, the earliest."""
     n = df.select("seq", names.clean_name(F.col("company_name")).alias("clean"), names.acronym(F.col("company_name")).alias("short")).filter("clean <> ''")
-    one = n.groupBy("clean").agg(F.min("seq").alias("seq"), F.min_by("short", "seq").alias("short"))
-    t = F.split("clean", " ")
-    keys = F.array_distinct(F.array(F.concat(F.lit("t:"), F.get(t, F.lit(0))), F.concat(F.lit("a:"), F.when(F.col("short") != "", F.col("short")).otherwise(F.replace(F.col("clean"), F.lit(" "), F.lit("")))), F.concat(F.lit("s:"), F.substring(F.array_join(F.array_sort(t), " "), 1, 8))))
-    blocks = one.select("seq", "clean", "short", F.explode(keys).alias("block"))
-    a, b = blocks.alias("a"), blocks.alias("b")
-    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.seq") < F.col("b.seq"))).select(F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"), F.col("a.clean").alias("ca"), F.col("b.clean").alias("cb"), F.col("a.short").alias("sa"), F.col("b.short").alias("sb")).distinct()
-    return met.filter(names.similar_names("ca", "cb", "sa", "sb")).select("seq_a", "seq_b")
+    one = n.groupBy("clean").agg(F.min("seq").alias("id"), F.min_by("short", "seq").alias("short"))
+    with scratch() as keep:
+        return keep(similar_pairs(one).select(F.col("a").alias("seq_a"), F.col("b").alias("seq_b")), "similar")
 
 
 def _conflict(a: Column, b: Column) -> Column:
@@ -76,43 +70,35 @@ def same_entity(a: str, b: str) -> Column:
     return ((x["domain"] != "") & (x["domain"] == y["domain"])) | ((key(x) != "") & (key(x) == key(y)) & ~apart) | (alike & ~apart & ~_conflict(place(x), place(y)))
 
 
-def first_matches(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(seq, head): what a pass in order would do that ties each record to the earliest kept record it matches, and keeps it
-    if it matches none. edges: (seq_a, seq_b), matches with seq_a < seq_b. Records that are kept don't come out.
-
-    A record is kept once no earlier match of its is undecided or kept; it is tied once its earliest match left is kept.
-    Each round decides at least the earliest record that is open, and all that don't wait for others.
-    """
-    left = stored(edges.distinct(), "matches")
-    kept = left.sparkSession.createDataFrame([], "kept long")
-    done = left.sparkSession.createDataFrame([], "seq long, head long")
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            return done
-        kept = stored(kept.unionByName(left.select(F.col("seq_a").alias("kept")).distinct().join(left.select(F.col("seq_b").alias("kept")), "kept", "left_anti")).distinct(), "kept")
-        earliest = left.groupBy(F.col("seq_b").alias("seq")).agg(F.min("seq_a").alias("kept"))
-        tied = stored(earliest.join(kept, "kept").select("seq", F.col("kept").alias("head")), "tied")
-        done = done.unionByName(tied)
-        gone = tied.select("seq")
-        left = stored(left.join(gone, left.seq_a == gone.seq, "left_anti").join(gone, F.col("seq_b") == gone.seq, "left_anti"), "matches")
-    raise RuntimeError(f"matches were not settled in {most_rounds} rounds")
-
-
 def dedup(df: DataFrame) -> DataFrame:
     """One record for each organisation, in three passes: by domain; by name key where a record may be one with the key's
     first record; by similar names, each record tied to the earliest kept one that it may be one with.
 
     Records are compared as the pass before left them; what they take over within a pass doesn't tie further ones.
     """
-    one = stored(by_domain(df).drop("n_merged"), "by-domain")
-    fields = ["seq", "company_name", "domain", "country", "hq_country"]
-    rec = one.select("seq", F.struct(*fields).alias("rec"), names.name_key(F.col("company_name")).alias("key"))
-    first = rec.filter("key <> ''").groupBy("key").agg(F.min_by("rec", "seq").alias("of"), F.min("seq").alias("head"))
-    named = rec.join(first, "key").filter(F.col("seq") != F.col("head")).withColumn("same", same_entity("rec", "of")).filter("same").select("seq", "head")
-    two = stored(_tied(one, named), "by-name")
-    other = two.select("seq", F.struct(*fields).alias("rec"))
-    met = pairs(two).join(other.select(F.col("seq").alias("seq_a"), F.col("rec").alias("a")), "seq_a").join(other.select(F.col("seq").alias("seq_b"), F.col("rec").alias("b")), "seq_b")
-    return _tied(two, first_matches(met.withColumn("same", same_entity("a", "b")).filter("same").select("seq_a", "seq_b")))
+    with scratch() as keep:
+        one = stored(by_domain(df).drop("n_merged"), "by-domain")
+        fields = ["seq", "company_name", "domain", "country", "hq_country"]
+        rec = one.select("seq", F.struct(*fields).alias("rec"), names.name_key(F.col("company_name")).alias("key"))
+        first = rec.filter("key <> ''").groupBy("key").agg(F.min_by("rec", "seq").alias("of"), F.min("seq").alias("head"))
+        named = rec.join(first, "key").filter(F.col("seq") != F.col("head")).withColumn("same", same_entity("rec", "of")).filter("same").select("seq", "head")
+        two = stored(_tied(one, named), "by-name")
+        other = two.select("seq", F.struct(*fields).alias("rec"))
+        met = pairs(two).join(other.select(F.col("seq").alias("seq_a"), F.col("rec").alias("a")), "seq_a").join(other.select(F.col("seq").alias("seq_b"), F.col("rec").alias("b")), "seq_b")
+        return keep(_tied(two, first_matches(met.withColumn("same", same_entity("a", "b")).filter("same").select("seq_a", "seq_b"))), "resolved")
+
+
+def accepted(df: DataFrame) -> DataFrame:
+    """(seq, accepted, duplicate_of): records in order of seq, each accepted unless an accepted one has a similar name, the
+    earliest of which it duplicates. Records without a name are accepted."""
+    with scratch() as keep:
+        own = stored(df.select("seq", names.clean_name(F.col("company_name")).alias("clean")), "names")
+        first = own.filter("clean <> ''").groupBy("clean").agg(F.min("seq").alias("first"))
+        ties = first_matches(pairs(df))
+        # of equal names the first one stands for all: what it duplicates, or it itself, is what the others duplicate
+        headed = first.join(ties.withColumnRenamed("seq", "first"), "first", "left").select("clean", F.coalesce("head", "first").alias("head"))
+        found = own.join(headed, "clean", "left").select("seq", F.when(F.col("head") != F.col("seq"), F.col("head")).alias("duplicate_of"))
+        return keep(found.select("seq", F.col("duplicate_of").isNull().alias("accepted"), "duplicate_of"), "accepted")
 
 
 def _tied(df: DataFrame, ties: DataFrame) -> DataFrame:

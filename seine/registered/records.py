@@ -69,6 +69,8 @@ _KEY = "array_to_string(list_filter(string_split(trim(regexp_replace(replace(low
 _add("er_merge_by_name", _records(resolve.by_name), _merge_sql(_KEY))
 _add("er_fuzzy_pairs", _records(resolve.pairs))
 _add("er_dedup_final", _records(resolve.dedup))
+_add("er_similar_names", lambda spark, d: resolve.pairs(fixtures.named(spark, d)))
+_add("er_accepted_names", lambda spark, d: resolve.accepted(fixtures.named(spark, d)))
 _add("er_company_key", _records(lambda r: r.select("seq", F.when(F.col("domain") != "", F.col("domain")).otherwise(resolve.names.clean_name(F.col("company_name"))).alias("key"))), f"SELECT seq, CASE WHEN domain <> '' THEN domain ELSE {_CLEAN_NAME} END AS key FROM {R}")
 
 # --- scores and verdicts --------------------------------------------------------------------------------------------

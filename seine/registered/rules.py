@@ -184,14 +184,7 @@ _PATHS = ("/contact", "/contact-us", "/about")
 _add("probe_pages", lambda spark, d: table(spark, d, "pages").select("page_id", F.explode(F.array(*[F.concat(urls.root_url(F.col("url")), F.lit(p)) for p in _PATHS])).alias("probe")), f"SELECT page_id, 'https://' || regexp_replace(regexp_replace(lower(url), '^https?://(www[0-9]*[.])?', ''), '[/?#:].*$', '') || p AS probe FROM pages, (SELECT unnest({list(_PATHS)}) AS p)")
 
 
-def _accepted(spark, d):
-    """Records in order; each that is not similar to an accepted one is accepted and known from then on."""
-    r = fixtures.records(spark, d)
-    ties = resolve.first_matches(resolve.pairs(r))
-    return r.select("seq").join(ties, "seq", "left").select("seq", F.col("head").isNull().alias("accepted"), F.col("head").alias("duplicate_of"))
-
-
-_add("accept_with_feedback", _accepted)
+_add("accept_with_feedback", lambda spark, d: resolve.accepted(fixtures.records(spark, d)))
 
 
 # --- topics, summaries and company profiles -------------------------------------------------------------------------------

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -52,8 +54,39 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders stored inside the scratch() blocks that are open, innermost last.
+_open: list[list[tuple[SparkSession, str]]] = []
+
+
 def stored(df, label: str):
-    """df written to the folder that the driver and all executors share and read again, which cuts its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/seine-{label}-{uuid.uuid4().hex}"
+    """df written to the folder that the driver and all executors share and read again, which cuts its lineage. The table stays
+    until the scratch() block ends in which it was stored, if it was stored in one."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/seine-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable]:
+    """Deletes at its end what was stored inside it. What shall outlive it goes through the function it gives, keep(df, label),
+    which stores as if outside."""
+    own: list[tuple[SparkSession, str]] = []
+    _open.append(own)
+
+    def keep(df, label: str):
+        _open.remove(own)
+        try:
+            return stored(df, label)
+        finally:
+            _open.append(own)
+
+    try:
+        yield keep
+    finally:
+        _open.remove(own)
+        for spark, path in own:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -35,3 +35,14 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RECORDS = f"({RECORDS_SQL.format(supplier='supplier')})"
+
+
+#: Organisations named by the first words of texts: as many different names as there are texts, near copies among them.
+NAMES_SQL = """
+SELECT doc_id AS seq, concat_ws(' ', slice(words, 1, 1 + CAST(doc_id % 4 AS INTEGER)), CASE WHEN doc_id % 5 = 0 THEN 'Ltd' WHEN doc_id % 5 = 1 THEN 'energy' END) AS company_name
+FROM (SELECT doc_id, filter(split(regexp_replace(substring(coalesce(text, ''), 1, 400), '[^A-Za-z0-9&]+', ' '), ' '), w -> w <> '') AS words FROM {documents}) d
+"""
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(NAMES_SQL, documents=table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seine.functions import geo, labels, names, text
-from seine.operators import evidence, reports, resolve
+from seine.operators import evidence, greedy, namejoin, reports, resolve
 
 FIELDS = "seq long, company_name string, website string, domain string, description string, email string, phone string, linkedin_url string, contact_page string, country string, hq_country string, page_type string, is_directory_or_media boolean, confidence_score double, source_provider string"
 
@@ -78,8 +78,77 @@ def test_first_matches_as_in_order(spark, seed):
             kept.append(i)
         else:
             head[i] = m
-    got = resolve.first_matches(spark.createDataFrame(sorted(edges), "seq_a long, seq_b long")).collect()
-    assert {r.seq: r.head for r in got} == head
+    for rounds, most in ((4, 2_000_000), (1, 10), (1, 2_000_000)):
+        got = greedy.first_matches(spark.createDataFrame(sorted(edges), "seq_a long, seq_b long"), rounds, most).collect()
+        assert {r.seq: r.head for r in got} == head and len(got) == len(head)
+
+
+def test_a_long_chain(spark):
+    got = greedy.first_matches(spark.range(1000).selectExpr("id as seq_a", "id + 1 as seq_b")).collect()
+    assert {r.seq: r.head for r in got} == {i: i - 1 for i in range(1, 1001, 2)}
+
+
+def some_names(rng, n):
+    stems = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 5))) for _ in range(90)] + ["energy"] * 30 + ["oil", "gas", "the", "of"] * 6
+    out = []
+    for _ in range(n):
+        words = rng.choices(stems, k=rng.choice([1, 1, 2, 2, 3, 3, 4, 6]))
+        if out and rng.random() < 0.5:
+            words = rng.choice(out).split()
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(words))
+                w = words[k]
+                at = rng.choice([0, 0, rng.randrange(len(w) + 1)])
+                words[k] = rng.choice([w[:at] + rng.choice("abcxyz") + w[at:], w[:at] + w[at + 1 :], w[:at] + rng.choice("xyz") + w[at + 1 :]]) or w
+            if rng.random() < 0.3:
+                words.insert(rng.randrange(len(words) + 1), rng.choice(stems))
+            if rng.random() < 0.2:
+                rng.shuffle(words)
+            if rng.random() < 0.1:
+                words = [rng.choice(words), *words]
+            if rng.random() < 0.1 and len(words) > 1:
+                words = ["".join(w[0] for w in words)]
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "n", "block"), [(0, 900, 4096), (1, 500, 7)])
+def test_no_similar_names_are_lost(spark, seed, n, block):
+    rng = random.Random(seed)
+    distinct = sorted({*some_names(rng, n), "schlumberger", "shlumberger", "alpha zeta", "beta alpha zeta", "ta energy", "delta energy", "a", "a b", "\u00e9t\u00e9 oil", "\u00e8t\u00e8 oil", "x" * 90, "x" * 85 + " y"})
+    rows = [(i, c, "".join(w[0] for w in c.split()) if " " in c else "") for i, c in enumerate(distinct)]
+    got = {tuple(r) for r in namejoin.similar_pairs(spark.createDataFrame(rows, "id long, clean string, short string"), block).collect()}
+    want = {(i, j) for i, a, x in rows for j, b, y in rows if i < j and names.similar(a, b, x, y)}
+    assert got == want and len(want) > 300
+
+
+def test_common_subsequence():
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                row[j], last = (last + 1 if x == y else max(row[j], row[j - 1])), row[j]
+        return row[-1]
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abc ", k=rng.randrange(12))) for _ in range(2))
+        assert names.longest_common(a, b) == plain(a, b)
+
+
+def test_accepted_in_order(spark):
+    rng = random.Random(9)
+    given = [*some_names(rng, 150), "", None, "Energy"]
+    frame = spark.createDataFrame([(i, n) for i, n in enumerate(given)], "seq long, company_name string")
+    own = {r.seq: (r.c, r.a) for r in frame.select("seq", names.clean_name(F.col("company_name")).alias("c"), names.acronym(F.col("company_name")).alias("a")).collect()}
+    kept, want = [], []
+    for i, (c, a) in sorted(own.items()):
+        head = next((k for k in kept if c and names.similar(own[k][0], c, own[k][1], a)), None)
+        if head is None:
+            kept.append(i)
+        want.append((i, head is None, head))
+    assert sorted(map(tuple, resolve.accepted(frame).collect())) == want
 
 
 def test_similar_in_blocks(spark):
