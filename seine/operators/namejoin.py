@@ -115,22 +115,25 @@ def _alike(text: str, letters: str, share: int) -> Column:
     return (x >= y) & (2 * y * 100 >= share * (x + y)) & (_apart(F.col(f"x.{letters}"), F.col(f"y.{letters}")) * 100 <= (100 - share) * (x + y))
 
 
-def similar_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): ids a < b of distinct cleaned names that are similar, from (id, clean, short); short is the acronym."""
+def similar_pairs(rows: DataFrame, block: int = BLOCK, fresh: str | None = None) -> DataFrame:
+    """(a, b): ids a < b of distinct cleaned names that are similar, from (id, clean, short); short is the acronym.
+
+    fresh: a boolean column of rows; only pairs with a fresh name are looked for.
+    """
     spark = rows.sparkSession
     words = F.split("clean", " ")
     kept = rows.filter("clean <> ''").withColumn("list", F.array_join(F.array_sort(words), " ")).withColumn("set", F.array_join(F.array_sort(F.array_distinct(words)), " "))
-    one = stored(kept.select("id", "clean", "short", "list", "set", F.array_distinct(words).alias("words"), _letters("list").alias("in_list"), _letters("set").alias("in_set"), _pieces("clean").alias("pieces")), "names")
-    index = one.select("id", F.explode("pieces").alias("piece"))
+    one = stored(kept.select("id", (F.col(fresh) if fresh else F.lit(True)).alias("fresh"), "clean", "short", "list", "set", F.array_distinct(words).alias("words"), _letters("list").alias("in_list"), _letters("set").alias("in_set"), _pieces("clean").alias("pieces")), "names")
+    index = one.select("id", "fresh", F.explode("pieces").alias("piece"))
     counts = stored(index.groupBy("piece").agg(F.count("*").alias("n")), "pieces")
     seen = np.zeros(PIECES, np.int64)
     for r in counts.groupBy((F.crc32(F.col("piece").cast("binary")) % PIECES).cast("int").alias("at")).agg(F.sum("n").alias("n")).collect():  # PIECES rows at most
         seen[r.at] = r.n
-    asked = one.select("id", F.explode(_probes(spark.sparkContext.broadcast(seen))("clean")).alias("p")).select("id", "p.piece", "p.few")
+    asked = one.select("id", "fresh", F.explode(_probes(spark.sparkContext.broadcast(seen))("clean")).alias("p")).select("id", "fresh", "p.piece", "p.few")
     blocks = counts.select("piece", F.ceil(F.col("n") / block).alias("blocks"))
-    there = index.join(blocks, "piece").select("piece", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.col("id").alias("of"))
-    sent = asked.join(blocks, "piece").select("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", "few")
-    met = sent.join(there, ["piece", "block"]).filter("id <> of").groupBy("id", "of").agg(F.max("few").alias("few"))
+    there = index.join(blocks, "piece").select("piece", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.col("id").alias("of"), F.col("fresh").alias("of_fresh"))
+    sent = asked.join(blocks, "piece").select("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", "few", "fresh")
+    met = sent.join(there, ["piece", "block"]).filter("id <> of and (fresh or of_fresh)").groupBy("id", "of").agg(F.max("few").alias("few"))
     x = one.drop("pieces").alias("x")
     y = one.drop("pieces").alias("y")
     both = met.alias("m").join(x, F.col("m.id") == F.col("x.id")).join(y, F.col("m.of") == F.col("y.id"))
@@ -138,6 +141,6 @@ def similar_pairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     side = lambda s: [F.col(f"{s}.{c}").alias(f"{s}_{c}") for c in ("id", "clean", "short")]
     found = both.filter(may).select(*side("x"), *side("y"))
     letters = F.replace("clean", F.lit(" "), F.lit(""))
-    brief = one.filter(F.length("clean") <= 5).select(letters.alias("short"), F.struct("id", "clean", "short").alias("x"))
-    spelled = brief.join(one.filter("short <> ''").select("short", F.struct("id", "clean", "short").alias("y")), "short").select("x", "y").filter("x.id <> y.id").select(*side("x"), *side("y"))
+    brief = one.filter(F.length("clean") <= 5).select(letters.alias("short"), F.struct("id", "clean", "short", "fresh").alias("x"))
+    spelled = brief.join(one.filter("short <> ''").select("short", F.struct("id", "clean", "short", "fresh").alias("y")), "short").select("x", "y").filter("x.id <> y.id and (x.fresh or y.fresh)").select(*side("x"), *side("y"))
     return found.unionByName(spelled).filter(names.similar_names("x_clean", "y_clean", "x_short", "y_short")).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()

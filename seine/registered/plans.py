@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,8 +9,9 @@ from pyspark.sql import functions as F
 from seine.functions import geo, text
 from seine.operators import filters
 from seine.plans import budget, prompts
-from seine.session import table
-from seine.streaming import dedup
+from seine.session import shared_folder, table
+from seine.sources import fixtures
+from seine.streaming import dedup, state
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -99,12 +99,15 @@ def _events(spark, d):
     return spark.readStream.schema(schema).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/seine-stream-{uuid.uuid4().hex}"
+
+
 def _streamed(build, columns, keys=None):
     """The stream's rows; with keys, the last row of each, windows that are still open included."""
 
     def query(spark, d):
-        folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seine-stream-")).rstrip("/") + "/seine-stream-" + uuid.uuid4().hex
-        rows = dedup.run_once(build(_events(spark, d)), folder, "update" if keys else "append")
+        rows = dedup.run_once(build(_events(spark, d)), _folder(spark), "update" if keys else "append")
         return (dedup.latest(rows, keys) if keys else rows).select(*columns)
 
     return query
@@ -112,3 +115,61 @@ def _streamed(build, columns, keys=None):
 
 _add("stream_dedup_ttl", _streamed(lambda s: dedup.first_within(s.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "60 days"), ["user_id", "event_type"]), "SELECT DISTINCT user_id, event_type FROM events")
 _add("stream_budget", _streamed(lambda s: dedup.budget_left(s, "ts", "event_type", 100), ["start", "event_type", "n", "remaining"], ["start", "event_type"]), "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, greatest(0, 100 - count(*))::BIGINT AS remaining FROM events GROUP BY ALL")
+
+
+# --- streams that remember, in three micro-batches -----------------------------------------------------------------------
+
+_THIRDS = ("2024-01-11", "2024-01-21")
+
+
+def _thirds(frame):
+    """The parts of a frame with a column ts up to, between and from two days on."""
+    first, second = (F.lit(t).cast("timestamp") for t in _THIRDS)
+    return [frame.filter(F.col("ts") < first), frame.filter((F.col("ts") >= first) & (F.col("ts") < second)), frame.filter(F.col("ts") >= second)]
+
+
+def _remembered(build, columns):
+    def query(spark, d):
+        parts = _thirds(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+        return spark.read.parquet(state.run_in_batches(parts, _folder(spark), build)).selectExpr(*columns)
+
+    return query
+
+
+_add("stream_cache", _remembered(lambda s: state.cache(s, ["user_id", "event_type"], "ts", "event_id", 2 * 86_400), ["number as event_id", "hit", "written_by"]), """WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, event_type, epoch_us(ts) AS us FROM events),
+  w AS (SELECT user_id, event_type, min(us) AS us FROM e GROUP BY ALL
+    UNION ALL SELECT w.user_id, w.event_type, min(e.us) FROM w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.us > w.us + 172800000000 GROUP BY w.user_id, w.event_type, w.us),
+  n AS (SELECT w.*, e.event_id AS written_by FROM w JOIN e USING (user_id, event_type, us))
+  SELECT e.event_id, e.us > n.us AS hit, n.written_by FROM e ASOF JOIN n ON e.user_id = n.user_id AND e.event_type = n.event_type AND e.us >= n.us""")
+_add("stream_running_budget", _remembered(lambda s: state.budget(s, ["user_id"], "event_type", "ts", "event_id", 12, 4, 86_400), ["number as event_id", "allowed", "left as remaining"]), """WITH g AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER u > 86400000000)::INT AS gap FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  s AS (SELECT *, coalesce(sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS run FROM g),
+  p AS (SELECT *, row_number() OVER (PARTITION BY user_id, run, event_type ORDER BY ts, event_id) <= 4 AS fits FROM s),
+  a AS (SELECT *, sum(fits::INT) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS asked FROM p)
+  SELECT event_id, fits AND asked <= 12 AS allowed, greatest(0, 12 - asked)::BIGINT AS remaining FROM a""")
+
+
+def _stream_index(spark, d):
+    """Names of documents, a third of them at a time, into the growing index."""
+    named, folder = fixtures.named(spark, d), _folder(spark)
+    most = table(spark, d, "documents").agg(F.max("doc_id")).first()[0] or 0
+    ends = (most // 3, 2 * most // 3)
+    parts = [named.filter(F.col("seq") <= ends[0]), named.filter((F.col("seq") > ends[0]) & (F.col("seq") <= ends[1])), named.filter(F.col("seq") > ends[1])]
+    state.run_in_batches(parts, folder, lambda s: s, state.growing_index(folder))
+    return spark.read.parquet(f"{folder}/decided").select("seq", "accepted", "duplicate_of")
+
+
+_add("stream_index", _stream_index)
+
+
+def _stream_snapshots(spark, d):
+    """Who clicked in each third of the month, as snapshots."""
+    folder = _folder(spark)
+    parts = _thirds(table(spark, d, "events").filter("event_type = 'click'").select(F.col("ts").cast("timestamp").alias("ts"), "user_id"))
+    state.run_in_batches(parts, folder, lambda s: s, state.snapshots(folder, "user_id", "long"))
+    return spark.read.parquet(f"{folder}/changes").select(F.col("batch").cast("int").alias("batch"), "user_id", "status")
+
+
+_add("stream_snapshots", _stream_snapshots, f"""WITH k AS (SELECT DISTINCT user_id, (ts >= timestamp '{_THIRDS[0]}')::INT + (ts >= timestamp '{_THIRDS[1]}')::INT AS batch FROM events WHERE event_type = 'click'),
+  b AS (SELECT batch, user_id FROM k UNION SELECT batch + 1, user_id FROM k WHERE batch < 2)
+  SELECT b.batch, b.user_id, CASE WHEN old.user_id IS NULL THEN 'added' WHEN new.user_id IS NULL THEN 'removed' ELSE 'kept' END AS status
+  FROM b LEFT JOIN k new ON new.batch = b.batch AND new.user_id = b.user_id LEFT JOIN k old ON old.batch = b.batch - 1 AND old.user_id = b.user_id""")
