@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seine.registered import extracts, plans, records, rules, sets, texts
+from seine.registered import extracts, geography, plans, records, rules, sets, texts
 
-_PARTS = (texts, records, plans, extracts, sets, rules)
+_PARTS = (texts, records, plans, extracts, sets, rules, geography)
 flagship = records.flagship
 
 
