@@ -56,7 +56,11 @@ def company_name(c: Column) -> Column:
 
 def social_links(c: Column, networks: tuple[str, ...] = ("linkedin", "twitter", "facebook", "youtube", "instagram")) -> Column:
     """Map of each network to the first link to it."""
-    entries = F.array(*[F.struct(F.lit(n).alias("key"), F.get(F.filter(links(c), lambda u, n=n: u.contains(f"{n}.com")), F.lit(0)).alias("value")) for n in networks])
+
+    def first(network: str) -> Column:
+        return F.get(F.filter(links(c), lambda u: u.contains(f"{network}.com")), F.lit(0))
+
+    entries = F.array(*[F.struct(F.lit(n).alias("key"), first(n).alias("value")) for n in networks])
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
