@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seine.registered import crawls, extracts, geography, plans, records, rules, sets, texts
+from seine.registered import crawls, extracts, geography, plans, records, requests, rules, sets, texts
 
-_PARTS = (texts, records, plans, extracts, sets, rules, geography, crawls)
+_PARTS = (texts, records, plans, extracts, sets, rules, geography, crawls, requests)
 flagship = records.flagship
 
 
