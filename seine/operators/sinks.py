@@ -35,3 +35,16 @@ def report(df: DataFrame, heading: str, order: str) -> DataFrame:
     """One row of Markdown for each record, in order; written with write.text."""
     body = F.concat_ws("\n", F.concat(F.lit("## "), F.col("company_name")), F.when(F.col("website") != "", F.concat(F.lit("Website: "), F.col("website"))), F.substring("description", 1, 1200))
     return df.orderBy(order).select(F.concat(F.lit(f"<!-- {heading} -->\n"), body).alias("value"))
+
+
+def html_of(markdown, title: str):
+    """A column of Markdown as a plain page: headings by their signs, items and paragraphs by lines, all escaped."""
+    safe = F.replace(F.replace(F.replace(markdown, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    tag = lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
+    rest = lambda x, n: F.trim(F.substring(x, n, F.length(x)))
+    line = lambda x: (
+        F.when(x == "", "").when(x.startswith("### "), tag("h3", rest(x, F.lit(5)))).when(x.startswith("## "), tag("h2", rest(x, F.lit(4)))).when(x.startswith("# "), tag("h1", rest(x, F.lit(3))))
+        .when(x.startswith("- "), tag("li", rest(x, F.lit(3)))).otherwise(tag("p", x))
+    )
+    body = F.array_join(F.filter(F.transform(F.split(F.coalesce(safe, F.lit("")), "\n"), lambda x: line(F.trim(x))), lambda x: x != ""), "\n")
+    return F.concat(F.lit(f"<html><head><title>{title}</title></head><body>\n"), body, F.lit("\n</body></html>"))
