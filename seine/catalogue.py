@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seine.registered import crawls, extracts, geography, plans, records, requests, rules, sets, stores, texts
+from seine.registered import crawls, extracts, geography, plans, records, rejections, requests, rules, sets, stores, texts
 
-_PARTS = (texts, records, plans, extracts, sets, rules, geography, crawls, requests, stores)
+_PARTS = (texts, records, plans, extracts, sets, rules, geography, crawls, requests, stores, rejections)
 flagship = records.flagship
 
 

@@ -45,15 +45,24 @@ def name_key(c: Column) -> Column:
 
 
 def display_score(c: Column) -> Column:
-    """How well a name reads: addresses, length, capitals, separators and the number of words count."""
-    c = text_of(c)
-    n, words = F.length(c), F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""))
-    return (
-        F.when(c.rlike(r"(?i)https?://|www[.]|/"), -6).otherwise(0) + F.when(n <= 60, 3).when(n <= 90, 1).otherwise(-3)
-        + F.when(c.rlike("^[A-Z]"), 2).otherwise(0) + F.when(c.rlike("[A-Z]") & c.rlike("[a-z]"), 2).otherwise(0)
-        + F.when(c.rlike(r"[|:]| - "), -2).otherwise(0) + F.when(words.between(1, 5), 3).when(words > 8, -2).otherwise(0)
-        + F.when(clean_name(c) != F.lower(F.trim(c)), 1).otherwise(0)
+    """How well a name reads: addresses, length, capitals, separators, words of the cleaned name, and whether it was cleaned."""
+    s = F.trim(text_of(c))
+    n, cleaned, first = F.length(s), clean_name(s), F.substring(s, 1, 1)
+    words = F.size(F.filter(F.split(cleaned, " "), lambda w: w != ""))
+    points = (
+        F.when(s.contains("/"), -6).otherwise(0) + F.when(n <= 60, 3).when(n <= 90, 1).otherwise(-3)
+        + F.when((first == F.upper(first)) & (first != F.lower(first)), 2).otherwise(0)
+        + F.when((s == F.upper(s)) == (s == F.lower(s)), 2).otherwise(0)  # capitals and small letters, or no letters
+        + F.when(s.rlike(r" \| | - | :: | — "), -2).otherwise(0) + F.when(words.between(1, 5), 3).when(words > 8, -2).otherwise(0)
+        + F.when((cleaned != "") & (cleaned != F.lower(s)), 1).otherwise(0)
     )
+    return F.when(n == 0, -999).otherwise(points)
+
+
+def better(a: Column, b: Column) -> Column:
+    """The name that reads better, the first of equals; a filled one before a blank one."""
+    x, y = F.trim(text_of(a)), F.trim(text_of(b))
+    return F.when(x == "", y).when((y == "") | (display_score(x) >= display_score(y)), x).otherwise(y)
 
 
 def longest_common(a: str, b: str) -> int:

@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seine.functions import domains
 from seine.functions.text import text_of
 
-# Terms that tell what is no organisation's own page.
-JUNK_TERMS = ("stock photo", "wikipedia", "dictionary", "definition", "translate", "lyrics", "recipe", "horoscope", "weather", "coupon", "torrent", "casino")
-DIRECTORY_TITLE = r"(?i)\b(top|best|leading) [0-9]+\b|\blist of\b|\bdirectory\b|\bcompanies in\b|\branking\b|\bnews\b|\bjobs?\b"
-EXCLUDED_DOMAINS = ("wikipedia.org", "facebook.com", "twitter.com", "youtube.com", "instagram.com", "reddit.com", "quora.com", "pinterest.com", "amazon.com", "ebay.com", "indeed.com", "glassdoor.com", "bbc.com", "cnn.com", "medium.com")
-ACADEMIC = ("abstract", "doi", "journal", "conference", "proceedings", "university", "research", "arxiv")
+# Terms that tell what is no organisation's own page, terms of papers, and of events.
+JUNK_TERMS = (
+    "courier", "shipping services", "job opportunities", "vacancy", "wuzzuf", "stock photo",
+    "list of companies", "directory", "ranking", "wikipedia", "amazon", "recruitment",
+)
+ACADEMIC = ("abstract", "doi", "journal", "conference", "paper", "study", "authors")
 EVENTS = ("exhibitor", "exhibition", "conference", "booth", "summit", "expo", "agenda", "register")
 
 
 def directory_title(title: Column) -> Column:
-    return F.trim(text_of(title)).rlike(DIRECTORY_TITLE)
+    return F.lower(F.trim(text_of(title))).rlike("|".join(domains.DIRECTORY_TITLES))
 
 
-def excluded_domain(domain: Column, domains: tuple[str, ...] = EXCLUDED_DOMAINS) -> Column:
+def excluded_domain(domain: Column, sites: tuple[str, ...] = domains.EXCLUDED_DOMAINS) -> Column:
     """The domain itself, or one below it."""
-    hit = domain.isin(*domains)
-    for d in domains:
+    hit = domain.isin(*sites)
+    for d in sites:
         hit = hit | domain.endswith(f".{d}")
     return hit
 
@@ -36,6 +38,11 @@ def junk(text: Column) -> Column:
     return text.rlike("|".join(JUNK_TERMS))
 
 
+def junk_record(hay: Column, papers: bool = False) -> Column:
+    """A record, by its lower-cased text, that is junk; among papers also one without a term of papers."""
+    return (junk(hay) | ~hay.rlike("|".join(ACADEMIC))) if papers else junk(hay)
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row, by order, of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -42,9 +42,18 @@ def _if(test: Column, yes: int, no: int = 0) -> Column:
     return F.when(test, F.lit(yes)).otherwise(F.lit(no))
 
 
+#: Fields of a record that its text is made of, in this order.
+TOLD = ("company_name", "description", "notes", "website", "source_url", "summary", "contact_page", "linkedin_url", "authors", "doi", "job_title", "employer_name")
+
+
+def told(columns) -> Column:
+    """The text of a record: those of the fields that are among the columns, lower-cased."""
+    return blob(*[c for c in TOLD if c in columns])
+
+
 def score(want: Wanted, text: Column | None = None, has_country=None) -> Column:
     """0 to 100. has_country(text, country) says whether a text speaks of a country; by default as a plain string."""
-    hay = blob("company_name", "description", "website", "contact_page", "linkedin_url") if text is None else text
+    hay = told(("company_name", "description", "website", "contact_page", "linkedin_url")) if text is None else text
     speaks = has_country or (lambda t, c: t.contains(c))
     capped = lambda terms, each, most: F.least(hits(hay, terms) * each, F.lit(most))
     filled = lambda c: F.col(c) != ""

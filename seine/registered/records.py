@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from seine.functions import geo, html, text, urls
+from seine.functions import domains, geo, html, text, urls
 from seine.operators import filters, reports, resolve, score
 from seine.registered.texts import _CLEAN_NAME, _HOST, _VISIBLE
 from seine.registered.texts import ORACLES as ORACLES_OF_TEXTS
@@ -98,7 +98,7 @@ _add("verify_split", _records(lambda r: r.select("seq", filters.validated("compa
 _add("junk_filter", lambda spark, d: table(spark, d, "documents").filter(~filters.junk(F.lower("text"))).select("doc_id"), f"SELECT doc_id FROM documents WHERE NOT regexp_matches(lower(text), '{'|'.join(filters.JUNK_TERMS)}')")
 _add("ui_refine_fallback", _records(lambda r: filters.refine(r.select("seq", "confidence_score"), F.col("confidence_score") > 1000).select("seq")), f"SELECT seq FROM {R}")
 _LISTED = "CASE CAST(page_id % 5 AS INTEGER) WHEN 0 THEN ': List of companies' WHEN 1 THEN ' - Top 10 firms' WHEN 2 THEN ' newsletter jobsite' ELSE '' END"
-_add("directory_titles", lambda spark, d: table(spark, d, "pages").select("page_id", F.concat(html.title(F.col("html")), F.expr(_LISTED)).alias("t")).filter(filters.directory_title(F.col("t"))).select("page_id"), f"SELECT page_id FROM (SELECT page_id, title || {_LISTED} AS t FROM ({ORACLES_OF_TEXTS['html_title']}) q) WHERE regexp_matches(trim(t), '{filters.DIRECTORY_TITLE}')")
+_add("directory_titles", lambda spark, d: table(spark, d, "pages").select("page_id", F.concat(html.title(F.col("html")), F.expr(_LISTED)).alias("t")).filter(filters.directory_title(F.col("t"))).select("page_id"), f"SELECT page_id FROM (SELECT page_id, title || {_LISTED} AS t FROM ({ORACLES_OF_TEXTS['html_title']}) q) WHERE regexp_matches(lower(trim(t)), '{'|'.join(domains.DIRECTORY_TITLES)}')")
 _add("top_records", _records(lambda r: r.orderBy(F.desc("confidence_score"), "seq").limit(10).select("seq", "confidence_score")), f"SELECT seq, confidence_score FROM {R} ORDER BY confidence_score DESC, seq LIMIT 10")
 _add("top_seeds", _records(lambda r: r.filter("website <> ''").orderBy(F.desc("confidence_score"), "seq").limit(3).select("seq", "website")), f"SELECT seq, website FROM {R} WHERE website <> '' ORDER BY confidence_score DESC, seq LIMIT 3")
 

@@ -151,4 +151,7 @@ _add("er_clean_name", _over_name(clean=names.clean_name, short=names.acronym), f
   FROM (SELECT seq, {_CLEAN_NAME} AS clean, list_filter(string_split({_CLEAN_NAME}, ' '), lambda x: x <> '') AS t FROM {fixtures.RECORDS})""")
 _add("er_norm_name", _over_name(key=names.name_key), f"""SELECT seq, array_to_string(list_filter(string_split(trim(regexp_replace(replace(lower(company_name), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), ' '),
   lambda w: w <> '' AND w NOT IN ({", ".join(f"'{w}'" for w in names.KEY_NOISE)})), ' ') AS key FROM {fixtures.RECORDS}""")
-_add("er_display_score", _over_name(points=names.display_score))
+_add("er_display_score", _over_name(points=names.display_score), f"""SELECT seq, (CASE WHEN s = '' THEN -999 ELSE CASE WHEN contains(s, '/') THEN -6 ELSE 0 END + CASE WHEN length(s) <= 60 THEN 3 WHEN length(s) <= 90 THEN 1 ELSE -3 END
+  + CASE WHEN s[1] = upper(s[1]) AND s[1] <> lower(s[1]) THEN 2 ELSE 0 END + CASE WHEN (s = upper(s)) = (s = lower(s)) THEN 2 ELSE 0 END + CASE WHEN regexp_matches(s, ' [|] | - | :: | — ') THEN -2 ELSE 0 END
+  + CASE WHEN w BETWEEN 1 AND 5 THEN 3 WHEN w > 8 THEN -2 ELSE 0 END + CASE WHEN clean <> '' AND clean <> lower(s) THEN 1 ELSE 0 END END)::INTEGER AS points
+  FROM (SELECT *, len(list_filter(string_split(clean, ' '), lambda x: x <> '')) AS w FROM (SELECT seq, trim(company_name) AS s, {_CLEAN_NAME} AS clean FROM {fixtures.RECORDS}))""")
