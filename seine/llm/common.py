@@ -70,6 +70,11 @@ def remembered(owner, make):
     return _worker[owner]
 
 
+def forget() -> None:
+    """Frees what this worker remembers; for steps that remember nothing themselves and need the room."""
+    _worker.clear()
+
+
 def salted_join(many: DataFrame, few: DataFrame, on: list[str], spread: str, how: str = "inner", salts: int = 16) -> DataFrame:
     """many join few on columns that may have hot keys in `many`: its rows are dealt to `salts` tasks a key by the column
     `spread`, and each row of `few`, which has one row a key, goes to all of them."""
