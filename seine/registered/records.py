@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seine.functions import domains, geo, html, text, urls
-from seine.operators import filters, reports, resolve, score
+from seine.operators import filters, numbering, reports, resolve, score
 from seine.registered.texts import _CLEAN_NAME, _HOST, _VISIBLE
 from seine.registered.texts import ORACLES as ORACLES_OF_TEXTS
 from seine.session import table
@@ -32,9 +31,11 @@ def _records(f):
 def flagship(spark, d):
     """Pages to ranked records: extract, filter, one record for each domain, score, the best 25."""
     read = table(spark, d, "pages").select(F.col("page_id").alias("seq"), "url", "html")
-    pages = text.fenced(read, {"domain": urls.domain(F.col("url")), "website": urls.normal_url(F.col("url")), "company_name": html.title(F.col("html")), "description": html.visible_text(F.col("html"))}).drop("url", "html")
-    kept = pages.filter((F.col("domain") != "") & ~filters.excluded_domain(F.col("domain")) & ~filters.directory_title(F.col("company_name")))
-    first = filters.keep_first(kept, ["domain"], ["seq"])
+    # titles of lists go before the first page of a domain is chosen; texts are made of the chosen pages alone
+    named = text.fenced(read, {"domain": urls.domain(F.col("url")), "company_name": html.title(F.col("html"))})
+    kept = named.filter((F.col("domain") != "") & ~filters.excluded_domain(F.col("domain")) & ~filters.directory_title(F.col("company_name")))
+    chosen = kept.groupBy("domain").agg(F.min("seq").alias("seq"), F.min_by("company_name", "seq").alias("company_name"))
+    first = chosen.join(read, "seq").select("seq", "domain", urls.normal_url(F.col("url")).alias("website"), "company_name", html.visible_text(F.col("html")).alias("description"))
     found = first.select("*", F.array_join(text.emails(F.col("description")), ",").alias("email"), F.lit("").alias("phone"), F.lit("company").alias("page_type"), F.lit(False).alias("is_directory_or_media"), F.lit("").alias("contact_page"), F.lit("").alias("linkedin_url"))
     told = text.fenced(found, {"hay": filters.blob("company_name", "description", "website", "contact_page", "linkedin_url")})
     scored = told.withColumn("score", score.score(score.Wanted(category="software_company"), F.col("hay")))
@@ -46,9 +47,9 @@ _add(
     "dedup_seen_domain", lambda spark, d: filters.keep_first(table(spark, d, "pages").select("page_id", urls.host(F.col("url")).alias("host")), ["host"], ["page_id"]),
     f"SELECT min(page_id) AS page_id, h AS host FROM (SELECT page_id, {_HOST.format(u='url')} AS h FROM pages) GROUP BY h",
 )
-_add("rank_per_provider", _records(lambda r: r.select("seq", "source_provider", F.row_number().over(Window.partitionBy("source_provider").orderBy("seq")).alias("rank"))), f"SELECT seq, source_provider, row_number() OVER (PARTITION BY source_provider ORDER BY seq)::INTEGER AS rank FROM {R}")
+_add("rank_per_provider", _records(lambda r: numbering.numbered(r.select("seq", "source_provider"), ["source_provider"], ["seq"], "rank")), f"SELECT seq, source_provider, row_number() OVER (PARTITION BY source_provider ORDER BY seq)::INTEGER AS rank FROM {R}")
 _add("cap_per_provider", _records(lambda r: filters.capped(r.select("seq", "source_provider"), ["source_provider"], ["seq"], 7)), f"SELECT seq, source_provider FROM {R} QUALIFY row_number() OVER (PARTITION BY source_provider ORDER BY seq) <= 7")
-_add("batch_index", _records(lambda r: r.select("seq", F.floor((F.row_number().over(Window.partitionBy("source_provider").orderBy("seq")) - 1) / 10).alias("batch"))), f"SELECT seq, ((row_number() OVER (PARTITION BY source_provider ORDER BY seq) - 1) // 10)::BIGINT AS batch FROM {R}")
+_add("batch_index", _records(lambda r: numbering.numbered(r.select("seq", "source_provider"), ["source_provider"], ["seq"], "rank").select("seq", F.floor((F.col("rank") - 1) / 10).alias("batch"))), f"SELECT seq, ((row_number() OVER (PARTITION BY source_provider ORDER BY seq) - 1) // 10)::BIGINT AS batch FROM {R}")
 _add("anti_known_companies", lambda spark, d: resolve.anti_known(fixtures.records(spark, d), fixtures.records(spark, d).filter("seq % 10 = 3"), "domain").select("seq", "domain"), f"SELECT seq, domain FROM {R} r WHERE domain = '' OR domain NOT IN (SELECT domain FROM {R} k WHERE seq % 10 = 3 AND domain <> '')")
 _QUALITY = """((company_name <> '')::INT * 8 + (website <> '')::INT * 10 + (domain <> '')::INT * 8 + (email <> '')::INT * 6 + (phone <> '')::INT * 5 + (linkedin_url <> '')::INT * 4 + (contact_page <> '')::INT * 3
   + (hq_country <> '')::INT * 4 + (country <> '')::INT * 2 + least(length(description) // 40, 12) + CASE WHEN page_type = 'company' THEN 5 WHEN page_type IN ('directory', 'media', 'blog') THEN -8 ELSE 0 END + floor(floor(confidence_score) / 5)::INT)::INTEGER"""
