@@ -1,13 +1,15 @@
 """Exact top-k by inner product: a KD-tree in every shard, searched best first.
 
-Vectors are dealt by hash into shards of bounded bytes. Each shard is cut by median splits along the widest coordinate
-of a node until a leaf is small enough; every node, inner ones included, has a tight bounding box. A shard is one row
-with its packed tree. Queries travel to the shards as rows: a task holds one tree and streams the queries that ask it.
+Vectors are dealt by space into shards of bounded bytes: the top of the tree is a few median splits along the widest
+coordinate, made from a bounded sample (SAMPLE_BYTES), which every vector walks down; a part that holds more than a shard,
+of equal vectors say, is dealt on by hash. Each shard is cut by median splits until a leaf is small enough; every node,
+inner ones included, has a tight bounding box. A shard is one row with its packed tree.
 
-A query searches a tree from the root with a heap of nodes ordered by the most that a point of their boxes can score,
-opens the best node first, and stops when that is below its k-th score. The k-th score is propagated: shards answer in
-rounds, each of as many shards as all rounds before it, and queries carry the k scores known so far. So a round adds
-about k rows a query, whatever the number of shards, and a tree without a chance is left at its root.
+Shards answer in rounds, each of as many as all rounds before it and ROUND_BYTES of root boxes at most. The boxes go ahead of
+the queries: a query travels to the trees alone whose root box may beat its k-th score so far. It searches a tree from the
+root with a heap of nodes ordered by the most that a point of their boxes can score, opens the best node first, and stops
+when that is below its k-th score. The k-th score is propagated: queries carry the k scores known so far. So a round adds
+about k rows a query, whatever the number of shards.
 
 Defined results: a null or empty vector, or one with a null or non-finite component, takes no part, as query or candidate;
 vectors are compared with those of their own length only; candidates are all rows but those with the query's own id;
@@ -34,6 +36,10 @@ SHARD_BYTES = 16_000_000
 LEAF_ROWS = 128
 #: Copies of a shard in a round; queries are dealt among them, so one tree is no single task's work.
 COPIES = 8
+#: Bytes of the sample that the top splits are made of, of the root boxes of a round, and rows of the sample a part.
+SAMPLE_BYTES, ROUND_BYTES, PART_ROWS = 8_000_000, 16_000_000, 16
+#: Lengths of vectors that are split by space, the most frequent ones.
+LENGTHS = 32
 GREATEST = float(np.finfo(np.float64).max)
 
 
@@ -124,6 +130,36 @@ class Tree:
 TREE = "dim int, shard long, " + ", ".join(f"`{n}` binary" for n, _ in Tree.PARTS)
 
 
+def splits(points: np.ndarray, parts: int) -> np.ndarray:
+    """The top of a tree with about `parts` leaves: rows (coordinate, value, child), a leaf's child being -1 - its number."""
+    nodes, leaves = [], 0
+    todo: list[tuple[np.ndarray, int]] = [(np.arange(len(points)), max(parts, 1))]
+    for rows, n in todo:  # grows on the way
+        inside = points[rows]
+        widest = (inside.max(0) / 2 - inside.min(0) / 2).argmax() if len(rows) else 0
+        value = float(np.median(inside[:, widest])) if len(rows) else 0.0
+        right = inside[:, widest] > value if len(rows) else np.zeros(0, bool)
+        if n < 2 or len(rows) < 2 * PART_ROWS or not right.any():
+            nodes.append((0.0, 0.0, -1.0 - leaves))
+            leaves += 1
+            continue
+        nodes.append((float(widest), value, float(len(todo))))
+        todo += [(rows[~right], n - n // 2), (rows[right], n // 2)]
+    return np.array(nodes)
+
+
+def walk(top: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The leaf of each point."""
+    node = np.zeros(len(points), np.int64)
+    while True:
+        child = top[node, 2].astype(np.int64)
+        inner = np.flatnonzero(child >= 0)
+        if not len(inner):
+            return -1 - child
+        at = node[inner]
+        node[inner] = child[inner] + (points[inner, top[at, 0].astype(np.int64)] > top[at, 1])
+
+
 def shards(rows: DataFrame, per_shard: Column, leaf: int) -> DataFrame:
     """One row for each shard: dim, shard number from 0 and the packed tree."""
 
@@ -134,21 +170,75 @@ def shards(rows: DataFrame, per_shard: Column, leaf: int) -> DataFrame:
         tree = Tree.grow(pdf["id"].to_numpy().astype(np.int64), np.stack(pdf["v"].to_numpy()).astype(np.float64), leaf)
         return pd.DataFrame({"dim": [dim], "shard": [int(pdf["shard"].iloc[0])]} | {n: [np.ascontiguousarray(getattr(tree, n)).tobytes()] for n, _ in Tree.PARTS})
 
-    sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") / per_shard).cast("long").alias("n_shards"))
-    # a few numbers, one for each length of vector
-    dealt = rows.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("id", "v"), "n_shards"))
+    sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") / per_shard).cast("long").alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()
+    wide = max((r.dim for r in sizes if r.n > 1), default=0)
+    tops: dict[int, np.ndarray] = {}
+    if wide:
+        some = rows.filter(F.col("dim").isin([r.dim for r in sizes if r.n > 1])).orderBy(F.xxhash64("id", "v")).limit(max(1, SAMPLE_BYTES // (8 * wide))).select("dim", "v").collect()
+        tops = {r.dim: splits(np.array([x.v for x in some if x.dim == r.dim]).reshape(-1, r.dim), r.n) for r in sizes if r.n > 1}
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, out, vs = batch.column(1).to_numpy(), np.zeros(batch.num_rows, np.int32), batch.column(2)
+            for dim in set(dims.tolist()) & tops.keys():
+                at = np.flatnonzero(dims == dim)
+                out[at] = walk(tops[dim], np.stack([vs[i].values.to_numpy() for i in at.tolist()]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], ["id", "dim", "v", "part"])
+
+    parted = common.store(rows.select("id", "dim", "v").mapInArrow(part, "id long, dim int, v array<double>, part int"), "kd-parts")
+    counts = parted.groupBy("dim", "part").agg(F.ceil(F.count("*") / per_shard).cast("long").alias("pieces"))
+    before = Window.partitionBy("dim").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # a few numbers for each part, and there are as many parts as a sample has, for LENGTHS lengths, and one for each other length
+    first = counts.withColumn("first", F.coalesce(F.sum("pieces").over(before), F.lit(0)))
+    dealt = common.salted_join(parted, first, ["dim", "part"], "id").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id", "v"), "pieces"))
     return dealt.select("dim", "shard", "id", "v").groupBy("dim", "shard").applyInPandas(pack, TREE)
 
 
 # --- rounds ----------------------------------------------------------------------------------------------------------
 
 
-def rounds(n: int) -> Iterator[tuple[int, int]]:
-    """(first, last) shard of each round: the first shard, then as many as there were before."""
+def rounds(n: int, most: int) -> Iterator[tuple[int, int]]:
+    """(first, last) shard of each round: the first shard, then as many as there were before, `most` at most."""
     first, last = 0, 1
     while first < n:
         yield first, min(last, n)
-        first, last = last, last * 2
+        first, last = last, last + min(last, most)
+
+
+def roots(some: DataFrame, first: int, last: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By length: shard numbers, low and high corners of their root boxes, and the greatest size of a component."""
+    corner = lambda c: F.substring(c, F.lit(1), F.col("dim") * 8)
+    got = some.filter((F.col("shard") >= first) & (F.col("shard") < last)).select("dim", "shard", corner(F.col("low")).alias("low"), corner(F.col("high")).alias("high")).collect()
+    out = {}
+    for dim in {r.dim for r in got}:
+        own = [r for r in got if r.dim == dim]
+        low, high = (np.stack([np.frombuffer(r[c], np.float64) for r in own]) for c in ("low", "high"))
+        out[dim] = np.array([r.shard for r in own], np.int64), low, high, np.maximum(np.abs(low), np.abs(high)).max(1)
+    return out
+
+
+def _routed(boxes, k: int):
+    """Queries (id, v, dim, known) -> themselves and a shard, for each whose root box may hold one of their k best."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            to, which = [], []
+            for i, (v, dim, known) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True)):
+                if dim not in boxes.value:
+                    continue
+                numbers, low, high, most = boxes.value[dim]
+                q, scores = v.values.to_numpy(), known.values.to_numpy()
+                with np.errstate(over="ignore", invalid="ignore"):
+                    bound = high @ np.maximum(q, 0) + low @ np.minimum(q, 0)
+                    slack = 4e-16 * dim * float(np.abs(q).sum()) * most
+                    open_ = np.ones(len(numbers), bool) if len(scores) < k else ~(bound + slack < scores.min()) | ~(slack < 1e280)
+                to.append(numbers[open_])
+                which.append(np.full(int(open_.sum()), i))
+            if to and sum(map(len, to)):
+                picked = batch.take(pa.array(np.concatenate(which)))
+                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(np.concatenate(to))], ["id", "v", "dim", "known", "shard"])
+
+    return run
 
 
 def _answer(k: int):
@@ -179,16 +269,14 @@ def meet(asked: DataFrame, some: DataFrame, first: int, last: int, k: int, copie
     """The answers of the shards first .. last - 1 to all queries. asked: (id, v, dim, known)."""
     parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nothing = [F.lit(None).cast("binary").alias(n) for n, _ in Tree.PARTS]
-    travelling = asked.select(
-        "dim", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last - 1).cast("long"))).alias("shard"),
-        F.pmod(F.xxhash64("id", "v"), F.lit(copies)).cast("int").alias("copy"), F.lit(False).alias("is_tree"), "id", "v", "known", *nothing,
-    )
+    boxes = asked.sparkSession.sparkContext.broadcast(roots(some, first, last))  # ROUND_BYTES at most
+    sent = asked.select("id", "v", "dim", "known").mapInArrow(_routed(boxes, k), "id long, v array<double>, dim int, known array<double>, shard long")
+    there = sent.select("dim", "shard", F.pmod(F.xxhash64("id", "v"), F.lit(copies)).cast("int").alias("copy"), F.lit(False).alias("is_tree"), "id", "v", "known", *nothing)
     none = F.lit(None).cast("array<double>")
     held = some.filter((F.col("shard") >= first) & (F.col("shard") < last)).select(
         "dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(True).alias("is_tree"),
         F.lit(None).cast("long").alias("id"), none.alias("v"), none.alias("known"), *[n for n, _ in Tree.PARTS],
     )
-    there = travelling.join(some.select("dim", "shard").distinct(), ["dim", "shard"], "left_semi") if last > 1 else travelling
     place = ["dim", "shard", "copy"]
     dealt = held.unionByName(there).repartition(parts, *place).sortWithinPartitions(*place, F.desc("is_tree"))
     return dealt.mapInArrow(_answer(k), "query_id long, vec_id long, score double")
@@ -206,10 +294,10 @@ def top_k(
     per_shard = F.greatest(F.lit(leaf).cast("double"), F.floor(F.lit(shard_bytes) / (8 * F.col("dim"))).cast("double"))
     made = common.store(shards(rows, per_shard, leaf), "kd")
     queries = common.store(rows.filter(is_query).dropDuplicates(["id", "v"]), "kd-queries")
-    count = made.agg(F.max("shard").alias("last")).first().last
+    count, widest = made.agg(F.max("shard"), F.max("dim")).first()
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = made.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    for n, (first, last) in enumerate(rounds(0 if count is None else count + 1)):
+    for n, (first, last) in enumerate(rounds(0 if count is None else count + 1, max(1, ROUND_BYTES // (16 * (widest or 1))))):
         scores = best.groupBy("query_id").agg(F.collect_list("score").alias("known")).withColumnRenamed("query_id", "id")
         known = F.coalesce("known", F.array().cast("array<double>")) if n else F.array().cast("array<double>")
         asked = (queries.join(scores, "id", "left") if n else queries).select("id", "v", "dim", known.alias("known"))

@@ -571,3 +571,31 @@ def test_tree_has_tight_boxes_and_all_points():
     for a, b, c, low, high in zip(tree.start, tree.end, tree.child, tree.low, tree.high, strict=True):
         assert (tree.points[a:b].min(0) == low).all() and (tree.points[a:b].max(0) == high).all()
         assert b - a <= 16 if c < 0 else (tree.start[c], tree.end[c], tree.start[c + 1], tree.end[c + 1]) == (a, a + (b - a) // 2, a + (b - a) // 2, b)
+
+
+def test_parts_lie_in_space():
+    rng = np.random.default_rng(2)
+    points = np.concatenate([rng.normal(10 * k, 0.1, (200, 3)) for k in range(4)] + [np.full((400, 3), 5.0)])
+    top = kdtree.splits(points[rng.permutation(len(points))[:500]], 8)
+    part = kdtree.walk(top, points)
+    assert set(part.tolist()) == set(range(len(set(part.tolist())))) and len(set(part.tolist())) >= 4
+    boxes = {p: (points[part == p].min(0), points[part == p].max(0)) for p in set(part.tolist())}
+    apart = [(a, b) for a in boxes for b in boxes if a < b and ((boxes[a][0] > boxes[b][1]) | (boxes[b][0] > boxes[a][1])).any()]
+    assert len(apart) == len(boxes) * (len(boxes) - 1) // 2
+    assert kdtree.walk(kdtree.splits(np.zeros((0, 3)), 5), points).tolist() == [0] * len(points)
+    assert kdtree.walk(kdtree.splits(np.ones((50, 3)), 5), points).max() == 0  # equal points are one part
+
+
+def test_queries_go_where_they_may_win(spark):
+    """Far clusters: after the first rounds few root boxes can beat a query's k-th score."""
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(0, 1, (300, 4)) + np.eye(4)[k] * 40 for k in range(4)])
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    rows = kdtree.clean(frame, "vec_id", "embedding", None)
+    made = kdtree.shards(rows, F.lit(40.0), 8).cache()
+    n = made.count()
+    boxes = kdtree.roots(made, 0, n)
+    known = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([points[0].tolist(), points[1].tolist()]), pa.array([4, 4], pa.int32()), pa.array([sorted(points @ points[0])[-5:], []], pa.list_(pa.float64()))], ["id", "v", "dim", "known"])
+    shared = type("Shared", (), {"value": boxes})
+    sent = [b for batch in kdtree._routed(shared, 5)([known]) for b in batch.to_pylist()]
+    assert sum(s["id"] == 1 for s in sent) == n and 0 < sum(s["id"] == 0 for s in sent) < n / 2
