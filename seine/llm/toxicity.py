@@ -63,9 +63,9 @@ BEGIN, END = 31, 30
 
 
 def units(text: str) -> list[str]:
-    """The words of a text, lower-cased, and what single symbols with gaps between them spell."""
+    """The words of a text, lower-cased and without marks around them, and what single symbols with gaps between them spell."""
     text = text.lower()
-    found = text.split()
+    found = [w.strip(STRIP) for w in text.split()]
     if (spaced := SPACED.findall(text)):
         found += ["".join(LETTERS.findall(s)) for s in spaced]
     return found
@@ -93,8 +93,26 @@ def codes(words: list[str]) -> np.ndarray:
 
 
 def self_kernel(code: np.ndarray) -> np.ndarray:
-    """k(w, w) of equally long words, by the kernel's recursion over prefixes."""
-    return cross_kernel(code, code)
+    """k(w, w) of equally long words: cross_kernel's recursion, of which both halves are the same; words lie side by side."""
+    symbols = np.ascontiguousarray(code.T)
+    n, rows = symbols.shape
+    same = [[(symbols[i] == symbols[j]) * DECAY**2 for j in range(i + 1)] for i in range(n)]
+    before = np.ones((n + 1, n + 1, rows))
+    for _ in range(LENGTH - 1):
+        now = np.zeros((n + 1, n + 1, rows))
+        for i in range(1, n + 1):
+            run = np.zeros(rows)
+            for j in range(1, i + 1):
+                run *= DECAY
+                run += same[i - 1][j - 1] * before[i - 1, j - 1]
+                now[i, j] = DECAY * (now[i - 1, j] if j < i else now[i, i - 1]) + run
+                now[j, i] = now[i, j]
+        before = now
+    total = np.zeros(rows)
+    for i in range(n):
+        for j in range(i + 1):
+            total += (1 + (j < i)) * same[i][j] * before[i, j]
+    return total
 
 
 def cross_kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -302,9 +320,9 @@ def _judge(shared):
                 fresh = list({u for words in cut for u in words if u not in known})
                 known.update(zip(fresh, model.margins(fresh), strict=True))
                 for words in cut:
-                    best = max(words, key=known.__getitem__, default=None)
-                    bags.append(bag(list(map(known.__getitem__, words))))
-                    tops.append("" if best is None else max(variants(best), key=len))
+                    margins = list(map(known.__getitem__, words))
+                    bags.append(bag(margins))
+                    tops.append(max(variants(words[margins.index(max(margins))]), key=len) if margins else "")
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.list_(pa.float64())), pa.array(tops, pa.string()), *batch.columns[1:]], ["bag", "top", *batch.schema.names[1:]])
 
     return run
