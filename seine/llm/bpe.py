@@ -294,7 +294,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, carry: list[str], text:
         pieces = [b""] * (max(encoder.ranks.values(), default=-1) + 1)
         for piece, rank in encoder.ranks.items():
             pieces[rank] = piece
-        for batch in (whole.slice(start, 1_000) for whole in batches for start in range(0, whole.num_rows, 1_000)):
+        for batch in common.slices(batches):
             texts = [t or "" for t in batch.column(0).to_pylist()]
             ids = list(encoder.encode(texts))
             same = [b"".join(map(pieces.__getitem__, x)) == t.encode() for x, t in zip(ids, texts, strict=True)]

@@ -70,6 +70,13 @@ def remembered(owner, make):
     return _worker[owner]
 
 
+def slices(batches: Iterator, rows: int = 1_000) -> Iterator:
+    """Arrow batches in pieces of at most `rows` rows, so that what a step makes of one stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def forget() -> None:
     """Frees what this worker remembers; for steps that remember nothing themselves and need the room."""
     _worker.clear()

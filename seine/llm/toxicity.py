@@ -233,7 +233,7 @@ def likeness(words: list[str], marks: list[dict[int, float]]) -> np.ndarray:
     for n, members in by_length(words).items():
         if n + 1 < LENGTH:
             continue
-        step = max(1, 8_000_000 // (len(gapped(n + 1)[0]) * len(marks)))
+        step = max(1, 2_000_000 // (len(gapped(n + 1)[0]) * len(marks)))
         for start in range(0, len(members), step):
             some = members[start : start + step]
             code = codes([words[i] for i in some])
@@ -311,7 +311,7 @@ def _judge(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         known = known_to(model)
-        for batch in batches:
+        for batch in common.slices(batches, 2_000):
             bags, tops = [], []
             for start in range(0, batch.num_rows, 400):
                 cut = [units(t or "") for t in batch.column(0).slice(start, 400).to_pylist()]
