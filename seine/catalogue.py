@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seine.registered import crawls, extracts, geography, plans, records, rejections, requests, rules, sets, stores, studies, texts
+from seine.registered import crawls, extracts, geography, plans, records, rejections, requests, rules, sets, shown, stores, studies, texts
 
-_PARTS = (texts, records, plans, extracts, sets, rules, geography, crawls, requests, stores, rejections, studies)
+_PARTS = (texts, records, plans, extracts, sets, rules, geography, crawls, requests, stores, rejections, studies, shown)
 flagship = records.flagship
 
 
