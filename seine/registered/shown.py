@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seine.operators import frames
+from seine.operators import frames, summaries
 from seine.registered.requests import _choose, _pick
 from seine.session import table
 from seine.sources import fixtures
@@ -90,3 +90,19 @@ _add(
   m AS (SELECT c_custkey, CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, n_name[1] AS value, min(rank * 1000 + n_nationkey) AS o FROM c JOIN nation ON n_regionkey = pack GROUP BY ALL)
   SELECT c_custkey, kind, (row_number() OVER (PARTITION BY c_custkey, kind ORDER BY o) - 1)::INTEGER AS n, value FROM m""",
 )
+
+_TALK = ("We drill wells. We log them! And more. ", "", "One sentence only", "Is it so? It is.  Yes.")
+
+
+def _summarised(spark, d):
+    rows = fixtures.records(spark, d).withColumn("description", F.concat(_choose(_TALK, F.col("seq")), "description")).withColumn("notes", _choose(("", "noted", "  "), F.col("seq")))
+    return summaries.summarised(rows, "company").select("seq", "summary_text", "notes")
+
+
+_TOLD = f"""trim(regexp_replace(concat_ws(' ', nullif({_of("company_name")}, ''), nullif({_of("description")}, ''), nullif({_of("hq_country", "country")}, ''), nullif({_of("website")}, '')), '\\s+', ' ', 'g'))"""
+_add(
+    "summarised", _summarised,
+    f"""WITH r AS (SELECT seq, company_name, {_pick(_TALK, 'seq')} || description AS description, hq_country, country, website, {_pick(('', 'noted', '  '), 'seq')} AS notes FROM {R}),
+  s AS (SELECT seq, notes, array_to_string(list_filter(string_split(regexp_replace({_TOLD}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')[1:2], ' ') AS summary_text FROM r)
+  SELECT seq, summary_text, CASE WHEN trim(notes) <> '' THEN notes ELSE summary_text END AS notes FROM s""",
+)
