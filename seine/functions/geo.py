@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seine.functions.text import bound, clean, text_of
 
-# Spellings of countries, and members of regions.
+# Own defaults of an early table: spellings of countries, and members of regions. The whole table is that of `gazetteer`.
 SPELLINGS = {
     "usa": ("usa", "u.s.a", "united states", "america", "new york", "houston", "texas", "california", "chicago"),
     "uk": ("uk", "united kingdom", "england", "scotland", "wales", "britain", "london", "aberdeen", "manchester"),

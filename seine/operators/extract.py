@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seine.functions import html, text, urls
 
-# Words that tell kinds of pages, and the terms and industries of domain packs.
+# Own defaults: words that tell kinds of pages, and the terms and industries of domain packs.
 DIRECTORY = r"directory|list of|top [0-9]+|yellow ?pages|companies in"
 MEDIA = r"news|magazine|press release|newspaper"
 BLOG = r"blog|/post/|opinion"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seine.functions import names, text, urls
 from seine.operators import filters, resolve
 
-# Words that speak for a kind of organisation.
+# Own defaults for categories, and fixed values for intents: words that speak for them.
 CATEGORY_ALIASES = {
     "service_company": ("contractor", "engineering services", "maintenance", "field services"),
     "software_company": ("software", "saas", "platform", "analytics", "automation", "cloud"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seine.functions import geo
 from seine.functions.text import bound, clean
 
-# Words that decide, in the order in which they are tried.
+# Own defaults: words that decide, in the order in which they are tried. The whole lists are those of `parser`.
 TASK_TYPES = (
     ("people_search", r"\b(linkedin|people|engineers?|managers?|directors?|executives?)\b"),
     ("document_research", r"\b(papers?|articles?|journals?|literature|studies|research)\b"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from seine.functions import labels, papers, text
+from seine.functions import labels, ontology, papers, text
+from seine.operators import extract
 from seine.plans import critic, languages, people
 from seine.registered.requests import _choose, _list, _pick
 from seine.session import table
@@ -165,3 +166,49 @@ _add(
     UNION ALL SELECT doc_id, 2, 'warning', 'strict_without_geo' FROM t WHERE strict AND NOT placed UNION ALL SELECT doc_id, 3, 'info', 'commercial_non_company' FROM t WHERE intent <> 'general' AND thing NOT IN ('company', ''))
   SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INTEGER AS n, severity, code FROM i""",
 )
+
+# --- kinds of pages and papers, with words planted ---------------------------------------------------------------------------
+
+_HEADS = ("Top 10 vendors", "Press release", "Our blog", "Home of wells", "Newsroom", "How to drill", "Directory")
+_KIND = f"lower(url || ' ' || {_pick(_HEADS, 'page_id')})"
+_add(
+    "page_types_planted", lambda spark, d: table(spark, d, "pages").select("page_id", extract.page_type(F.col("url"), _choose(_HEADS, F.col("page_id")), F.when(F.col("page_id") % 3 > 0, F.col("html"))).alias("page_type")),
+    f"SELECT page_id, CASE WHEN regexp_matches({_KIND}, '{extract.DIRECTORY}') THEN 'directory' WHEN regexp_matches({_KIND}, '{extract.MEDIA}') THEN 'media' WHEN regexp_matches({_KIND}, '{extract.BLOG}') THEN 'blog' WHEN page_id % 3 = 0 OR trim(coalesce(html, '')) = '' THEN 'unknown' ELSE 'company' END AS page_type FROM pages",
+)
+_SUBJECTS = ("a survey of wells", "an algorithm", "laboratory notes", "field trials", "a software library", "nothing else")
+_SAID = f"lower({_pick(_SUBJECTS, 'doc_id')} || ' ' || coalesce(text, ''))"
+_add(
+    "paper_focus_planted", lambda spark, d: table(spark, d, "documents").select("doc_id", extract.focus(_choose(_SUBJECTS, F.col("doc_id")), F.coalesce("text", F.lit(""))).alias("focus")),
+    f"SELECT doc_id, CASE WHEN regexp_matches({_SAID}, '\\b(review|survey|overview)\\b') THEN 'review' WHEN regexp_matches({_SAID}, '\\b(method|algorithm|framework|model)') THEN 'method' WHEN regexp_matches({_SAID}, '\\b(experiment|laboratory|measurement)') THEN 'experiment' WHEN regexp_matches({_SAID}, '\\b(case study|field)\\b') THEN 'case study' WHEN regexp_matches({_SAID}, '\\b(software|tool|library)\\b') THEN 'software' ELSE 'general' END AS focus FROM documents",
+)
+
+# --- labels of texts ---------------------------------------------------------------------------------------------------------
+
+_WORDS = [w for t in (ontology.ENTITIES, ontology.CATEGORIES, ontology.INTENTS, ontology.INDUSTRIES, ontology.SOLUTIONS, ontology.DOMAINS) for words in t.values() for w in words]
+_ABOUT = lambda: F.concat(_choose(_WORDS, F.col("doc_id") * 7), F.lit(" and "), _choose(_WORDS, F.col("doc_id") * 11 + 3), F.lit(" / "), F.substring(F.coalesce("text", F.lit("")), 1, 60))
+_ABOUT_SQL = f"""trim(regexp_replace(translate(lower(trim({_pick(_WORDS, '(doc_id * 7)')} || ' and ' || {_pick(_WORDS, '(doc_id * 11 + 3)')} || ' / ' || coalesce(text, '')[1:60])), chr(1600) || chr(8207) || chr(8206), ''), '\\s+', ' ', 'g'))"""
+
+
+def _found_sql(labels: dict) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN len(list_filter({_list(map(ontology.label, (k, *v)))}, lambda w: contains(t, w))) > 0 THEN '{k}' END" for k, v in labels.items()) + "], lambda x: x IS NOT NULL), ',')"
+
+
+def _voted_sql(labels: dict) -> str:
+    votes = ", ".join(f"{{'n': -len(list_filter({_list(map(ontology.label, v))}, lambda w: contains(t, w))), 'name': '{k}'}}" for k, v in labels.items() if v and k != "general")
+    return f"CASE WHEN list_min([{votes}]).n < 0 THEN list_min([{votes}]).name ELSE 'general' END"
+
+
+def _labelled(spark, d):
+    said = table(spark, d, "documents").select("doc_id", _ABOUT().alias("t"))
+    joined = lambda c: F.array_join(c, ",")
+    return said.select(
+        "doc_id", joined(ontology.entity_types(F.col("t"))).alias("entities"), ontology.voted(F.col("t"), ontology.CATEGORIES).alias("category"), ontology.voted(F.col("t"), ontology.INTENTS).alias("intent"),
+        joined(ontology.found(F.col("t"), ontology.INDUSTRIES)).alias("industries"), joined(ontology.found(F.col("t"), ontology.SOLUTIONS)).alias("solutions"), joined(ontology.found(F.col("t"), ontology.DOMAINS)).alias("domains"),
+    )
+
+
+_add(
+    "ontology_labels", _labelled,
+    f"""SELECT doc_id, coalesce(nullif({_found_sql(ontology.ENTITIES)}, ''), 'company') AS entities, {_voted_sql(ontology.CATEGORIES)} AS category, {_voted_sql(ontology.INTENTS)} AS intent, {_found_sql(ontology.INDUSTRIES)} AS industries,
+  {_found_sql(ontology.SOLUTIONS)} AS solutions, {_found_sql(ontology.DOMAINS)} AS domains FROM (SELECT doc_id, {_ABOUT_SQL} AS t FROM documents)""",
+)
