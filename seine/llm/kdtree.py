@@ -174,7 +174,8 @@ def shards(rows: DataFrame, per_shard: Column, leaf: int) -> DataFrame:
     wide = max((r.dim for r in sizes if r.n > 1), default=0)
     tops: dict[int, np.ndarray] = {}
     if wide:
-        some = rows.filter(F.col("dim").isin([r.dim for r in sizes if r.n > 1])).orderBy(F.xxhash64("id", "v")).limit(max(1, SAMPLE_BYTES // (8 * wide))).select("dim", "v").collect()
+        large = rows.filter(F.col("dim").isin([r.dim for r in sizes if r.n > 1])).select("id", "v", "dim")
+        some = common.least_by_hash(large, ["id", "v"], max(1, SAMPLE_BYTES // (8 * wide))).collect()
         tops = {r.dim: splits(np.array([x.v for x in some if x.dim == r.dim]).reshape(-1, r.dim), r.n) for r in sizes if r.n > 1}
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
