@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seine.llm import common
-from seine.llm.components import components
+from seine.llm.components import components, forest
 from seine.session import table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -199,23 +199,6 @@ def dealt(rows: DataFrame, block: int, tau: int, split: int = SPLIT) -> DataFram
     return whole.select("fp", "probe", "value", "sub", F.explode(others).alias("o")).select("fp", "probe", "value", "sub", "o.a", "o.b")
 
 
-def forest(left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of n nodes with the given links: each node to the least of its component."""
-    root = np.arange(n)
-    while len(left):
-        a, b = root[left], root[right]
-        differ = a != b
-        if not differ.any():
-            break
-        left, right, a, b = left[differ], right[differ], a[differ], b[differ]
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        np.minimum.at(root, high, low)
-        while (root[root] != root).any():
-            root = root[root]
-    node = np.flatnonzero(root != np.arange(n))
-    return node, root[node]
-
-
 def _links(values: np.ndarray, bucket: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
     """Forest edges (as fingerprints) among rows sorted by bucket. Rows at distance d in the order are compared for
     d = 1, 2, ..., as long as some bucket is that long, and folded as they come, so pairs never pile up."""
