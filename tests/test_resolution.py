@@ -122,6 +122,17 @@ def test_no_similar_names_are_lost(spark, seed, n, block):
     assert got == want and len(want) > 300
 
 
+def test_similar_names_by_edges_repeats_and_width(spark):
+    odd = ["lpha zet", "alpha zeta zet", "r s r", "ur s ra", "l alpha p", "xl alpha pxl", "l l", "ll l", "\u00a0", "\u2003", " ".join(f"w{i}" for i in range(30)), "z " + " ".join(f"w{i}" for i in range(3, 30)), "w4 w5 w6"]
+    rows = [(i, c, "".join(w[0] for w in c.split()) if " " in c else "", i % 2 == 0) for i, c in enumerate(odd)]
+    frame = spark.createDataFrame(rows, "id long, clean string, short string, new boolean")
+    want = {(i, j) for i, a, x, _ in rows for j, b, y, _ in rows if i < j and names.similar(a, b, x, y)}
+    assert len(want) > 4
+    for across, kept in ((False, lambda i, j: i % 2 == 0 or j % 2 == 0), (True, lambda i, j: i % 2 != j % 2)):
+        got = [tuple(r) for r in namejoin.similar_pairs(frame, 5, fresh="new", across=across).collect()]
+        assert sorted(got) == sorted(p for p in want if kept(*p))
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
