@@ -7,11 +7,12 @@ paragraphs that the page leaves open end where the next one begins; a closing ta
 that closes nothing is passed over. Text of scripts, styles and templates has the tag #script, other text #text.
 
 Defined results: null and empty pages have node 0 alone; of an attribute that stands twice the first counts; an attribute
-without a value is empty.
+without a value is empty; a character reference counts where a semicolon ends it, else it is text as it stands.
 """
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -31,6 +32,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)} | {b: ("p",) for b in BLOCKS}
 HIDDEN = ("script", "style", "template")
+#: Comments, scripts and styles, in which references are not read; and an ampersand that begins no whole reference.
+_BARE = re.compile(r"<!--.*?-->|<(script|style)\b.*?(?:</\1|\Z)|&(?!(?:[a-z][a-z0-9]*|#[0-9]+|#x[0-9a-f]+);)", re.I | re.S)
 
 
 class _Reader(HTMLParser):
@@ -72,7 +75,7 @@ class _Reader(HTMLParser):
 
 def read(html: str | None) -> list[dict]:
     reader = _Reader()
-    reader.feed(html or "")
+    reader.feed(_BARE.sub(lambda m: "&amp;" if m[0] == "&" else m[0], html or ""))
     reader.close()
     for node in reversed(reader.nodes[1:]):
         up = reader.nodes[node["parent"]]

@@ -68,3 +68,10 @@ def test_functions_of_nodes(spark):
     ns = N.nodes(F.col("html"))
     r = page.select(ns.alias("n")).select(N.title(F.col("n")).alias("t"), N.anchors(F.col("n")).alias("a"), N.meta(F.col("n"), "none", "k").alias("m"), N.main_text(F.col("n")).alias("main"), N.joined(F.col("n")).alias("all")).first()
     assert (r.t, [tuple(a) for a in r.a], r.m, r.main, r.all) == ("T", [("/x", "go on")], "v", "m", "T U go on none m n")
+
+
+def test_references_without_a_semicolon_are_text():
+    page = '<p title="?a&copy=1&amp;b">x&amp y&amp; &#65 &#65; &lt</p><script>a && b &amp; c</script><!-- & <script> --><p>d&amp'
+    read = N.read(page)
+    assert [n["text"] for n in read if n["text"]] == ["x&amp y& &#65 A &lt", "a && b &amp; c", "d&amp"]
+    assert dict(read[1]["attrs"]) == {"title": "?a&copy=1&b"}
