@@ -32,6 +32,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)} | {b: ("p",) for b in BLOCKS}
 HIDDEN = ("script", "style", "template")
+#: Pages that a task holds as Python objects.
+AT_ONCE = 32
 #: Comments, scripts and styles, in which references are not read; and an ampersand that begins no whole reference.
 _BARE = re.compile(r"<!--.*?-->|<(script|style)\b.*?(?:</\1|\Z)|&(?!(?:[a-z][a-z0-9]*|#[0-9]+|#x[0-9a-f]+);)", re.I | re.S)
 
@@ -85,8 +87,9 @@ def read(html: str | None) -> list[dict]:
 
 @F.arrow_udf(T.ArrayType(NODE))
 def nodes(html: pa.Array) -> pa.Array:
-    """The nodes of pages."""
-    return pa.array([read(h) for h in html.to_pylist()], _ARROW)
+    """The nodes of pages, read a few at a time: as Python objects they take many times their room in Arrow."""
+    some = [pa.array([read(h.as_py()) for h in html[k : k + AT_ONCE]], _ARROW) for k in range(0, len(html), AT_ONCE)]
+    return pa.concat_arrays(some) if some else pa.array([], _ARROW)
 
 
 def attribute(node: Column, name: str) -> Column:

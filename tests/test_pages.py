@@ -75,3 +75,21 @@ def test_references_without_a_semicolon_are_text():
     read = N.read(page)
     assert [n["text"] for n in read if n["text"]] == ["x&amp y& &#65 A &lt", "a && b &amp; c", "d&amp"]
     assert dict(read[1]["attrs"]) == {"title": "?a&copy=1&b"}
+
+
+def test_few_pages_are_held_as_objects(monkeypatch):
+    import gc
+
+    import pyarrow as pa
+
+    most, plain = [0], N.read
+
+    def watched(html):
+        read = plain(html)
+        most[0] = max(most[0], sum(isinstance(o, dict) and "parent" in o for o in gc.get_objects()))
+        return read
+
+    monkeypatch.setattr(N, "read", watched)
+    pages_ = [f"<p>{i}</p>" for i in range(5 * N.AT_ONCE + 3)]
+    assert N.nodes.func(pa.array([*pages_, None])).to_pylist()[-2][2]["text"] == str(len(pages_) - 1)
+    assert most[0] <= 2 * 3 * (N.AT_ONCE + 1)  # a group, and the one before until it is let go
