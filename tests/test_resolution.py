@@ -183,3 +183,13 @@ def test_evidence_and_labels_of_odd_values(spark):
     assert [r.n for r in got] == ["evidence:page", "n | evidence:page", "evidence:page: Oslo and KSA | keywords: Oslo and KSA"]
     one = spark.range(1).select(labels.category(F.lit(None)).alias("a"), labels.level(F.lit("HR lead")).alias("b"), labels.file_name(F.lit(" a.PDF "), F.lit("csv")).alias("c"), labels.json_in(F.lit("no json")).alias("d"), geo.contains_country(F.lit("from Houston"), "USA").alias("e"), geo.contains_country(F.lit("in Peru"), "Peru").alias("f"), text.hits(F.lit("ab"), []).alias("g")).first()
     assert tuple(one) == ("General", "HR and talent acquisition", "a.csv", None, True, True, 0)
+
+
+def test_meetings_deal_rows_once(spark):
+    """Rows that ask and rows that are there are shuffled once by their key, however often a key is held; before, three times."""
+    rows = spark.createDataFrame([(k % 3, k) for k in range(40)], "key int, id int")
+    asked, there = (rows.select("key", F.struct("id").alias(s)) for s in ("x", "y"))
+    met = namejoin._met(asked, there, 4, F.lit(True))
+    plan = met._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("Join") == 3
+    assert sorted((r.x.id, r.y.id) for r in met.collect()) == [(a, b) for a in range(40) for b in range(40) if a != b and a % 3 == b % 3]
