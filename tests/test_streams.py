@@ -80,3 +80,11 @@ def test_snapshots(spark):
         old = sets[n - 1] if n else set()
         want |= {(n, k, "kept" if k in old and k in keys else "added" if k in keys else "removed") for k in old | keys}
     assert got == want
+
+
+def test_states_meet_rows_not_frames(spark):
+    """One key's few rows cost no pandas frame; before, each key of each micro-batch made two."""
+    stream = spark.readStream.format("rate").load().selectExpr("timestamp as at", "value as number", "value % 9 as k")
+    for rows in (state.cache(stream, ["k"], "at", "number", 9), state.budget(stream, ["k"], "k", "at", "number", 7, 3, 9)):
+        plan = rows._jdf.queryExecution().analyzed().toString()
+        assert "TransformWithState" in plan and "InPandas" not in plan
