@@ -27,7 +27,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts with five-word-shingle similarity 0.8 or more the document with the least doc_id stays."""
+    """Of each component of texts with five-word-shingle similarity 0.8 or more the document with the least doc_id stays.
+
+    Candidates by SimHash fingerprints and the generalised pigeonhole, links by their exact similarity."""
     return resemblance.keep_one(docs)
 
 

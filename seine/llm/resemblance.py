@@ -1,18 +1,19 @@
 """Near-duplicates by resemblance: five-word shingle sets of Jaccard similarity 0.8 or more, checked exactly.
 
-Texts with the same set of shingles are one node. Candidates are two nodes that agree in one of BANDS bands of ROWS MinHash
-values each: at J = 0.8 a band agrees with probability 0.41, so a pair is missed with probability 0.59 ** 24 (3e-6) or
-less, while texts that share a header or a passage alone hardly ever meet. Candidates whose sizes rule out 0.8, or whose
-fingerprints (SimHash of the set) differ in more than TAU of 64 bits, are not looked at: at J = 0.8 a bit differs with
-probability 0.15, 10 of 64 on average. Nor are those whose least hashes in BINS bins of the hash range agree in too few
-bins: at J = 0.8 a bin agrees with probability 0.8, and what lies five standard deviations below that is left out (of 128
-bins, under 80: probability below 2e-5 at J = 0.8).
+Texts with the same set of shingles are one node. Candidates come from SimHash fingerprints of the sets by the generalised
+pigeonhole of simhash: bits that go together are grouped into partitions, a dynamic program over estimated candidate counts
+gives each partition a threshold (-1 leaves it out), and two nodes are compared if they agree in a partition but for so many
+bits. At J = 0.8 a bit differs with probability 0.15, 10 of 64 on average, where no threshold on 64 bits tells pairs apart;
+so fingerprints have 512 bits here, and thresholds are given such that two nodes of J = 0.8 share no probe with a probability
+of LOST (2e-5) or less. Sets of up to SMALL shingles, of whose pairs up to 0.19 of the bits differ, are probed by all
+partitions. Candidates whose sizes rule out 0.8 are not looked at, nor are those that differ in more bits than
+J = 0.8 lets expect by over four standard deviations, of the first 64 (probability below 4e-5) or of all 512 (below 1e-5).
 
 Candidates are not passed on as pairs but as the groups that they hang together in. A first round compares each row with
-NEXT neighbours in its part of a bucket, which ties large groups together for a few comparisons a row; a second one takes
-every candidate across what the first tied, buckets of one group apart, which are skipped. Each task passes on a spanning
+NEXT neighbours in its part of a bucket, whose rows agree in two partitions, which ties large groups together for a few
+comparisons a row; a second one takes every candidate across what the first tied, buckets of one group apart, which are skipped. Each task passes on a spanning
 forest. Within a group all texts are then compared with each other on their shingle sets (of 64-bit hashes), in pairs of
-blocks of HELD texts, the sketches first; a task passes on a spanning forest of the links that hold. So every link that
+blocks of HELD texts, the fingerprints first; a task passes on a spanning forest of the links that hold. So every link that
 joins two texts was verified, and no table has a row for each pair.
 
 Defined results: null, empty and blank texts have the empty set and are one node; a text of up to five words is one
@@ -22,7 +23,9 @@ whole; other columns are kept, whatever their names; an empty table gives no row
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +36,14 @@ from pyspark.sql import functions as F
 from seine.llm import common, simhash
 from seine.llm.components import components
 
-WIDTH, TAU, BINS = 5, 22, 128
-BANDS, ROWS = 24, 4
+WIDTH, LOST = 5, 2e-5
+#: The probability that a bit differs at J = 0.8: the angle between the sets, by pi.
+DIFFER = math.acos(8 / 9) / math.pi
+#: Most bits that candidates differ in, of the first word and of all; of sets of up to SMALL shingles.
+TAU, SMALL, TAU_SMALL = (22, 116), 10, (28, 136)
 #: Neighbours in its part of a bucket that the first round compares a row with.
 NEXT = 6
 KEYS = ["value", "a", "b"]
-_rng = np.random.default_rng(20)
-#: The permutations h -> h * odd + shift (modulo 2 ** 64) whose least values are the MinHash values, and weights that join a band's.
-_ODD, _SHIFT, _JOIN = (_rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1) for n in (BANDS * ROWS, BANDS * ROWS, BANDS * ROWS))
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -52,55 +55,80 @@ def _node(found: np.ndarray) -> int:
     return simhash._signed(xxhash.xxh64_intdigest(found.tobytes(), 42))
 
 
-def least_by_bin(found: np.ndarray) -> bytes:
-    """Half a byte for each of BINS equal bins of the hash range: 0 if the bin is empty, or else 1 to 15 from its least hash."""
-    out = np.zeros(BINS, np.uint8)
-    of, first = np.unique(found >> np.uint64(64 - (BINS - 1).bit_length()), return_index=True)
-    out[of.astype(np.int64)] = 1 + (found[first] >> np.uint64(8) & np.uint64(0xFFFF)) % np.uint64(15)
-    return (out[::2] << 4 | out[1::2]).tobytes()
+def _close(words: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the rows i and j whose fingerprints differ in no more bits than a similarity of 0.8 lets expect."""
+    small = np.minimum(size[i], size[j]) <= SMALL
+    near = np.bitwise_count(words[0][i] ^ words[0][j]) <= np.where(small, TAU_SMALL[0], TAU[0])
+    i, j, small = i[near], j[near], small[near]
+    differ = np.zeros(len(i), np.int64)
+    for word in words:
+        differ += np.bitwise_count(word[i] ^ word[j])
+    near = differ <= np.where(small, TAU_SMALL[1], TAU[1])
+    return i[near], j[near]
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """A key for each band of MinHash values of a set of hashes; no key for the empty set, which is one node."""
-    if not len(found):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(found), 4096):
-        least = np.minimum(least, (found[start : start + 4096, None] * _ODD + _SHIFT).min(0))
-    joined = ((least ^ (least >> np.uint64(29))) * _JOIN).reshape(BANDS, ROWS).sum(1, dtype=np.uint64)
-    return (joined * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-
-
-def _alike(bins: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the bins of rows i and j agree as often as a similarity of 0.8 lets expect, less five standard deviations."""
-    out = np.zeros(len(i), bool)
-    for start in range(0, len(i), 20_000):
-        x, y = bins[i[start : start + 20_000]], bins[j[start : start + 20_000]]
-        filled = ((x | y) > 0).sum(1)
-        out[start : start + 20_000] = ((x == y) & (x > 0)).sum(1) >= 0.8 * filled - 5 * np.sqrt(0.16 * filled)
-    return out
+def _words(column: pa.ListArray) -> np.ndarray:
+    """The fingerprints of rows, a word after the other."""
+    return np.ascontiguousarray(column.flatten().to_numpy().view(np.uint64).reshape(-1, simhash.WORDS).T)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node, fp, size, bins and band keys of each document."""
+    """doc_id, node, size and the words of the fingerprint of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.forget()
         for batch in common.slices(batches):
-            node, fp, size, bins, bands = [], [], [], [], []
+            node, size, words = [], [], []
             for text in batch.column(0).to_pylist():
                 found = shingle_set(text)
                 node.append(_node(found))
-                fp.append(simhash._signed(simhash.majority(found)))
                 size.append(len(found))
-                bins.append(least_by_bin(found))
-                bands.append(band_keys(found).tolist())
-            numbers = [pa.array(x, pa.int64()) for x in (node, fp, size)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *numbers, pa.array(bins, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "fp", "size", "bins", "bands"])
+                words.append(simhash.wide_majority(found).view(np.int64).tolist())
+            numbers = [pa.array(x, pa.int64()) for x in (node, size)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *numbers, pa.array(words, pa.list_(pa.int64()))], ["doc_id", "node", "size", "words"])
 
     kept = docs.select(F.col("text").alias("seine_text"), "doc_id")
     kind = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"doc_id {kind}, node long, fp long, size long, bins binary, bands array<long>")
+    return kept.mapInArrow(run, f"doc_id {kind}, node long, size long, words array<long>")
+
+
+def pigeonhole(distinct: DataFrame) -> tuple[list[list[int]], list[int]]:
+    """Partitions of the fingerprints' bits and their thresholds: partitions of more bits for more texts."""
+    n = distinct.count()
+    some = distinct.orderBy(F.xxhash64("node"), "node").limit(simhash.SAMPLE // 2).select("words").collect()  # SAMPLE / 2 fingerprints at most
+    bits = np.unpackbits(np.array([r.words for r in some], np.int64).reshape(-1, simhash.WORDS).view(np.uint8), axis=1, bitorder="little")
+    return simhash.allocate_likely(n, bits, 8 + (n > 1 << 20) + (n > 1 << 22), DIFFER, LOST)
+
+
+def probed(distinct: DataFrame, parts: list[list[int]], thresholds: list[int]) -> DataFrame:
+    """distinct with its keys: `bands`, the probes of the partitions, and `pairs`, of two partitions each. The empty set, which is
+    one node, has none."""
+    used = [k for k, t in enumerate(thresholds) if t >= 0]
+    probes = [(k, sum(1 << b for b in range(len(parts[k])) if b not in hidden)) for k in used for hidden in combinations(range(len(parts[k])), thresholds[k])]
+    spare = [(k, (1 << len(parts[k])) - 1) for k in range(len(parts)) if thresholds[k]]  # for small sets: exact agreement
+    two = [*zip(used[::2], used[1::2], strict=False)]
+
+    def keys(values: np.ndarray, asked: list[tuple[int, int]], start: int) -> np.ndarray:
+        return np.stack([np.int64(start + at << 32) | values[k] & mask for at, (k, mask) in enumerate(asked)], 1) if asked else np.zeros((values.shape[1], 0), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
+        for batch in common.slices(batches):
+            if not batch.num_rows:
+                continue
+            size = batch.column(batch.schema.get_field_index("size")).to_numpy()
+            words = np.ascontiguousarray(_words(batch.column(batch.schema.get_field_index("words"))).T)
+            bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+            values = np.stack([bits[:, part] @ (1 << np.arange(len(part))) for part in parts])
+            usual, more = keys(values, probes, 0), keys(values, spare, len(probes))
+            pairs = np.stack([np.int64(at << 32) | values[a] << 16 | values[b] for at, (a, b) in enumerate(two)], 1) if two else usual
+            bands = [[*x, *y] if 0 < n <= SMALL else x if n else [] for n, x, y in zip(size.tolist(), usual.tolist(), more.tolist(), strict=True)]
+            both = [x if n else [] for n, x in zip(size.tolist(), pairs.tolist(), strict=True)]
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bands, kind), pa.array(both, kind)], [*batch.schema.names, "bands", "pairs"])
+
+    none = F.array().cast("array<long>")
+    return distinct.mapInArrow(run, distinct.withColumn("bands", none).withColumn("pairs", none).schema)
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -116,19 +144,19 @@ def sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
-def dealt(nodes: DataFrame, block: int, whole: bool) -> DataFrame:
-    """Rows of buckets by (value, a, b), from (node, fp, size, bins, part, bands); what is compared travels with them.
+def dealt(nodes: DataFrame, keys: str, block: int, whole: bool) -> DataFrame:
+    """Rows of buckets by (value, a, b), from (node, size, words, part) and their keys; what is compared travels with them.
 
     A bucket of over `block` rows is parted into blocks; whole: it then appears for each two of them, else its blocks are apart.
     """
-    rows = nodes.select("node", "fp", "size", "bins", "part", F.explode("bands").alias("value"))
-    counts = nodes.select(F.explode("bands").alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    rows = nodes.select("node", "size", "words", "part", F.explode(keys).alias("value"))
+    counts = nodes.select(F.explode(keys).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
     large = common.store(counts.filter(F.col("n") > block).select("value", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "near-buckets")
     if large.isEmpty():
         return rows.withColumn("a", F.lit(0)).withColumn("b", F.lit(0))
     member = common.salted_join(rows, large, ["value"], "node", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     member = member.withColumn("mine", F.pmod(F.xxhash64("node", "value"), F.col("blocks")).cast("int"))
-    columns = ["node", "fp", "size", "bins", "part", "value"]
+    columns = ["node", "size", "words", "part", "value"]
     if not whole:
         return member.select(*columns, F.col("mine").alias("a"), F.col("mine").alias("b"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("a"), F.greatest("mine", o).alias("b")))
@@ -137,12 +165,12 @@ def dealt(nodes: DataFrame, block: int, whole: bool) -> DataFrame:
 
 #: A batch of dealt rows as arrays by name.
 Rows = dict[str, np.ndarray]
-NUMBERS = ("node", "fp", "size", "part", *KEYS)
+NUMBERS = ("node", "size", "part", *KEYS)
 
 
 def _rows(batch: pa.RecordBatch) -> Rows:
     out = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in NUMBERS}
-    return out | {"bins": np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, BINS // 2)}
+    return out | {"words": _words(batch.column("words")).T}
 
 
 def _taken(rows: Rows, which: np.ndarray) -> Rows:
@@ -167,19 +195,15 @@ def _of_several_parts(rows: Rows) -> Rows:
 
 def _near(rows: Rows, farthest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of the candidates among rows sorted by bucket, by their distance in the order, up to the farthest."""
-    bucket, bits, size, part = _buckets(rows), np.ascontiguousarray(rows["fp"]).view(np.uint64), rows["size"], rows["part"]
-    bins = np.hstack([rows["bins"] >> 4, rows["bins"] & 15])
+    bucket, words, size, part = _buckets(rows), np.ascontiguousarray(rows["words"].T), rows["size"], rows["part"]
     at, d = np.arange(len(bucket) - 1), 1
     at = at[bucket[at] == bucket[at + 1]]
     while len(at) and d <= farthest:
-        to = at + d
-        fits = (part[at] != part[to]) & (np.minimum(size[at], size[to]) * 5 >= np.maximum(size[at], size[to]) * 4)
-        i, j = at[fits], to[fits]
-        near = np.bitwise_count(bits[i] ^ bits[j]) <= TAU
-        i, j = i[near], j[near]
-        alike = _alike(bins, i, j)
-        if alike.any():
-            yield i[alike], j[alike]
+        at = at[size[at] * 5 >= size[at + d] * 4]  # sizes grow within a bucket: what is too far stays so
+        apart = at[part[at] != part[at + d]]
+        i, j = _close(words, size, apart, apart + d)
+        if len(i):
+            yield i, j
         d += 1
         at = at[at + d < len(bucket)]
         at = at[bucket[at] == bucket[at + d]]
@@ -244,7 +268,7 @@ def _held(own: np.ndarray, other: np.ndarray) -> bool:
     return shared * 9 >= (len(few) + len(many)) * 4  # Jaccard 0.8: shared / (both - shared) >= 4 / 5
 
 
-def _linked(node: list[int], mine: list[int], bits: np.ndarray, bins: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+def _linked(node: list[int], mine: list[int], words: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
     """A spanning forest of the links between all texts of a pair of blocks, the likelier ones first."""
     n = len(node)
     size, block = np.array([*map(len, sets)]), np.array(mine)
@@ -252,11 +276,9 @@ def _linked(node: list[int], mine: list[int], bits: np.ndarray, bins: np.ndarray
     if n and block.min() != block.max():
         cross = block[i] != block[j]  # pairs within a block are compared where it meets itself
         i, j = i[cross], j[cross]
-    fits = (np.minimum(size[i], size[j]) * 5 >= np.maximum(size[i], size[j]) * 4) & (np.bitwise_count(bits[i] ^ bits[j]) <= TAU)
-    i, j = i[fits], j[fits]
-    alike = _alike(bins, i, j)
-    i, j = i[alike], j[alike]
-    order = np.argsort(np.bitwise_count(bits[i] ^ bits[j]), kind="stable")
+    fits = np.minimum(size[i], size[j]) * 5 >= np.maximum(size[i], size[j]) * 4
+    i, j = _close(words, size, i[fits], j[fits])
+    order = np.argsort(np.bitwise_count(words[0][i] ^ words[0][j]), kind="stable")
     root, src, dst = [*range(n)], [], []
 
     def top(k: int) -> int:
@@ -274,18 +296,17 @@ def _linked(node: list[int], mine: list[int], bits: np.ndarray, bins: np.ndarray
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (root, a, b, mine, node, fp, bins, hashes) in the order of (root, a, b) -> the links (src, dst) that hold."""
+    """Rows (root, a, b, mine, node, words, hashes) in the order of (root, a, b) -> the links (src, dst) that hold."""
     common.forget()
     place, rows = None, []
 
     def done() -> pa.RecordBatch:
-        mine, node, fp, packed, sets = zip(*rows, strict=True)
-        both = np.frombuffer(b"".join(packed), np.uint8).reshape(len(rows), BINS // 2)
-        src, dst = _linked([*node], [*mine], np.array(fp, np.int64).view(np.uint64), np.hstack([both >> 4, both & 15]), [*sets])
+        mine, node, words, sets = zip(*rows, strict=True)
+        src, dst = _linked([*node], [*mine], np.ascontiguousarray(np.array(words, np.int64).view(np.uint64).T), [*sets])
         return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in (*PLACE, "mine", "node", "fp", "bins")]
+        columns = [batch.column(n).to_pylist() for n in (*PLACE, "mine", "node", "words")]
         hashes = batch.column("hashes")
         offsets, values = hashes.offsets.to_numpy(), hashes.values.to_numpy().view(np.uint64)
         for k, (root, a, b, *row) in enumerate(zip(*columns, strict=True)):
@@ -310,20 +331,21 @@ def verified(docs: DataFrame, distinct: DataFrame, grouped: DataFrame) -> DataFr
     placed = common.store(member.select("root", "node", "mine", F.explode(others).alias("o")).select("root", "node", "mine", "o.a", "o.b"), "near-places")
     # stored, so that its size is known: few ids go to where the documents are
     ids = common.store(distinct.join(grouped, "node", "left_semi").select(F.col("least").alias("seine_id")).distinct(), "near-ids")
-    held = sets(docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("seine_id")), "left_semi")).join(distinct.select("node", "fp", "bins"), "node")
+    held = sets(docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("seine_id")), "left_semi")).join(distinct.select("node", "words"), "node")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     moved = placed.join(held, "node").repartition(parts, *PLACE).sortWithinPartitions(*PLACE)
-    return moved.select(*PLACE, "mine", "node", "fp", "bins", "hashes").mapInArrow(_verify, "src long, dst long")
+    return moved.select(*PLACE, "mine", "node", "words", "hashes").mapInArrow(_verify, "src long, dst long")
 
 
 def cluster(docs: DataFrame, block: int = simhash.BLOCK) -> DataFrame:
     """doc_id, node, root and component: component is the least doc_id among all that links reach, root their least node."""
     prints = common.store(sketches(docs), "near")
-    distinct = common.store(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bins").alias("bins"), F.first("bands").alias("bands")), "near-distinct")
+    distinct = common.store(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("words").alias("words")), "near-distinct")
+    keyed = common.store(probed(distinct, *pigeonhole(distinct)), "near-keys")
 
-    near = common.store(candidates(dealt(distinct.withColumn("part", F.col("node")), block, False), False), "near-neighbours")
-    parted = distinct.join(components(near).withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    far = common.store(candidates(dealt(common.store(parted, "near-parted"), block, True), True), "near-across")
+    near = common.store(candidates(dealt(keyed.withColumn("part", F.col("node")), "pairs", block, False), False), "near-neighbours")
+    parted = keyed.join(components(near).withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    far = common.store(candidates(dealt(common.store(parted.drop("pairs"), "near-parted"), "bands", block, True), True), "near-across")
     grouped = common.store(components(near.unionByName(far)), "near-groups")
     joined = components(common.store(verified(docs, distinct, grouped), "near-links"))
     of = simhash.named_by_least(distinct, joined, "node")

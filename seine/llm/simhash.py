@@ -13,6 +13,9 @@ then still beyond a block's size is cut into blocks, and pairs of blocks are com
 group. A comparison returns the edges of a spanning forest of the links that it found, never all pairs. Components of the edges follow by alternating star
 contractions.
 
+For similarities at which a good part of the bits differs (resemblance), fingerprints of WORDS * 64 bits are grouped into
+partitions in the same way, and the dynamic program gives thresholds by the probability that no partition is shared.
+
 Defined results: null, empty and blank texts have fingerprint 0 and are linked like any other; equal fingerprints
 share a component; null ids take part and can be a component's id only if every member's id is null; repeated
 rows each come out; columns of the input other than the named ones are ignored; an empty table gives no rows.
@@ -20,6 +23,7 @@ rows each come out; columns of the input other than the named ones are ignored;
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -65,6 +69,26 @@ def majority(whole: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(whole), bitorder="little").view(np.uint64)[0])
 
 
+#: Fixed odd numbers and shifts by which a hash gives the words of a wide fingerprint after the first, which is the hash itself.
+WORDS = 8
+_rng = np.random.default_rng(20)
+_XOR, _ODD = (_rng.integers(0, 1 << 63, WORDS - 1, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+
+def wide_majority(whole: np.ndarray) -> np.ndarray:
+    """The fingerprint of WORDS * 64 bits of hashes, as words: majority() of the hashes, then of what each is mixed to."""
+    counts = np.zeros(WORDS * BITS, np.int64)
+    for at in range(0, len(whole), 4080):
+        some = whole[at : at + 4080]
+        mixed = (some[:, None] ^ _XOR) * _ODD
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        flat = np.hstack([some[:, None], mixed ^ (mixed >> np.uint64(29))])
+        bits = np.unpackbits(flat.view(np.uint8), axis=1, bitorder="little")
+        for part in range(0, len(bits), 255):  # sums of at most 255 fit a byte
+            counts += bits[part : part + 255].sum(0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(whole), bitorder="little").view(np.uint64)
+
+
 def fingerprint(text: str | None, width: int = 4) -> int:
     """Majority of the bits of XXH64 (seed 42) over shingles of `width` words, repeats included; 0 without words."""
     return majority(hashes(text, width))
@@ -114,13 +138,14 @@ def _bits(fps: np.ndarray) -> np.ndarray:
 
 def group_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     """m partitions of near-equal size; each takes, one by one, the bit most correlated with those it has."""
+    width = len(both)
     p = np.diag(both) / max(n, 1)
     var = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     strength = np.abs((both / max(n, 1) - np.outer(p, p)) / np.outer(var, var))
     np.fill_diagonal(strength, 0)
-    left, out = set(range(BITS)), []
+    left, out = set(range(width)), []
     for k in range(m):
-        size = (BITS - sum(map(len, out))) // (m - k)
+        size = (width - sum(map(len, out))) // (m - k)
         part = [min(left, key=lambda b: (-strength[b, list(left)].sum(), b))]
         left.discard(part[0])
         while len(part) < size:
@@ -165,6 +190,33 @@ def allocate(n: int, both: np.ndarray, sample: np.ndarray, tau: int, row_cost: f
     return best[1], best[2]
 
 
+def allocate_likely(n: int, sample: np.ndarray, width: int, differ: float, lost: float, row_cost: float = 2e-6, pair_cost: float = 5e-9) -> tuple[list[list[int]], list[int]]:
+    """(partitions, thresholds) of least estimated cost by which two fingerprints, each bit of which differs with the given
+    probability, share no probe with a probability of `lost` or less; all partitions at 0 if that is out of reach.
+
+    sample: bits of fingerprints, a row each, on which costs are estimated. As in allocate(), but a threshold gives what it adds to
+    -log(probability of no probe), in hundredths, in place of its part of tau.
+    """
+    parts = group_bits(len(sample), sample.T.astype(np.float32) @ sample.astype(np.float32), sample.shape[1] // width)
+    need = math.ceil(-100 * math.log(lost))
+    states: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+    for part in parts:
+        keys = sample[:, part].astype(np.int64) @ (1 << np.arange(len(part)))
+        share, same, given = agreement(keys, [*range(len(part))], 1), 0.0, {-1: (0, 0.0)}
+        for t in (0, 1):
+            rows = math.comb(len(part), t)
+            same += rows * differ**t * (1 - differ) ** (len(part) - t)
+            given[t] = int(-100 * math.log(1 - same)), n * rows * row_cost + n * n / 2 * share[t] * pair_cost
+        following: dict[int, tuple[float, list[int]]] = {}
+        for s, (cost, so_far) in states.items():
+            for t, (gain, more) in given.items():
+                to = min(need, s + gain)
+                if to not in following or cost + more < following[to][0]:
+                    following[to] = (cost + more, [*so_far, t])
+        states = following
+    return parts, states[need][1] if need in states else [0] * len(parts)
+
+
 # --- probing and verifying ---------------------------------------------------------------------------------------
 
 
