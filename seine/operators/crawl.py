@@ -19,6 +19,7 @@ from seine.functions import text, urls
 from seine.functions.text import clean
 from seine.operators import pages
 from seine.operators.gazetteer import Gazetteer
+from seine.session import stored
 
 # Paths where contacts are looked for, in the order in which they are tried.
 PATHS = (
@@ -32,12 +33,40 @@ BLOG = ("blog post", "how to guide", "tutorial")
 _EMPTY = "array<string>"
 
 
-def web(source: DataFrame, g: Gazetteer, number: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(address, crawl, structured) of the first page of each address. Pages are chosen before any is read."""
-    placed = source.select(F.col(number).alias("number"), F.col(url).alias("url"), urls.normal_url(F.col(url)).alias("address")).filter("address <> ''")
+def web(source: DataFrame, g: Gazetteer, number: str = "page_id", url: str = "url", html: str = "html", records: DataFrame | None = None) -> DataFrame:
+    """(address, crawl, structured) of the first page of each address. Pages are chosen before any is read.
+
+    records: reads those pages only that applied() or enriched() meet for these records, and stores what they say: pages at
+    their websites' addresses, at the paths that are tried there, and at what the websites' pages lead to.
+    """
+    named = source.select(F.col(number).alias("number"), F.col(url).alias("url"), F.col(html).alias("html"))
+    placed = named.select("number", "url", urls.normal_url(F.col("url")).alias("address")).filter("address <> ''")
     first = placed.groupBy("address").agg(F.min_by(F.struct("number", "url"), F.struct("number", "url")).alias("p")).select("address", "p.number", "p.url")
-    chosen = first.join(source.select(F.col(number).alias("number"), F.col(url).alias("url"), F.col(html).alias("html")).dropDuplicates(["number", "url"]), ["number", "url"])
-    return pages.crawled(pages.structured(pages.read(chosen), g), g).select("address", "crawl", "structured")
+
+    def told(chosen: DataFrame) -> DataFrame:
+        rows = named.join(chosen.select("number", "url"), ["number", "url"], "left_semi").dropDuplicates(["number", "url"])
+        addressed = rows.select(urls.normal_url(F.col("url")).alias("address"), "url", "html")
+        return pages.crawled(pages.structured(pages.read(addressed), g), g).select("address", "crawl", "structured")
+
+    if records is None:
+        return told(first)
+    first = stored(first, "web-first")
+    sites = records.select("website", urls.normal_url(F.col("website")).alias("address"))
+    homes = sites.select("address").distinct()
+    tried = sites.select(F.explode(_tried(PATHS)).alias("path")).select(urls.normal_url(F.col("path")).alias("address"))
+    asked = stored(homes.unionByName(tried).distinct(), "web-asked")
+    met = stored(told(first.join(asked, "address", "left_semi")), "web-met")
+    links = _followed(met.join(homes, "address", "left_semi"), SUBPAGES).select("address").distinct().join(asked, "address", "left_anti")
+    return met.unionByName(stored(told(first.join(links, "address", "left_semi")), "web-led-to"))
+
+
+def _tried(paths: tuple[str, ...]) -> Column:
+    return F.array(*[F.concat(urls.root_url(F.col("website")), F.lit(p)) for p in paths])
+
+
+def _followed(known: DataFrame, most: int) -> DataFrame:
+    """(of, n, address): the contact links that are followed from each page."""
+    return known.select(F.col("address").alias("of"), F.posexplode(F.slice("crawl.contact_links", 1, most)).alias("n", "link")).select("of", "n", urls.normal_url(F.col("link")).alias("address"))
 
 
 def united(*arrays: Column) -> Column:
@@ -58,8 +87,7 @@ def _first(order: str, value: Column) -> Column:
 
 def with_subpages(known: DataFrame, most: int = SUBPAGES) -> DataFrame:
     """The web with each page's contact links folded in."""
-    asked = known.select(F.col("address").alias("of"), F.posexplode(F.slice("crawl.contact_links", 1, most)).alias("n", "link")).select("of", "n", urls.normal_url(F.col("link")).alias("address"))
-    met = asked.join(known.select("address", F.col("crawl").alias("sub")), "address")
+    met = _followed(known, most).join(known.select("address", F.col("crawl").alias("sub")), "address")
     filled = [F.struct(F.col("n"), F.col("sub.text").alias("text"))]
     folded = met.groupBy("of").agg(
         _in_order("n", F.col("sub.emails")).alias("s_emails"), _in_order("n", F.col("sub.phones")).alias("s_phones"), _in_order("n", F.col("sub.presence")).alias("s_presence"),
@@ -78,7 +106,7 @@ def with_subpages(known: DataFrame, most: int = SUBPAGES) -> DataFrame:
 def probed(asked: DataFrame, known: DataFrame, most: int = MOST_PROBES, paths: tuple[str, ...] = PATHS) -> DataFrame:
     """(seq, p_emails, p_phones, p_linkedin, n_probes) for records (seq, website): pages at the paths of their sites, in order,
     until one shows a contact, `most` at the most."""
-    tried = asked.select("seq", F.posexplode(F.array(*[F.concat(urls.root_url(F.col("website")), F.lit(p)) for p in paths])).alias("n", "path"))
+    tried = asked.select("seq", F.posexplode(_tried(paths)).alias("n", "path"))
     at = tried.select("seq", "n", urls.normal_url(F.col("path")).alias("address"))
     shown = known.select("address", united(F.col("structured.emails"), F.col("crawl.emails")).alias("e"), united(F.col("structured.phones"), F.col("crawl.phones")).alias("p"), F.col("structured.linkedin_url").alias("l"))
     before = Window.partitionBy("seq").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)

@@ -33,7 +33,7 @@ def _sites(spark, d):
     source = table(spark, d, "pages").select("page_id", urls.host(F.col("url")).alias("host"), "html")
     place = F.row_number().over(Window.partitionBy("host").orderBy("page_id")) - 1
     said = F.regexp_replace(F.replace(html.visible_text(F.col("html")), F.lit("@"), F.lit(" ")), r"[\p{L}\p{M}]+", "word")
-    rows = source.select("page_id", "host", place.alias("place"), said.alias("text"))
+    rows = source.withColumn("place", place).select("page_id", "host", "place", said.alias("text"))
     number, country = F.col("page_id").cast("string"), F.element_at(F.array(*map(F.lit, _COUNTRIES)), (F.col("page_id") % 4 + 1).cast("int"))
     ld = F.format_string('<script type="application/ld+json">{"@graph": [{"@type": "Organization", "email": "ld%s@site.org", "address": {"addressCountry": "%s"}}]}</script>', number, country)
     micro = F.format_string('<div itemscope><b>Write: <i itemprop="email">micro%s@site.org<br></b></div><p itemprop="areaServed">%s', number, country)
@@ -89,8 +89,8 @@ def _records(sites):
 
 def _crawled(spark, d):
     sites = _sites(spark, d)
-    known = crawl.web(sites, gazetteer.Gazetteer(spark))
-    found = crawl.applied(_records(sites), known, filters.directory_title)
+    own = _records(sites)
+    found = crawl.applied(own, crawl.web(sites, gazetteer.Gazetteer(spark), records=own), filters.directory_title)
     return found.select("seq", "company_name", "email", "contact_page", "hq_country", "page_type", "crawled")
 
 

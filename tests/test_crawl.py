@@ -70,3 +70,19 @@ def test_from_cache(spark):
     cache = spark.createDataFrame([("a.org", '{"company_name": "Cached", "email": null}'), ("a.org", '{"company_name": "Cached", "email": null}'), ("b.org", "broken"), ("", '{"company_name": "No"}')], "domain string, value string")
     got = {r.seq: r for r in crawl.from_cache(with_domain, cache, ("company_name", "email", "description")).collect()}
     assert len(got) == 6 and (got[1].company_name, got[1].email, got[1].from_cache) == ("Cached", "", True) and (got[4].company_name, got[4].from_cache) == ("Old", False)
+
+
+def test_web_of_records_reads_what_they_meet(spark):
+    """Pages that no record meets are not read; what the records get is the same."""
+    far = [(20, "https://a.org/p7", "<p>no record leads here: far@a.org"), (21, "https://d.org/", "<p>nor here")]
+    source = spark.createDataFrame(WEB + far, "page_id long, url string, html string")
+    _, records = setup(spark)
+    g = gazetteer.Gazetteer(spark)
+    met, every = crawl.web(source, g, records=records), crawl.web(source, g)
+    paths = {"a.org": ("", "/contact", "/about", "/team"), "b.org": ("", "/contactus", "/about", "/info"), "c.org": ("", "/contact", "/about", "/support")}
+    there = {r.address for r in every.select("address").collect()}
+    assert {r.address for r in met.select("address").collect()} == {f"https://{h}{p}" for h, ps in paths.items() for p in ps} & there
+    assert {"https://a.org/p7", "https://d.org"} <= there
+    for fold in (lambda known: crawl.applied(records, known, filters.directory_title), lambda known: crawl.enriched(records, known)):
+        assert sorted(map(str, fold(met).collect())) == sorted(map(str, fold(every).collect()))
+    assert "ArrowEvalPython" not in met._jdf.queryExecution().optimizedPlan().toString()
