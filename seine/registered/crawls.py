@@ -110,7 +110,7 @@ def _enriched(spark, d):
     """Every second record has an address for mail already, and keeps it."""
     sites = _sites(spark, d)
     own = _records(sites).withColumn("email", F.when(F.col("seq") % 2 == 0, "own@mail.org").otherwise("")).withColumn("company_name", F.when(F.col("seq") % 3 == 0, "").otherwise("Old"))
-    found = crawl.enriched(own, crawl.web(sites, gazetteer.Gazetteer(spark)))
+    found = crawl.enriched(own, crawl.web(sites, gazetteer.Gazetteer(spark), records=own))
     return found.select("seq", "company_name", "email", "hq_country")
 
 
