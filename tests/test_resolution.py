@@ -193,3 +193,52 @@ def test_meetings_deal_rows_once(spark):
     plan = met._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("BroadcastHashJoin") == 2 and plan.count("Join") == 3
     assert sorted((r.x.id, r.y.id) for r in met.collect()) == [(a, b) for a in range(40) for b in range(40) if a != b and a % 3 == b % 3]
+
+
+def test_texts_in_others_meet_by_cut_words():
+    """Texts that stand in others with a word cut off meet them by a key; those whose words are all there don't ask for it."""
+    rng = random.Random(5)
+    stems = ["a", "ab", "b", "ba", "abcdefghi", "cdefghi", "abcdefg", "xabcdefghi"]
+    lists = [rng.choices(stems, k=rng.choice([1, 2, 2, 3, 4])) for _ in range(400)]
+    keys, n = [namejoin.beside(w) for w in lists], 0
+    for x, (asked, _) in zip(lists, keys, strict=True):
+        for y, (_, held) in zip(lists, keys, strict=True):
+            shared = len({*x} & {*y})
+            if " ".join(x) in " ".join(y) and not {*x} <= {*y} and shared >= max(1, min(len({*x}), len({*y})) - 1):
+                assert {*asked} & {*held}
+                n += 1
+    assert n > 50 and not {*namejoin.beside(["the", "energy"])[0]} & {*namejoin.beside(["of", "the", "energy"])[1]}
+
+
+def test_edits_to_a_piece():
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return min(row)
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abc \x00\U0001f600", k=rng.choice([1, 2, 5, 20, 63, 64]))) for _ in range(40)]
+    i, j = (x.ravel() for x in np.mgrid[:40, :40])
+    assert namejoin._edits(texts, texts, i, j).tolist() == [plain(texts[a], texts[b]) for a, b in zip(i, j, strict=True)]
+    assert namejoin._common(texts, texts, i, j).tolist() == [names.longest_common(texts[a], texts[b]) for a, b in zip(i, j, strict=True)]
+
+
+def test_few_candidates_of_common_words(spark):
+    """Names that share frequent words only aren't read letter by letter; before, all pairs of fitting letters were, which grew
+    with the square of the names. Names ask for pairs of words, not for a frequent one; before, for "the" here."""
+    rng = random.Random(4)
+    odd = ["".join(rng.choices("aeionrst", k=5)) for _ in range(300)]
+    rows = [(i, f"the {w} and energy") for i, w in enumerate(odd)]
+    rows += [(len(rows) + i, t) for i, t in enumerate(["north delta wells", "xx north delta well"])]
+    frame = spark.createDataFrame(rows, "id long, clean string")
+    sides = frame.select("id", "clean", F.explode(F.array(F.lit(1), F.lit(2))).alias("key"), F.lit(True).alias("fresh"), F.lit(False).alias("wide"), F.length("clean").cast("long").alias("n"), namejoin._features("clean").alias("f"))
+    sides = sides.select("key", F.struct("id", "fresh", "wide", "n", F.col("f.texts")[0]["low"].alias("low"), F.col("f.texts")[0]["high"].alias("high"), "f.three_low", "f.three_high", "clean").alias("x"))
+    for block in (7, 10_000):
+        got = {tuple(r) for r in namejoin._nearly(sides, sides.withColumnRenamed("x", "y"), block, 4, False).collect()}
+        true = {(i, j) for i, a in rows for j, b in rows if i < j and namejoin.piece_alike(a, b)}
+        assert true <= got and (300, 301) in got and len(got) < 3 * len(true) + 600
+    asks = spark.createDataFrame([(["zeta", "alpha", "energy"],), (["the", "energy"],), (["energy"],), (["w" * 90, "a", "b"],)], "w array<string>").select(namejoin._asks("w").alias("f")).select("f.*").collect()
+    assert [(r.alone, r.pairs) for r in asks] == [([], ["alpha zeta"]), ([], ["energy the"]), (["energy"], []), (["w" * 90], [])]
